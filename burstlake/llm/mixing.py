@@ -68,6 +68,17 @@ def pivot_round(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray
     return p
 
 
+def even_out(size: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Take back what the last lot added or took, as far as it goes: from large to small, flip rows that bring the sum closer."""
+    off = float((size * (after - before)).sum())
+    after = after.copy()
+    for k in np.nonzero((before > 0) & (before < 1))[0]:
+        by = size[k] if after[k] < 0.5 else -size[k]
+        if abs(off + by) < abs(off):
+            off, after[k] = off + by, 1 - after[k]
+    return after
+
+
 def mix(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -84,8 +95,9 @@ def mix(
     Every document of a source has the same expected copies, target / source_size, which is cap at most. The whole
     part is certain; the fractional part is rounded so that the source's words stay what they were: blocks of about
     `block` documents (by a seeded hash, so that a hot source is spread) are rounded each by itself, the one row that
-    may stay fractional in each goes up a tree of such blocks, and the last one is rounded by lot. A source thus
-    misses its target by less than the size of one document, a small one, as rows go from large to small.
+    may stay fractional in each goes up a tree of such blocks. At its root one row is rounded by lot, and rows of the
+    root's block are flipped, from large to small, where that brings the source closer to its target; without this a
+    source could miss it by the one row's size.
 
     Null or empty texts have size 0 and taken 0 if their lot says so, either way 0 words. A null source is a source
     of its own. Null ids and repeated rows are dealt with as documents of their own. An empty table gives none. Columns
@@ -111,6 +123,7 @@ def mix(
             p = pivot_round(part["size"].to_numpy(np.float64), part["p"].to_numpy(np.float64), draw)
             if last:
                 p = np.where((p > 0) & (p < 1), draw < p, p).astype(np.float64)
+                p = even_out(part["size"].to_numpy(np.float64), part["p"].to_numpy(np.float64), p)
             return part.assign(p=p)
 
         return f

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burstlake.llm import quality
+from burstlake.llm.labels import held_out, one_label
+from burstlake.llm.language_id import identify, learn_dictionaries
 from burstlake.llm.mixing import mix
+from burstlake.llm.shared import cut
 from burstlake.llm.sharding import shuffle_into_shards
 from burstlake.llm.url_filter import filter_urls
 
@@ -22,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 4, 2)
+    known = learn_dictionaries(docs.where(~out & F.col("doc_id").isNotNull()))
+    found = identify(docs.select("doc_id", "text"), known)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
@@ -38,6 +50,15 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = cut(quality.with_stats(docs).drop("text"))
+    out = held_out("doc_id", 3, 1)
+    rules = quality.learn(measured.where(~out), one_label(table(spark, sf_dir, "labels"), "quality"))
+    scored = quality.score(measured, rules, "score")
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -49,7 +70,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op4_url_filters": op4_url_filters,
+        "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
         "op9_sharding": op9_sharding,
     }
