@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.llm import quality
+from burstlake.llm import quality, toxicity
 from burstlake.llm.labels import held_out, one_label
 from burstlake.llm.language_id import identify, learn_dictionaries
 from burstlake.llm.mixing import mix
@@ -50,6 +50,14 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 3, 1)
+    net = toxicity.learn(docs.where(~out), one_label(table(spark, sf_dir, "labels"), "toxic"))
+    scored = toxicity.score(docs, net, out="score")
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     measured = cut(quality.with_stats(docs).drop("text"))
@@ -72,6 +80,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op4_url_filters": op4_url_filters,
+        "op5_toxicity": op5_toxicity,
         "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
         "op9_sharding": op9_sharding,
