@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from burstlake.llm import quality, toxicity
+from burstlake.llm.decontaminate import decontaminate
 from burstlake.llm.labels import held_out, one_label
 from burstlake.llm.language_id import identify, learn_dictionaries
 from burstlake.llm.mixing import mix
@@ -76,6 +77,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", F.col("leaked").alias("contaminated"), F.col("leak_item").alias("item_id"), F.col("leak_coverage").alias("coverage"), F.col("leak_items").alias("n_items"))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -84,6 +90,7 @@ def queries() -> dict:
         "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
         "op9_sharding": op9_sharding,
+        "op10_decontamination": op10_decontamination,
     }
 
 
