@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from burstlake.llm import quality, toxicity
 from burstlake.llm.decontaminate import decontaminate
+from burstlake.llm.embedding_dedup import near_duplicates
 from burstlake.llm.labels import held_out, one_label
 from burstlake.llm.language_id import identify, learn_dictionaries
 from burstlake.llm.mixing import mix
@@ -35,6 +36,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS l FROM v),
+p AS (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.l > 0 AND b.l > 0
+      AND list_inner_product(a.e, b.e) / (a.l * b.l) >= 0.98),
+r(u, w) AS (SELECT u, w FROM p UNION SELECT r.u, p.w FROM r JOIN p ON r.w = p.u)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, coalesce(least(e.vec_id, m.w), e.vec_id) AS component_id, coalesce(least(e.vec_id, m.w), e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM p GROUP BY u) c ON c.u = e.vec_id LEFT JOIN (SELECT u, min(w) AS w FROM r GROUP BY u) m ON m.u = e.vec_id
+"""
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
@@ -85,6 +101,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_url_filters": op4_url_filters,
         "op5_toxicity": op5_toxicity,
         "op7_quality": op7_quality,
@@ -95,4 +112,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": OP4_SQL}
+    return {"op3_embedding_dedup": OP3_SQL, "op4_url_filters": OP4_SQL}
