@@ -11,6 +11,7 @@ from burstlake.llm.embedding_dedup import near_duplicates
 from burstlake.llm.labels import held_out, one_label
 from burstlake.llm.language_id import identify, learn_dictionaries
 from burstlake.llm.mixing import mix
+from burstlake.llm.ngram_join import jaccard_components
 from burstlake.llm.shared import cut
 from burstlake.llm.sharding import shuffle_into_shards
 from burstlake.llm.url_filter import filter_urls
@@ -36,6 +37,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -101,6 +106,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_ngram_join": op2_ngram_join,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_url_filters": op4_url_filters,
         "op5_toxicity": op5_toxicity,

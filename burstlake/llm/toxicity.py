@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlake.llm.labels import sample
-from burstlake.llm.shared import words
+from burstlake.llm.shared import cut, words
 
 WINDOW, STRIDE = 40, 30
 HIDDEN, DIM, BUCKETS, ATTEND = 8, 8, 8192, 8
@@ -252,11 +252,11 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 8, batch: int = 128, ra
     wid = net.word_ids(kinds)
     tri, start = grams(kinds)
     end = np.append(start[1:], len(tri))
-    cut = [windows(np.array([row[w] for w in x], np.int64)) for x in tokens]
-    count = np.array([len(w) for w, _ in cut])
+    pieces = [windows(np.array([row[w] for w in x], np.int64)) for x in tokens]
+    count = np.array([len(w) for w, _ in pieces])
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    ids = np.concatenate([w for w, _ in cut])
-    mask = np.concatenate([np.ones(w.shape, np.float32) if m is None else m for w, m in cut])
+    ids = np.concatenate([w for w, _ in pieces])
+    mask = np.concatenate([np.ones(w.shape, np.float32) if m is None else m for w, m in pieces])
     of = np.repeat(np.arange(len(y)), count)
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
@@ -294,8 +294,10 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 8, batch: int = 128, ra
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Network:
     """Train on a seeded sample of labelled texts, bounded by SAMPLE_DOCS for either label and SAMPLE_CHARS. labels: (doc_id, label)."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
-    own = own.join(labels, "doc_id")
-    got = sample(own.where("label = 1"), SAMPLE_DOCS).union(sample(own.where("label = 0"), SAMPLE_DOCS)).collect()
+    # Which documents are drawn is decided on ids alone; their number is bounded, so the ids can be broadcast to the texts.
+    known = own.select("doc_id").join(labels, "doc_id")
+    drawn = cut(sample(known.where("label = 1"), SAMPLE_DOCS).union(sample(known.where("label = 0"), SAMPLE_DOCS)))
+    got = own.join(F.broadcast(drawn.distinct()), "doc_id").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.label, r.text))
     return train([r.text for r in got], np.array([r.label for r in got]))
 
