@@ -26,6 +26,8 @@ from burstlake.llm.shared import components, cut, shingle_hashes, word_hashes, w
 #: At most so many frequent shingles are held by each worker (16 bytes each); shingles in fewer texts than the least don't count as frequent.
 MAX_FREQUENT, LEAST_FREQUENT, CHUNK = 1_000_000, 24, 4_000_000
 PIVOTS = 3
+#: Numbers of 64 bits that hold the parity of a set's shingles by hash, see parity().
+PARITY = 16
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -81,6 +83,13 @@ def prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], num: int, den
     return s[np.lexsort((s, place))[:size]]
 
 
+def parity(s: np.ndarray) -> bytes:
+    """64 * PARITY bits: whether the set has an odd number of shingles with that hash remainder. Bits that differ
+    between two sets are never more than the shingles that only one of them has."""
+    odd = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if den * len(small) < num * len(large):
@@ -108,17 +117,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                n, key, first, group = [], [], [], []
+                n, key, first, group, odd = [], [], [], [], []
                 for t in part.column("text"):
                     s = shingles(t.as_py(), width)
                     n.append(len(s))
                     key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     p = prefix(s, frequent.value, num, den).tobytes() if len(s) else None
                     first.append(p)
+                    odd.append(parity(s) if len(s) else None)
                     group.append(None if p is None else xxhash.xxh3_128_digest(len(s).to_bytes(8, "little") + p))
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.binary()), "group_key": pa.array(group, pa.binary()), "prefix": pa.array(first, pa.binary())})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.binary()), "group_key": pa.array(group, pa.binary()), "prefix": pa.array(first, pa.binary()), "odd": pa.array(odd, pa.binary())})
 
-    rows = cut(base.mapInArrow(sets, "doc_id long, n long, key binary, group_key binary, prefix binary"))
+    rows = cut(base.mapInArrow(sets, "doc_id long, n long, key binary, group_key binary, prefix binary, odd binary"))
     usable = rows.where("key is not null and doc_id is not null")
     classes = cut(usable.groupBy("key").agg(F.min("doc_id").alias("node")))
     # One row for each class: equal sets are found, and need no comparison.
@@ -172,27 +182,41 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tried = verify(ordered(within.union(star(index, alike, 0))))
     joined = components(tried.where("ok"))
 
-    # Round 2: members of posting lists that still lie in several components, with other pivots.
-    def apart(component: DataFrame) -> DataFrame:
-        full = index.withColumnRenamed("node", "leader").drop("n").join(members.select("leader", "node", "n"), "leader")
-        own = members.where("node <> leader").select(F.xxhash64(F.lit("group"), "leader").alias("token"), "leader")
-        own = own.distinct().join(members.select("leader", "node", "n"), "leader")
-        every = full.select("token", "node", "n").union(own.select("token", "node", "n"))
-        every = every.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        mixed = every.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-        return cut(every.join(mixed, "token"))
+    # Members of posting lists that still lie in several components, with the bits of parity().
+    bits = [F.conv(F.hex(F.substring("odd", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"b{k}") for k in range(PARITY)]
+    signs = usable.select(F.col("doc_id").alias("node"), "n", "odd").join(needed, "node").select("node", "n", *bits).distinct()
+    full = index.withColumnRenamed("node", "leader").drop("n").join(members.select("leader", "node", "n"), "leader")
+    own = members.where("node <> leader").select("leader").distinct().join(members.select("leader", "node", "n"), "leader")
+    every = full.select("token", "node", "n").union(own.select(F.xxhash64(F.lit("group"), "leader").alias("token"), "node", "n"))
 
+    def apart(component: DataFrame) -> DataFrame:
+        at = every.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        mixed = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
+        return cut(at.join(mixed, "token").join(signs, ["node", "n"]))
+
+    def meet(left: DataFrame, few: int | None) -> DataFrame:
+        """Pairs of rows of a posting list in different components, all of them or those with about `few` of its rows,
+        where size and parity allow a link: of |x| + |y| shingles, a link leaves the share (den - num) / (den + num)
+        at most to one of the two alone. This is compared inside the join, which gives no other pair."""
+        one, two = (left.select(*(F.col(c).alias(f"{c}_{x}") for c in left.columns)) for x in ("u", "v"))
+        differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"b{k}_u").bitwiseXOR(F.col(f"b{k}_v"))) for k in range(PARITY)])
+        sizes = (F.least("n_u", "n_v") * den >= F.greatest("n_u", "n_v") * num) & (differ * (den + num) <= (F.col("n_u") + F.col("n_v")) * (den - num))
+        on = (F.col("token_u") == F.col("token_v")) & (F.col("c_u") != F.col("c_v")) & sizes
+        if few is None:
+            on = on & (F.col("node_u") < F.col("node_v"))
+        else:
+            two = two.where(F.pmod(F.xxhash64(F.lit(few), "node_v"), F.col("size_v")) < few)
+        return one.join(two, on).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
+
+    # Rounds that only merge components, each with more pivots; then what is still apart meets in full.
     left = apart(joined)
-    again = verify(ordered(star(left, alike, 1)).join(tried, ["u", "v"], "left_anti"))
-    tried = tried.union(again)
-    if not again.where("ok").isEmpty():
-        joined = components(tried.where("ok"))
-        left = apart(joined)
-
-    # What is still apart meets in full.
-    one, two = (left.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")) for x in ("u", "v"))
-    rest = one.join(two, "token").where(F.col("u") < F.col("v")).where("cu <> cv").where(alike("nu", "nv")).select("u", "v")
-    rest = verify(rest.distinct().join(tried, ["u", "v"], "left_anti"))
+    for few in (8, 64):
+        again = verify(ordered(meet(left, few)).join(tried, ["u", "v"], "left_anti"))
+        tried = tried.union(again)
+        if not again.where("ok").isEmpty():
+            joined = components(tried.where("ok"))
+            left = apart(joined)
+    rest = verify(ordered(meet(left, None)).join(tried, ["u", "v"], "left_anti"))
     found = rest.where("ok")
     if not found.isEmpty():
         joined = components(tried.where("ok").union(found))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,39 +71,62 @@ def shingle_hashes(h: np.ndarray, width: int, short: bool = True) -> np.ndarray:
     return mix(out)
 
 
+#: An edge list of at most so many rows is finished in one task.
+FINISH = 15_000
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
     """The connected components of an edge list of longs: (node, component), component the smallest node.
 
     Each round every node merges into the neighbour that comes first in an order drawn anew for the round; edges
     within a merged node vanish. A round removes a constant share of the nodes, so rounds grow with the logarithm
-    of the longest path. All state is in written tables. Nodes without an edge to another have no row.
+    of the longest path. When FINISH edges or fewer are left, one task ends the work. All state is in written
+    tables. Nodes without an edge to another have no row.
     """
     links = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v")
     live = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    label = None
+    steps = []
     for k in range(rounds):
-        if live.isEmpty():
+        if len(live.head(FINISH + 1)) <= FINISH:
             break
         both = live.union(live.select("v", "u"))
         rank = F.xxhash64(F.lit(k), "v")
-        best = both.groupBy("u").agg(F.min(rank).alias("r"), F.min_by("v", F.struct(rank, "v")).alias("m"))
+        best = both.groupBy("u").agg(F.min(rank).alias("r"), F.min_by("v", rank).alias("m"))
         own = F.xxhash64(F.lit(k), "u")
         best = cut(best.select(F.col("u").alias("node"), F.when(F.col("r") < own, F.col("m")).otherwise(F.col("u")).alias("to")))
-        if label is None:
-            label = best
-        else:
-            step = best.select(F.col("node").alias("at"), F.col("to").alias("next"))
-            label = cut(label.join(step, F.col("to") == F.col("at"), "left").select("node", F.coalesce("next", "to").alias("to")))
+        steps.append(best)
         one, two = (best.select(F.col("node").alias(x), F.col("to").alias(f"{x}_to")) for x in ("u", "v"))
         moved = live.join(one, "u").join(two, "v").where("u_to != v_to")
         live = cut(moved.select(F.least("u_to", "v_to").alias("u"), F.greatest("u_to", "v_to").alias("v")).distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    if label is None:
-        return live.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    label = live.coalesce(1).mapInPandas(_union_find, "node long, to long")
+    for best in reversed(steps):
+        later = label.select(F.col("node").alias("to"), F.col("to").alias("end"))
+        label = best.join(later, "to", "left").select("node", F.coalesce("end", "to").alias("to"))
+    if steps:
+        label = cut(label)
     least = label.groupBy("to").agg(F.min("node").alias("component"))
-    return label.join(least, "to").select("node", "component")
+    return cut(label.join(least, "to").select("node", "component"))
+
+
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b["u"].tolist(), b["v"].tolist(), strict=True):
+            above.setdefault(x, x)
+            above.setdefault(y, y)
+            a, c = top(x), top(y)
+            above[max(a, c)] = min(a, c)
+    nodes = sorted(above)
+    yield pd.DataFrame({"node": nodes, "to": [top(x) for x in nodes]}, dtype="int64")
+
 
 
-def to_signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
