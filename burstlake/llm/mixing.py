@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstlake.llm.shared import WORD, cut
+from burstlake.llm.shared import WORD, cut, small_side
 
 
 def word_count(text: str) -> F.Column:
@@ -144,20 +145,22 @@ def mix(
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: the rows of docs, each as often as mix() says. Extra columns stay.
+    """The mixed corpus: the rows of docs, each as often as mix() says, with all their columns.
 
-    Documents that share an id, size and source are told apart by the order of their copies' counts only, which is
-    all the same to the mix: rows are numbered within (id, source, size) on either side.
+    Rows that share an id, a source and a size are numbered within these on both sides, to tell them apart.
     """
     names = {k: how.get(k, k) for k in ("doc_id", "text", "source")}
     like = ["mix_id", "mix_source", "mix_size"]
-    chosen = mix(docs, **how).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies")
+    chosen = cut(mix(docs, **how).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies")))
     own = docs.withColumns({"mix_id": F.col(names["doc_id"]), "mix_source": F.col(names["source"]), "mix_size": word_count(names["text"])})
-    nth = Window.partitionBy(*like)
-    chosen = chosen.withColumn("mix_nth", F.row_number().over(nth.orderBy("copies")))
-    own = own.withColumn("mix_nth", F.row_number().over(nth.orderBy("mix_id")))
-    keys = [*like, "mix_nth"]
-    both = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    met = own.alias("a").join(chosen.alias("b"), both[0] & both[1] & both[2] & both[3])
-    met = met.where("b.copies > 0").withColumn("mix_copy", F.explode(F.expr("sequence(1, cast(b.copies as int))")))
+    if chosen.groupBy(*like).count().where("count > 1").isEmpty():
+        chosen, own = chosen.withColumn("mix_nth", F.lit(1)), own.withColumn("mix_nth", F.lit(1))
+    else:
+        nth = Window.partitionBy(*like)
+        chosen = chosen.withColumn("mix_nth", F.row_number().over(nth.orderBy("mix_copies")))
+        own = own.withColumn("mix_nth", F.row_number().over(nth.orderBy(names["text"])))
+    chosen = small_side(chosen.where("mix_copies > 0"))
+    a, b = own.alias("a"), chosen.alias("b")
+    met = a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*like, "mix_nth")]))
+    met = met.withColumn("mix_copy", F.explode(F.expr("sequence(1, cast(b.mix_copies as int))")))
     return met.select(*(F.col(f"a.`{c}`") for c in docs.columns))

@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstlake.llm.shared import components, cut, shingle_hashes, word_hashes, words
+from burstlake.llm.shared import components, cut, shingle_hashes, small_side, word_hashes, words
 
 #: At most so many frequent shingles are held by each worker (16 bytes each); shingles in fewer texts than the least don't count as frequent.
 MAX_FREQUENT, LEAST_FREQUENT, CHUNK = 1_000_000, 24, 4_000_000
@@ -235,10 +235,15 @@ def star(index: DataFrame, alike, salt: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays. Rows with a null id stay,
-    and of rows that share an id and text one stays; a text that shares only the id of the kept document goes if its
-    set differs (rows with one id are one document, told by its smallest text)."""
-    found = jaccard_components(docs, doc_id, text, **how).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    nulls = docs.where(F.col(doc_id).isNull())
-    kept = docs.where(F.col(doc_id).isNotNull()).join(found, F.col(doc_id) == F.col("keep_id"), "left_semi")
-    return kept.unionByName(nulls)
+    """docs without near-duplicates: of each component, the document with the smallest id stays, once.
+
+    Rows with a null id stay. Of rows with the same id the one with the smallest text stays, nulls last. All columns stay.
+    """
+    found = jaccard_components(docs, doc_id, text, **how)
+    gone = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    kept = docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    first = Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last(), *[c for c in docs.columns if c not in (doc_id, text)])
+    once = kept.where(F.col(doc_id).isNotNull()).withColumn("row_of_id", F.row_number().over(first)).where("row_of_id = 1").drop("row_of_id")
+    return once.unionByName(kept.where(F.col(doc_id).isNull()))

@@ -10,6 +10,7 @@ from burstlake.llm.decontaminate import decontaminate
 from burstlake.llm.embedding_dedup import near_duplicates
 from burstlake.llm.labels import held_out, one_label
 from burstlake.llm.language_id import identify, learn_dictionaries
+from burstlake.llm.line_dedup import drop_lines
 from burstlake.llm.mixing import mix
 from burstlake.llm.ngram_join import jaccard_components
 from burstlake.llm.shared import cut
@@ -80,6 +81,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("kept_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     measured = cut(quality.with_stats(docs).drop("text"))
@@ -110,6 +116,7 @@ def queries() -> dict:
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_url_filters": op4_url_filters,
         "op5_toxicity": op5_toxicity,
+        "op6_line_dedup": op6_line_dedup,
         "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
         "op9_sharding": op9_sharding,

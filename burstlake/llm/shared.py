@@ -40,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of ids with at most so many rows goes to every executor, so that texts needn't be shuffled to it.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, written, for a join with texts: marked for broadcast if it has at most BROADCAST_ROWS rows of ids, else plain."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text, A-Z lower-cased, as UTF-8. bytes.split() separates at exactly the characters of WORD."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
