@@ -26,8 +26,8 @@ from burstlake.llm.shared import components, cut, shingle_hashes, small_side, wo
 #: At most so many frequent shingles are held by each worker (16 bytes each); shingles in fewer texts than the least don't count as frequent.
 MAX_FREQUENT, LEAST_FREQUENT, CHUNK = 1_000_000, 24, 4_000_000
 PIVOTS = 3
-#: Numbers of 64 bits that hold the parity of a set's shingles by hash, see parity().
-PARITY = 16
+#: Numbers of 64 bits that hold the parity of a set's shingles by hash, see parity(), and to how many they are folded in posting lists.
+PARITY, FOLD = 16, 4
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                     group.append(None if p is None else xxhash.xxh3_128_digest(len(s).to_bytes(8, "little") + p))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.binary()), "group_key": pa.array(group, pa.binary()), "prefix": pa.array(first, pa.binary()), "odd": pa.array(odd, pa.binary())})
 
-    rows = cut(base.mapInArrow(sets, "doc_id long, n long, key binary, group_key binary, prefix binary, odd binary"))
+    rows = cut(base.mapInArrow(sets, "doc_id long, n long, key binary, group_key binary, prefix binary, odd binary"), free=True)
     usable = rows.where("key is not null and doc_id is not null")
     classes = cut(usable.groupBy("key").agg(F.min("doc_id").alias("node")))
     # One row for each class: equal sets are found, and need no comparison.
@@ -141,16 +141,29 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         for b in batches:
             tokens = [np.frombuffer(p.as_py(), np.int64) for p in b.column("prefix")]
             size = [len(t) for t in tokens]
-            yield pa.record_batch({"token": pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])), "node": pa.array(np.repeat(b.column("node").to_numpy(), size)), "n": pa.array(np.repeat(b.column("n").to_numpy(), size))})
+            yield pa.record_batch({"token": pa.array(np.concatenate([*tokens, np.empty(0, np.int64)])), "node": pa.array(np.repeat(b.column("node").to_numpy(), size))})
 
-    first = usable.select("group_key", F.col("doc_id").alias("node"), "prefix").join(leaders, ["group_key", "node"]).select("node", "n", "prefix")
-    postings = first.mapInArrow(explode, "token long, node long, n long")
+    first = usable.select("group_key", F.col("doc_id").alias("node"), "prefix").join(leaders, ["group_key", "node"]).select("node", "prefix")
+    postings = first.mapInArrow(explode, "token long, node long")
     shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    index = cut(postings.join(shared, "token").distinct())
+    index = cut(postings.join(shared, "token").distinct(), free=True)
 
-    # The texts of documents that any comparison can need.
-    needed = index.select("node").union(members.where("node <> leader").select("node")).union(members.where("node <> leader").select(F.col("leader").alias("node"))).distinct()
-    texts = cut(base.withColumnRenamed("doc_id", "node").join(needed, "node").select("node", "text"))
+    # The texts and parities of documents that any comparison can need.
+    pairs_within = members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+    needed = small_side(index.select("node").union(pairs_within.select("u")).union(pairs_within.select("v")).distinct())
+    texts = cut(base.withColumnRenamed("doc_id", "node").join(needed, "node").select("node", "text"), free=True)
+    bits = [F.conv(F.hex(F.substring("odd", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"b{k}") for k in range(PARITY)]
+    signs = cut(usable.select(F.col("doc_id").alias("node"), "n", "odd").join(needed, "node").select("node", "n", *bits).distinct())
+
+    def could_link(u: str, v: str, words_: int) -> F.Column:
+        """Whether sizes and parities allow a link: of |x| + |y| shingles, one leaves the share (den - num) / (den + num) at most to one of the two alone."""
+        differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"b{k}_{u}").bitwiseXOR(F.col(f"b{k}_{v}"))) for k in range(words_)])
+        n, m = F.col(f"n_{u}"), F.col(f"n_{v}")
+        return (F.least(n, m) * den >= F.greatest(n, m) * num) & (differ * (den + num) <= (n + m) * (den - num))
+
+    def sieve(pairs: DataFrame) -> DataFrame:
+        one, two = (signs.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in signs.columns if c != "node")) for x in ("u", "v"))
+        return pairs.join(one, "u").join(two, "v").where(could_link("u", "v", PARITY)).select("u", "v").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,54 +182,49 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 yield pa.record_batch({"u": b.column("u"), "v": b.column("v"), "ok": pa.array(keep, pa.bool_())})
 
         both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
-        return cut(both.select("u", "v", "x", "y").mapInArrow(check, "u long, v long, ok boolean"))
-
-    def alike(a: str, b: str) -> F.Column:
-        return (F.least(a, b) * den >= F.greatest(a, b) * num) & (F.col("u") != F.col("v"))
+        return cut(both.select("u", "v", "x", "y").mapInArrow(check, "u long, v long, ok boolean"), free=True)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    # Round 1: members with their group's leader, and leaders with pivots of each posting list.
-    within = members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    tried = verify(ordered(within.union(star(index, alike, 0))))
+    # Members with their group's leader, and leaders with a few pivots of each posting list.
+    tried = verify(sieve(ordered(pairs_within.union(star(index)))))
     joined = components(tried.where("ok"))
 
-    # Members of posting lists that still lie in several components, with the bits of parity().
-    bits = [F.conv(F.hex(F.substring("odd", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"b{k}") for k in range(PARITY)]
-    signs = usable.select(F.col("doc_id").alias("node"), "n", "odd").join(needed, "node").select("node", "n", *bits).distinct()
-    full = index.withColumnRenamed("node", "leader").drop("n").join(members.select("leader", "node", "n"), "leader")
-    own = members.where("node <> leader").select("leader").distinct().join(members.select("leader", "node", "n"), "leader")
-    every = full.select("token", "node", "n").union(own.select(F.xxhash64(F.lit("group"), "leader").alias("token"), "node", "n"))
+    folded = [reduce(lambda p, q: p.bitwiseXOR(q), [F.col(f"b{j}") for j in range(k, PARITY, FOLD)]).alias(f"b{k}") for k in range(FOLD)]
+    full = index.withColumnRenamed("node", "leader").join(members.select("leader", "node"), "leader")
+    own = pairs_within.select(F.col("v").alias("leader")).distinct().join(members.select("leader", "node"), "leader")
+    every = full.select("token", "node").union(own.select(F.xxhash64(F.lit("group"), "leader").alias("token"), "node"))
+    short = signs.select("node", F.col("n").cast("int").alias("n"), *folded)
 
     def apart(component: DataFrame) -> DataFrame:
-        at = every.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-        mixed = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("token", "size")
-        return cut(at.join(mixed, "token").join(signs, ["node", "n"]))
+        """Rows of posting lists that lie in several components yet, with a fold of their parities."""
+        at = every.join(component, "node", "left").select("token", "node", F.coalesce("component", "node").alias("c"))
+        mixed = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").cast("int").alias("size")).where("lo <> hi").select("token", "size")
+        return cut(at.join(mixed, "token").join(short, "node"), free=True)
 
     def meet(left: DataFrame, few: int | None) -> DataFrame:
         """Pairs of rows of a posting list in different components, all of them or those with about `few` of its rows,
-        where size and parity allow a link: of |x| + |y| shingles, a link leaves the share (den - num) / (den + num)
-        at most to one of the two alone. This is compared inside the join, which gives no other pair."""
+        that could link by size and fold. This is compared inside the join, which gives no other pair."""
         one, two = (left.select(*(F.col(c).alias(f"{c}_{x}") for c in left.columns)) for x in ("u", "v"))
-        differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"b{k}_u").bitwiseXOR(F.col(f"b{k}_v"))) for k in range(PARITY)])
-        sizes = (F.least("n_u", "n_v") * den >= F.greatest("n_u", "n_v") * num) & (differ * (den + num) <= (F.col("n_u") + F.col("n_v")) * (den - num))
-        on = (F.col("token_u") == F.col("token_v")) & (F.col("c_u") != F.col("c_v")) & sizes
+        on = (F.col("token_u") == F.col("token_v")) & (F.col("c_u") != F.col("c_v")) & could_link("u", "v", FOLD)
         if few is None:
             on = on & (F.col("node_u") < F.col("node_v"))
         else:
             two = two.where(F.pmod(F.xxhash64(F.lit(few), "node_v"), F.col("size_v")) < few)
         return one.join(two, on).select(F.col("node_u").alias("u"), F.col("node_v").alias("v"))
 
-    # Rounds that only merge components, each with more pivots; then what is still apart meets in full.
+    # Where lists are long, rounds that only merge components, each with more pivots; then what is still apart meets in full.
     left = apart(joined)
     for few in (8, 64):
-        again = verify(ordered(meet(left, few)).join(tried, ["u", "v"], "left_anti"))
+        if (left.agg(F.avg("size")).first()[0] or 0) <= few:
+            break
+        again = verify(sieve(ordered(meet(left, few)).join(tried, ["u", "v"], "left_anti")))
         tried = tried.union(again)
         if not again.where("ok").isEmpty():
             joined = components(tried.where("ok"))
             left = apart(joined)
-    rest = verify(ordered(meet(left, None)).join(tried, ["u", "v"], "left_anti"))
+    rest = verify(sieve(ordered(meet(left, None)).join(tried, ["u", "v"], "left_anti")))
     found = rest.where("ok")
     if not found.isEmpty():
         joined = components(tried.where("ok").union(found))
@@ -226,12 +234,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return out.select("doc_id", "n_shingles", F.hex("key").alias("class_key"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def star(index: DataFrame, alike, salt: int) -> DataFrame:
+def star(index: DataFrame) -> DataFrame:
     """Pairs of each row of a posting list with PIVOTS rows of it, chosen by seeded hashes: the same for lists with the same rows."""
-    best = index.groupBy("token").agg(*[e for k in range(PIVOTS) for e in (F.min_by("node", F.xxhash64(F.lit(100 * salt + k), "node")).alias(f"p{k}"), F.min_by("n", F.xxhash64(F.lit(100 * salt + k), "node")).alias(f"m{k}"))])
-    met = index.join(best, "token")
-    parts = [met.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col(f"p{k}").alias("v"), F.col(f"m{k}").alias("nv")).where(alike("nu", "nv")).select("u", "v") for k in range(PIVOTS)]
-    return reduce(DataFrame.union, parts)
+    best = index.groupBy("token").agg(*[F.min_by("node", F.xxhash64(F.lit(k), "node")).alias(f"p{k}") for k in range(PIVOTS)])
+    pivot = F.explode(F.array(*[f"p{k}" for k in range(PIVOTS)]))
+    return index.join(best, "token").select(F.col("node").alias("u"), pivot.alias("v")).where("u <> v")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -26,10 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here and a lost executor costs no recomputation.
 
-    The folder is removed when the session's JVM ends.
+    The folder is removed when the session's JVM ends. With free, the JVM is asked to collect its garbage, which lets
+    Spark's cleaner delete the shuffle files that led to the table: they are of no use any more and would stay on the
+    executors' disks until the driver happens to collect.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
@@ -37,6 +39,8 @@ def cut(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    if free:
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
