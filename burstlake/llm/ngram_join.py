@@ -181,7 +181,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                     keep.append(linked(*sets_, num, den))
                 yield pa.record_batch({"u": b.column("u"), "v": b.column("v"), "ok": pa.array(keep, pa.bool_())})
 
-        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+        # Only texts of these pairs move.
+        pairs = cut(pairs)
+        asked = small_side(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+        own = texts.join(asked, "node")
+        both = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
         return cut(both.select("u", "v", "x", "y").mapInArrow(check, "u long, v long, ok boolean"), free=True)
 
     def ordered(pairs: DataFrame) -> DataFrame:
