@@ -225,7 +225,7 @@ def linear_pol_series(spark, sf_dir):
 SELECT a.t, coalesce(v.x, 0) AS x, v.x IS NULL AS is_gap FROM (SELECT unnest(range(0, top + 1)) AS t FROM r) a LEFT JOIN v ON a.t = v.t""")
 def gap_fill(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    last = e.agg(F.max("vec_id")).first()[0]
+    last = e.agg(F.coalesce(F.max("vec_id"), F.lit(-1))).first()[0]
     return timegrid.fill_gaps(e.where("label <> 1").select(F.col("vec_id").alias("t"), F.col("label").cast("bigint").alias("x")), "t", 0, last, "x")
 
 
