@@ -56,3 +56,10 @@ def safe_number(text: Column, default: float) -> Column:
 
 def is_special(name: Column) -> Column:
     return name.rlike(r"_t[\d.]+")
+
+
+def angle(packed: Column) -> Column:
+    """hh:mm:ss (or dd:mm:ss) of a whole number hhmmss, with its sign."""
+    a = F.abs(packed.cast("bigint"))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(F.when(packed < 0, "-").otherwise(""), F.concat_ws(":", two(F.floor(a / 10000)), two(F.pmod(F.floor(a / 100), F.lit(100))), two(F.pmod(a, F.lit(100)))))
