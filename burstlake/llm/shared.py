@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Only where the session names none (tests), a temporary one for the application."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        held = spark.sparkContext.getCheckpointDir()
-        named = held or tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        app = spark.sparkContext.applicationId
+        if app not in _temporary:
+            _temporary[app] = tempfile.mkdtemp(prefix="spark-shared-")
+        named = _temporary[app]
     return named.rstrip("/")
 
 
