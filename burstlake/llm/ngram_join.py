@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from burstlake.llm.shared import components, cut, shingle_hashes, small_side, wo
 
 #: At most so many frequent shingles are held by each worker (16 bytes each); shingles in fewer texts than the least don't count as frequent.
 MAX_FREQUENT, LEAST_FREQUENT, CHUNK = 1_000_000, 24, 4_000_000
-PIVOTS = 3
+PIVOTS = 1
 #: Numbers of 64 bits that hold the parity of a set's shingles by hash, see parity(), and to how many they are folded in posting lists.
 PARITY, FOLD = 16, 4
 
@@ -151,7 +152,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # The texts and parities of documents that any comparison can need.
     pairs_within = members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     needed = small_side(index.select("node").union(pairs_within.select("u")).union(pairs_within.select("v")).distinct())
-    texts = cut(base.withColumnRenamed("doc_id", "node").join(needed, "node").select("node", "text"), free=True)
+    # They travel with the pairs, and so are packed by zstandard.
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            yield pa.record_batch({"node": b.column("node"), "text": pa.array([tool.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column("text")], pa.binary())})
+
+    texts = cut(base.withColumnRenamed("doc_id", "node").join(needed, "node").select("node", "text").mapInArrow(pack, "node long, text binary"), free=True)
     bits = [F.conv(F.hex(F.substring("odd", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"b{k}") for k in range(PARITY)]
     signs = cut(usable.select(F.col("doc_id").alias("node"), "n", "odd").join(needed, "node").select("node", "n", *bits).distinct())
 
@@ -168,7 +175,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def verify(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                held: dict[str, np.ndarray] = {}
+                held: dict[bytes, np.ndarray] = {}
+                tool = zstandard.ZstdDecompressor()
                 keep = []
                 for x, y in zip(b.column("x"), b.column("y"), strict=True):
                     sets_ = []
@@ -176,16 +184,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                         if t not in held:
                             if len(held) > 256:
                                 held.clear()
-                            held[t] = shingles(t, width)
+                            held[t] = shingles(tool.decompress(t).decode("utf-8", "surrogatepass"), width)
                         sets_.append(held[t])
                     keep.append(linked(*sets_, num, den))
                 yield pa.record_batch({"u": b.column("u"), "v": b.column("v"), "ok": pa.array(keep, pa.bool_())})
 
-        # Only texts of these pairs move.
-        pairs = cut(pairs)
-        asked = small_side(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
-        own = texts.join(asked, "node")
-        both = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("x")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
+        # Pairs are small and come to the texts of their first members; these move to the texts of the second ones.
+        pairs = small_side(pairs)
+        second = small_side(pairs.select(F.col("v").alias("node")).distinct())
+        both = texts.select(F.col("node").alias("u"), F.col("text").alias("x")).join(pairs, "u")
+        both = both.join(texts.join(second, "node").select(F.col("node").alias("v"), F.col("text").alias("y")), "v")
         return cut(both.select("u", "v", "x", "y").mapInArrow(check, "u long, v long, ok boolean"), free=True)
 
     def ordered(pairs: DataFrame) -> DataFrame:
