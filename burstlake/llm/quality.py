@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstlake.llm.labels import sample
+from burstlake.llm.labels import thin
 from burstlake.llm.shared import words
 
 STATS = (
@@ -186,7 +186,7 @@ def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 def learn(measured: DataFrame, labels: DataFrame, rows: int = 20_000, doc_id: str = "doc_id") -> Rules:
     """Fit on at most `rows` labelled documents, a seeded sample by id. labels: (doc_id, label); only statistics are gathered."""
     own = measured.select(F.col(doc_id).alias("doc_id"), "quality_stats.*").join(labels, "doc_id")
-    got = sample(own, rows).toPandas().sort_values(["doc_id", *STATS])
+    got = thin(own, rows).toPandas().sort_values(["doc_id", *STATS])
     return fit_rules(got[list(STATS)].to_numpy(np.float64), got["label"].to_numpy(np.float64))
 
 

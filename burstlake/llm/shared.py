@@ -105,7 +105,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -
     live = cut(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     steps = []
     for k in range(rounds):
-        if len(live.head(FINISH + 1)) <= FINISH:
+        if live.limit(FINISH + 1).count() <= FINISH:
             break
         both = live.union(live.select("v", "u"))
         rank = F.xxhash64(F.lit(k), "v")
