@@ -13,8 +13,8 @@ from pyspark.sql import Window
 
 from burstlake.llm.shared import components, cut
 
-#: Centroids are fitted on at most so many vectors of a label; a label has at most so many cells; rows of a block.
-SAMPLE_ROWS, MAX_CELLS, CELL_ROWS, BLOCK_ROWS = 4096, 256, 1024, 2048
+#: Centroids are fitted on at most so many vectors of a label; a label has at most so many cells; rows of a cell, a block, and a group that is placed.
+SAMPLE_ROWS, MAX_CELLS, CELL_ROWS, BLOCK_ROWS, PLACE_ROWS = 4096, 256, 1024, 2048, 4096
 
 
 def unit(v) -> np.ndarray | None:
@@ -124,7 +124,8 @@ def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id",
     group = ["label", "dim"]
     order = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(9), "key"))
     drawn = reps.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
-    need = reps.groupBy(*group).agg(F.least(F.lit(MAX_CELLS), F.ceil(F.count("*") / CELL_ROWS)).cast("int").alias("k"))
+    size = F.count("*")
+    need = cut(reps.groupBy(*group).agg(F.least(F.lit(MAX_CELLS), F.ceil(size / CELL_ROWS)).cast("int").alias("k"), F.ceil(size / PLACE_ROWS).cast("int").alias("parts")))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rank")
@@ -133,15 +134,19 @@ def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id",
 
     cents = cut(drawn.join(need, group).groupBy(*group).applyInPandas(fit, "label string, dim int, c binary"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for (_, dim), part in b.groupby(["label", "dim"], sort=False):
-                c = np.frombuffer(part["c"].iloc[0], np.float64).reshape(-1, dim)
-                row, cell, home = cells_of(np.stack([np.frombuffer(v, np.float64) for v in part["x"]]), c, least)
-                p = part.iloc[row]
-                yield pd.DataFrame({"label": p["label"].to_numpy(), "dim": p["dim"].to_numpy(), "cell": cell, "home": home, "id": p["id"].to_numpy(), "weight": p["weight"].to_numpy(), "x": p["x"].to_numpy()})
-
-    placed = reps.select(*group, "id", "weight", "x").join(cents, group).mapInPandas(place, "label string, dim int, cell int, home int, id long, weight long, x binary")
+    # Vectors meet their label's centroids in groups of about PLACE_ROWS, so that centroids stand once in each group.
+    def place(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({"label": [], "dim": [], "cell": [], "home": [], "id": [], "weight": [], "x": []})
+        c = np.frombuffer(known["c"].iloc[0], np.float64).reshape(-1, int(part["dim"].iloc[0]))
+        row, cell, home = cells_of(np.stack([np.frombuffer(v, np.float64) for v in part["x"]]), c, least)
+        p = part.iloc[row]
+        return pd.DataFrame({"label": p["label"].to_numpy(), "dim": p["dim"].to_numpy(), "cell": cell, "home": home, "id": p["id"].to_numpy(), "weight": p["weight"].to_numpy(), "x": p["x"].to_numpy()})
+
+    by = [*group, "part"]
+    left = reps.join(need, group).select(*group, F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), "id", "weight", "x")
+    right = cents.join(need, group).select(*group, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "c")
+    placed = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(place, "label string, dim int, cell int, home int, id long, weight long, x binary")
     placed = cut(placed)
     cell = ["label", "dim", "cell"]
     blocks = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))

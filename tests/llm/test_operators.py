@@ -168,6 +168,7 @@ def brute_vectors(data, least):
 def test_vectors_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 40)
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(embedding_dedup, "PLACE_ROWS", 30)
     rng = np.random.default_rng(1)
     centre = rng.standard_normal((12, 6))
     data = [((centre[k % 12] + rng.standard_normal(6) * 0.22).tolist(), int(k % 3)) for k in range(260)]
