@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from burstlake.llm.shared import components, cut, shingle_hashes, small_side, word_hashes, words
 
 #: At most so many frequent shingles are held by each worker (16 bytes each); shingles in fewer texts than the least don't count as frequent.
-MAX_FREQUENT, LEAST_FREQUENT, CHUNK = 1_000_000, 24, 4_000_000
+MAX_FREQUENT, LEAST_FREQUENT, CHUNK = 1_000_000, 24, 2_000_000
 PIVOTS = 1
 #: Numbers of 64 bits that hold the parity of a set's shingles by hash, see parity(), and to how many they are folded in posting lists.
 PARITY, FOLD = 16, 4
@@ -85,12 +85,27 @@ def prefix(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], num: int, den
 
 
 def parity(s: np.ndarray) -> bytes:
-    """64 * PARITY bits: whether the set has an odd number of shingles with that hash remainder. Bits that differ
-    between two sets are never more than the shingles that only one of them has."""
-    odd = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    """Bits that tell whether the set has an odd number of shingles with that hash remainder: 64 * PARITY of them, and
+    twice as many for each doubling of the set beyond 2000. Bits that differ between two sets are never more than the
+    shingles that only one of them has."""
+    bits = 64 * PARITY
+    while bits < len(s) // 2:
+        bits *= 2
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parities over a shorter range of remainders, which divides the longer one."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def differ(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     if den * len(small) < num * len(large):
@@ -159,18 +174,27 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             yield pa.record_batch({"node": b.column("node"), "text": pa.array([tool.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in b.column("text")], pa.binary())})
 
     texts = cut(base.withColumnRenamed("doc_id", "node").join(needed, "node").select("node", "text").mapInArrow(pack, "node long, text binary"), free=True)
-    bits = [F.conv(F.hex(F.substring("odd", 8 * k + 1, 8)), 16, -10).cast("long").alias(f"b{k}") for k in range(PARITY)]
-    signs = cut(usable.select(F.col("doc_id").alias("node"), "n", "odd").join(needed, "node").select("node", "n", *bits).distinct())
+    signs = cut(usable.select(F.col("doc_id").alias("node"), "n", "odd").join(needed, "node").select("node", "n", "odd").distinct())
 
-    def could_link(u: str, v: str, words_: int) -> F.Column:
-        """Whether sizes and parities allow a link: of |x| + |y| shingles, one leaves the share (den - num) / (den + num) at most to one of the two alone."""
-        differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"b{k}_{u}").bitwiseXOR(F.col(f"b{k}_{v}"))) for k in range(words_)])
+    # Of |x| + |y| shingles, a link leaves the share (den - num) / (den + num) at most to one of the two alone.
+    def could_link(u: str, v: str) -> F.Column:
+        """Whether sizes and folded parities of two rows of a posting list allow a link."""
+        apart_ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"b{k}_{u}").bitwiseXOR(F.col(f"b{k}_{v}"))) for k in range(FOLD)])
         n, m = F.col(f"n_{u}"), F.col(f"n_{v}")
-        return (F.least(n, m) * den >= F.greatest(n, m) * num) & (differ * (den + num) <= (n + m) * (den - num))
+        return (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart_ * (den + num) <= (n + m) * (den - num))
 
     def sieve(pairs: DataFrame) -> DataFrame:
-        one, two = (signs.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in signs.columns if c != "node")) for x in ("u", "v"))
-        return pairs.join(one, "u").join(two, "v").where(could_link("u", "v", PARITY)).select("u", "v").distinct()
+        """Of candidate pairs, those whose sizes and full parities allow a link."""
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n, m = b.column("n_u").to_numpy(), b.column("n_v").to_numpy()
+                ok = [differ(x.as_py(), y.as_py()) for x, y in zip(b.column("odd_u"), b.column("odd_v"), strict=True)]
+                yield b.select(["u", "v"]).filter(pa.array(np.array(ok, np.int64) * (den + num) <= (n + m) * (den - num)))
+
+        one, two = (signs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in ("u", "v"))
+        fit = F.least("n_u", "n_v") * den >= F.greatest("n_u", "n_v") * num
+        return pairs.join(one, "u").join(two, "v").where(fit).select("u", "v", "n_u", "n_v", "odd_u", "odd_v").mapInArrow(keep, "u long, v long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,11 +227,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     tried = verify(sieve(ordered(pairs_within.union(star(index)))))
     joined = components(tried.where("ok"))
 
-    folded = [reduce(lambda p, q: p.bitwiseXOR(q), [F.col(f"b{j}") for j in range(k, PARITY, FOLD)]).alias(f"b{k}") for k in range(FOLD)]
     full = index.withColumnRenamed("node", "leader").join(members.select("leader", "node"), "leader")
     own = pairs_within.select(F.col("v").alias("leader")).distinct().join(members.select("leader", "node"), "leader")
     every = full.select("token", "node").union(own.select(F.xxhash64(F.lit("group"), "leader").alias("token"), "node"))
-    short = signs.select("node", F.col("n").cast("int").alias("n"), *folded)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words_ = np.array([fold(np.frombuffer(x.as_py(), np.int64), FOLD) for x in b.column("odd")], np.int64).reshape(-1, FOLD)
+            yield pa.record_batch({"node": b.column("node"), "n": b.column("n").cast(pa.int32()), **{f"b{k}": pa.array(np.ascontiguousarray(words_[:, k])) for k in range(FOLD)}})
+
+    short = cut(signs.mapInArrow(shorten, "node long, n int, " + ", ".join(f"b{k} long" for k in range(FOLD))))
 
     def apart(component: DataFrame) -> DataFrame:
         """Rows of posting lists that lie in several components yet, with a fold of their parities."""
@@ -219,7 +248,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         """Pairs of rows of a posting list in different components, all of them or those with about `few` of its rows,
         that could link by size and fold. This is compared inside the join, which gives no other pair."""
         one, two = (left.select(*(F.col(c).alias(f"{c}_{x}") for c in left.columns)) for x in ("u", "v"))
-        on = (F.col("token_u") == F.col("token_v")) & (F.col("c_u") != F.col("c_v")) & could_link("u", "v", FOLD)
+        on = (F.col("token_u") == F.col("token_v")) & (F.col("c_u") != F.col("c_v")) & could_link("u", "v")
         if few is None:
             on = on & (F.col("node_u") < F.col("node_v"))
         else:

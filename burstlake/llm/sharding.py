@@ -21,7 +21,7 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20, seed: int = 11) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text", bucket_bytes: int = 8 << 20, seed: int = 11) -> DataFrame:
     """All rows of docs in a random order, dealt to shards whose counts differ by one at most (law `rows`).
 
     Adds size (UTF-8 bytes of the text, 8 more), text_crc32 (unsigned, of the UTF-8 text; null for null), bucket,
