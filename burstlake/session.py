@@ -25,6 +25,9 @@ def ship_package(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(target.as_uri())
         _shipped.add(app)
+        # Rows hold whole texts and spectra: batches of Spark's default size would be tens of megabytes in every worker.
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 
