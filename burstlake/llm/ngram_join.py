@@ -27,6 +27,8 @@ from burstlake.llm.shared import components, cut, shingle_hashes, small_side, wo
 #: At most so many frequent shingles are held by each worker (16 bytes each); shingles in fewer texts than the least don't count as frequent.
 MAX_FREQUENT, LEAST_FREQUENT, CHUNK = 1_000_000, 24, 2_000_000
 PIVOTS = 1
+#: Posting lists of this mean length or less meet in full at once: so many comparisons of numbers cost less than another round.
+SHORT = 64
 #: Numbers of 64 bits that hold the parity of a set's shingles by hash, see parity(), and to how many they are folded in posting lists.
 PARITY, FOLD = 16, 4
 
@@ -192,9 +194,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 ok = [differ(x.as_py(), y.as_py()) for x, y in zip(b.column("odd_u"), b.column("odd_v"), strict=True)]
                 yield b.select(["u", "v"]).filter(pa.array(np.array(ok, np.int64) * (den + num) <= (n + m) * (den - num)))
 
-        one, two = (signs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in ("u", "v"))
-        fit = F.least("n_u", "n_v") * den >= F.greatest("n_u", "n_v") * num
-        return pairs.join(one, "u").join(two, "v").where(fit).select("u", "v", "n_u", "n_v", "odd_u", "odd_v").mapInArrow(keep, "u long, v long").distinct()
+        # Sizes first: most pairs that differ in size then carry no parities.
+        for x in ("u", "v"):
+            pairs = pairs.join(signs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")), x)
+        pairs = pairs.where(F.least("n_u", "n_v") * den >= F.greatest("n_u", "n_v") * num)
+        for x in ("u", "v"):
+            pairs = pairs.join(signs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")), [x, f"n_{x}"])
+        return pairs.select("u", "v", "n_u", "n_v", "odd_u", "odd_v").mapInArrow(keep, "u long, v long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +264,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # Where lists are long, rounds that only merge components, each with more pivots; then what is still apart meets in full.
     left = apart(joined)
     for few in (8, 64):
-        if (left.agg(F.avg("size")).first()[0] or 0) <= few:
+        if (left.agg(F.avg("size")).first()[0] or 0) <= SHORT:
             break
         again = verify(sieve(ordered(meet(left, few)).join(tried, ["u", "v"], "left_anti")))
         tried = tried.union(again)
