@@ -361,6 +361,20 @@ def test_mix(spark, awkward, empty):
     assert out.columns == awkward.columns and out.count() == mixing.mix(awkward).agg(F.sum("copies")).first()[0]
 
 
+def test_mix_offsets_one_very_long_document(spark):
+    rng = random.Random(4)
+    docs = []
+    for name, n in (("s500", 500), ("s5000", 5000)):
+        docs += [(f"{name}", rng.randint(100, 800)) for _ in range(n - 1)] + [(name, 100_000)]
+    docs = spark.createDataFrame([(k, s, n) for k, (s, n) in enumerate(docs)], "doc_id long, source string, n int").selectExpr("doc_id", "repeat('w ', n) text", "source")
+    for seed in (7, 8):
+        got = mixing.mix(docs, weights=(1, 12), share=0.5, seed=seed).toPandas()
+        assert len(got) == 5500 and got.doc_id.is_unique
+        for s, g in got.groupby("source"):
+            assert 0 < (g.target / g.source_size).iloc[0] % 1 < 1
+            assert abs(g.taken.sum() - g.target.iloc[0]) <= 2, (s, g.taken.sum(), g.target.iloc[0])
+
+
 # ---- 9 ----------------------------------------------------------------------------------------------------------------
 
 
