@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Fixed bounds of what is learnt from: documents for each language, their length, and bytes of each dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGS = 128, (200, 20_000), 64_000, 64
+#: A text is compressed in pieces of so many bytes, each against the dictionary alone, so that every part counts alike.
+PIECE = 4096
 
 
 def compressor(raw: bytes) -> zstandard.ZstdCompressor:
@@ -46,7 +48,8 @@ def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang",
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = 0.005) -> DataFrame:
     """Adds lang_pred, lang_score, lang_margin and lang_rejected to docs; whole texts, one narrow stage.
 
-    Each text, lower-cased, is compressed with each language's dictionary; the fewest bytes win, the first language by
+    Each text, lower-cased, is compressed with each language's dictionary in pieces of about PIECE bytes, each of them
+    a frame that knows nothing of the others; the fewest bytes of all pieces win, the first language by
     name at a tie. lang_margin is the share of bytes by which the second is larger. lang_rejected says that it is
     under `margin`, so that callers can treat the guess as none. lang_score is 1 over the sum of 2 to the power of
     minus each language's bytes beyond the best. Texts that are null or hold no letter, and all texts if no
@@ -64,7 +67,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                     out.append(("und", 0.0, 0.0))
                     continue
                 raw = t.lower().encode("utf-8", "surrogatepass")
-                took = sorted((len(c.compress(raw)), k) for k, c in tools.items())
+                n = -(-len(raw) // PIECE)
+                pieces = [raw[len(raw) * k // n : len(raw) * (k + 1) // n] for k in range(n)]
+                took = sorted((sum(len(c.compress(x)) for x in pieces), k) for k, c in tools.items())
                 best, name = took[0]
                 apart = (took[1][0] - best) / best if len(took) > 1 else 1.0
                 out.append((name, 1 / sum(2.0 ** max(best - n, -1000) for n, _ in took), apart))

@@ -84,6 +84,16 @@ def test_language(spark, awkward, empty, sf):
     assert {r.lang_pred for r in language_id.identify(awkward, {}).collect()} == {"und"}
 
 
+def test_language_of_a_long_text_is_that_of_most_of_it(spark):
+    rng = random.Random(6)
+    make = lambda stem, n: " ".join(stem + rng.choice("aeiou") + rng.choice("bdgklmn") + rng.choice(["ung", "heit"] if stem == "sch" else ["ing", "ness"]) for _ in range(n))
+    known = {"de": make("sch", 6000).encode()[:64000], "en": make("th", 6000).encode()[:64000]}
+    odd = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(270_000))
+    cases = [(1, odd + make("sch", 30_000), "de"), (2, odd + make("th", 30_000), "en"), (3, make("th", 2000) + " " + make("sch", 6000), "de"), (4, make("th", 30_000) + " " + make("sch", 40_000), "de")]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string"), known).collect()}
+    assert got == {k: lang for k, _, lang in cases}
+
+
 # ---- 2 ----------------------------------------------------------------------------------------------------------------
 
 
