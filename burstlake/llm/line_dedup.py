@@ -1,4 +1,4 @@
-"""Line near-duplicates by deletion neighbourhoods over words: a line goes if an earlier one is at most one word edit away.
+"""Line near-duplicates by deletion neighbourhoods over words: a line goes if an earlier one is the same or, if both are long enough, one word edit away.
 
 Two word sequences are one edit apart if a word was replaced (both, without the word at one place, are the same), or
 added or removed (one of them, without a word, is the other). So every line emits itself and its variants with one word
@@ -21,6 +21,8 @@ from burstlake.llm.shared import cut, small_side, words
 
 #: A line's place in the corpus as one number, in the order of document and line.
 LINES = 1 << 31
+#: In a line of fewer words, one word is too large a part: drop_lines() takes such lines for the same only if all words are.
+LEAST_WORDS = 6
 
 
 def digest(tokens: list[bytes]) -> bytes:
@@ -63,11 +65,13 @@ def place(doc: str = "doc_id", line: str = "line") -> F.Column:
     return (F.col(doc).cast("decimal(20,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col(line).cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
-def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, of_doc, of_line): each line that goes, and the earliest line within one word edit of it.
+def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
+    """(doc_id, line, of_doc, of_line): each line that goes, and the earliest line within its bound.
+
+    The bound of two lines is one word edit if both have `least` words or more, else none: they must be the same.
 
     Lines are what line feeds separate, numbered from 0; words are what white space separates, A-Z lower-cased. Earlier
-    is a smaller (doc_id, line). A line goes if any earlier line, kept or not, has the same words or is one edit away,
+    is a smaller (doc_id, line). A line goes if any earlier line, kept or not, has the same words or is in the bound,
     in the same document or another. Lines without words are never compared and stay. Null texts and ids have no
     lines. Rows with the same id count as one document; a line number goes if a line with it goes in any of them.
     Extra columns are left out; an empty table gives none.
@@ -78,7 +82,7 @@ def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                doc, line, own, half = [], [], [], []
+                doc, line, own, half, exact = [], [], [], [], []
                 for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     for k, x in enumerate(t.split("\n")):
                         tokens = words(x)
@@ -86,16 +90,18 @@ def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                             doc.append(d)
                             line.append(k)
                             own.append(digest(tokens))
-                            half += halves(tokens)
+                            half += halves(tokens) if len(tokens) >= least else [0] * 4
+                            exact.append(len(tokens) < least)
                 h = np.array(half, np.uint64).view(np.int64).reshape(-1, 4)
-                yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(line, pa.int64()), "own": pa.array(own, pa.binary()), **{f"k{j}": pa.array(np.ascontiguousarray(h[:, j])) for j in range(4)}})
+                none = np.array(exact, bool)
+                yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(line, pa.int64()), "own": pa.array(own, pa.binary()), **{f"k{j}": pa.array(np.ascontiguousarray(h[:, j]), mask=none) for j in range(4)}})
 
     keys = ["k0", "k1", "k2", "k3"]
     lines = cut(base.mapInArrow(split, "doc_id long, line long, own binary, " + ", ".join(f"{k} long" for k in keys)))
     # The first line with the same words stands for all of them; a frequent line is summed up before it is shuffled.
     firsts = cut(lines.groupBy("own").agg(F.min(place()).alias("at"), *(F.min(k).alias(k) for k in keys)))
     # Only lines that share a half with another can be one edit away from one; the others need no variants.
-    half = firsts.select(F.xxhash64("own").alias("own"), F.explode(F.array(*keys)).alias("key"))
+    half = firsts.select(F.xxhash64("own").alias("own"), F.explode(F.array(*keys)).alias("key")).where("key is not null")
     shared = half.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("key")
     near = half.join(shared, "key").select(F.col("own").alias("short")).distinct()
     near = firsts.withColumn("short", F.xxhash64("own")).join(near, "short").select(F.floor(F.col("at") / LINES).cast("long").alias("doc_id"), F.pmod("at", F.lit(LINES)).cast("long").alias("line"))
@@ -143,12 +149,12 @@ def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return gone.select("doc_id", "line", F.floor(F.col("first") / LINES).cast("long").alias("of_doc"), F.pmod("first", F.lit(LINES)).cast("long").alias("of_line")).distinct()
 
 
-def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """docs with the lines of near_lines() taken out of the texts, and n_lines and n_dropped added (replaced, if there).
 
     Every row stays; a null text stays null and counts 0 lines; a document all of whose lines go keeps an empty text.
     """
-    gone = near_lines(docs, doc_id, text).groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line")).alias("gone_lines"))
+    gone = near_lines(docs, doc_id, text, least).groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line")).alias("gone_lines"))
     gone = small_side(gone)
     all_lines = F.split(F.col(text), "\n", -1)
     out = docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left").drop("gone_id")

@@ -295,6 +295,13 @@ def test_one_edit():
     assert not line_dedup.one_edit([b"a", b"b"], [b"b", b"a"]) and not line_dedup.one_edit([b"a"], [b"a", b"b", b"c"])
 
 
+def test_distinct_short_lines_stay(spark):
+    near = ["a b c d e f", "a b c d e", "a b x d e f", "a b c d x", "a b c d e f g"]
+    docs = [(1, "haanth.\nanth.\nChapter 1\nChapter 2\nchapter 1"), (2, "\n".join(near)), (3, "Anth.\nchapter 3")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: "haanth.\nanth.\nChapter 1\nChapter 2", 2: "a b c d e f\na b c d e\na b c d x", 3: "chapter 3"}
+
+
 def test_lines_awkward(spark, awkward, empty):
     got = line_dedup.drop_lines(awkward)
     assert set(got.columns) == {*awkward.columns, "n_dropped"} and got.count() == 11
