@@ -71,6 +71,24 @@ def test_greedy_brute_force(spark):
     assert got == want
 
 
+def test_nearest_same_day_brute_force(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    kinds = ["click", "purchase"]
+    # Days 2 and 5 have no bursts; hardly any burst's id is a multiple of seven.
+    rows = [(k, 1, kinds[rng.random() < 0.3] if d not in (2, 5) else "click", d * 86400 + rng.randrange(86400), 1.0) for k, d in enumerate(rng.randrange(7) for _ in range(150))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s long, value double").selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(1704067200 + s) ts", "value").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.cand_id: r.delta_s for r in QUERIES["nearest_same_day_all"](spark, str(tmp_path)).collect()}
+    bursts = [r[3] for r in rows if r[2] == "purchase"]
+    want = {}
+    for k, _, kind, s, _ in rows:
+        if kind == "click":
+            same = [b for b in bursts if b // 86400 == s // 86400]
+            want[k] = min(abs(b - s) for b in same or bursts)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.01 for k in want)
+
+
 def test_box_suppression(spark):
     from burstlake.operators.boxes import nms
 
