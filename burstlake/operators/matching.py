@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burstlake.functions import names
+
 
 def band_match(truth: DataFrame, found: DataFrame, key: str, tolerance: float, strict: bool = True) -> DataFrame:
     """truth (truth_id, key, truth_t) left outer found (found_id, key, found_t) on the key and a time distance under tolerance.
@@ -102,6 +104,19 @@ def greedy_match(expected: DataFrame, found: DataFrame, key: str, tolerance: flo
     return both.join(runs, [key, "bin"]).groupBy(key, "run").applyInPandas(choose, f"{key} {kind}, truth_id long, found_id long")
 
 
+def similar_match(known: DataFrame, found: DataFrame, tolerance: float) -> DataFrame:
+    """(known_id, found_id, common): all pairs with similar names whose times are at most the tolerance apart.
+
+    known: (known_id, known_t, known_tokens); found: (found_id, found_t, found_tokens). Times go into bins of the
+    tolerance's width, and each known row into its own and both neighbours, so that only rows near in time meet.
+    """
+    at = F.floor(F.col("known_t") / tolerance)
+    k = known.withColumn("bin", F.explode(F.array(at - 1, at, at + 1)))
+    pairs = k.join(found.withColumn("bin", F.floor(F.col("found_t") / tolerance)), "bin").where(F.abs(F.col("known_t") - F.col("found_t")) <= tolerance)
+    met = pairs.where(names.similar(F.col("known_tokens"), F.col("found_tokens")))
+    return met.select("known_id", "found_id", F.size(F.array_intersect("known_tokens", "found_tokens")).cast("long").alias("common"))
+
+
 def lookup(rows: DataFrame, table: DataFrame, variants: list[Column], key: str, value: str, row_id: str) -> DataFrame:
     """The value of the first of several spellings of a key that the table has; null if it has none."""
     tries = rows.select(row_id, F.posexplode(F.array(*variants)).alias("priority", key))

@@ -82,6 +82,13 @@ def token_similarity_match(spark, sf_dir):
     return p.join(q, "page_id").select("page_id", F.size(F.array_intersect("tk", "other")).cast("long").alias("common"), names.similar(F.col("tk"), F.col("other")).alias("similar"))
 
 
+@query()
+def token_similarity_band(spark, sf_dir):
+    """All pairs of pages with similar names within a band of ids, which stand for times; each pair once."""
+    side = lambda x: table(spark, sf_dir, "pages").select(F.col("page_id").alias(f"{x}_id"), F.col("page_id").alias(f"{x}_t"), names.long_tokens(F.col("url"), "[/.]").alias(f"{x}_tokens"))
+    return matching.similar_match(side("known"), side("found"), 8).where("known_id < found_id")
+
+
 @query("""SELECT o_orderkey, coalesce(a.c_custkey, b.c_custkey, d.c_custkey) AS custkey, CASE WHEN a.c_custkey IS NOT NULL THEN 0 WHEN b.c_custkey IS NOT NULL THEN 1 WHEN d.c_custkey IS NOT NULL THEN 2 END AS priority
 FROM orders LEFT JOIN customer a ON a.c_name = 'Customer#' || o_custkey::VARCHAR LEFT JOIN customer b ON b.c_name = 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') LEFT JOIN customer d ON d.c_name = 'customer-' || o_custkey::VARCHAR""")
 def lookup_with_variants(spark, sf_dir):

@@ -89,6 +89,18 @@ def test_nearest_same_day_brute_force(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 0.01 for k in want)
 
 
+def test_token_similarity_brute_force(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    rows = [(k, "https://" + "/".join(rng.choice(["abc", "defg", "hij", "xy", "klm", "nop"]) for _ in range(4))) for k in sorted(rng.sample(range(150), 70))]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.known_id, r.found_id): r.common for r in QUERIES["token_similarity_band"](spark, str(tmp_path)).collect()}
+    tokens = {k: {x for x in u.replace(".", "/").split("/") if len(x) >= 3} for k, u in rows}
+    want = {(a, b): len(tokens[a] & tokens[b]) for a in tokens for b in tokens if a < b <= a + 8 and len(tokens[a] & tokens[b]) >= max(1, min(3, len(tokens[a]), len(tokens[b])))}
+    assert got == want and any(b - a > 1 for a, b in want)
+
+
 def test_box_suppression(spark):
     from burstlake.operators.boxes import nms
 
