@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 from burstlake.llm.labels import sample
 from burstlake.llm.shared import cut, words
 
-WINDOW, STRIDE = 40, 30
+#: Every passage of WINDOW - STRIDE + 1 words lies whole in a window.
+WINDOW, STRIDE = 40, 10
+#: A text whose highest window has a logit between these is scored at every shift.
+UNSURE = (-4.0, 4.0)
 HIDDEN, DIM, BUCKETS, ATTEND = 8, 8, 8192, 8
 #: Bounds of what is learnt from: texts of either label, their length in characters, and known words.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_WORDS, LEAST_DOCS = 1500, 6000, 4096, 12
@@ -200,6 +203,7 @@ class Scorer:
         """0 to 1 for each; 0 for a text without words."""
         out = np.zeros(len(texts))
         todo: list[tuple[int, np.ndarray, np.ndarray | None]] = []
+        self.long: dict[int, np.ndarray] = {}
         held = 0
         if len(self.row) > CACHE:
             self.row, self.table = {}, self.table[:0]
@@ -207,8 +211,11 @@ class Scorer:
         for k, t in enumerate(texts):
             tokens = words(t)
             if tokens:
-                w, mask = windows(self.rows(tokens))
+                ids = self.rows(tokens)
+                w, mask = windows(ids)
                 todo.append((k, w, mask))
+                if len(ids) > WINDOW:
+                    self.long[k] = ids
                 held += len(w)
             if held >= 4 * BATCH:
                 self.finish(todo, out)
@@ -216,6 +223,13 @@ class Scorer:
         self.finish(todo, out)
         return out
 
+    def every_shift(self, ids: np.ndarray) -> float:
+        n, best = len(ids) - WINDOW + 1, -np.inf
+        for a in range(0, n, BATCH):
+            z = self.net.logits(ids[np.arange(a, min(a + BATCH, n))[:, None] + np.arange(WINDOW)], None, self.table)
+            best = max(best, float(z.max()))
+        return best
+
     def finish(self, todo: list, out: np.ndarray) -> None:
         if len(self.fresh) > 1:
             self.table = np.concatenate(self.fresh)
@@ -232,6 +246,9 @@ class Scorer:
                 z = self.net.logits(ids[a : a + BATCH], mask[a : a + BATCH] if padded else None, self.table)
                 np.maximum.at(best, owner[a : a + BATCH], z)
             hit = np.unique(owner)
+            for k in hit.tolist():
+                if (ids_k := self.long.pop(k, None)) is not None and UNSURE[0] < best[k] < UNSURE[1]:
+                    best[k] = max(best[k], self.every_shift(ids_k))
             out[hit] = 1 / (1 + np.exp(-np.clip(best[hit].astype(np.float64), -60, 60)))
 
 

@@ -264,6 +264,29 @@ def test_toxicity_windows_cover_all_words():
         assert set(seen.tolist()) == set(range(n))
 
 
+def test_toxicity_windows_hold_passages_whole():
+    for n in (41, 70, 75, 200):
+        ids, _ = toxicity.windows(np.arange(n))
+        for a in range(n - 20):
+            assert any(w[0] <= a and a + 20 <= w[-1] for w in ids), (n, a)
+
+
+def test_toxicity_barely_moves_with_clean_words_in_front():
+    rng = random.Random(9)
+    clean = texts(200, 3, length=(5, 120))
+    bad = []
+    for t in texts(80, 4, length=(5, 120)):
+        w = t.split()
+        for _ in range(4):
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "scumbag", "moron"]))
+        bad.append(" ".join(w))
+    scorer = toxicity.Scorer(toxicity.train(clean + bad, np.array([0] * 200 + [1] * 80)))
+    filler = texts(1, 11, length=(400, 400))[0].split()
+    body = filler[:24] + ["idiot"] + filler[24:28] + ["moron"] + filler[28:39] + ["idiot"] + filler[39:41] + ["moron"] + filler[41:140]
+    got = scorer.score([" ".join(filler[200 : 200 + k] + body) for k in range(31)])
+    assert got.max() - got.min() < 0.05, got
+
+
 # ---- 6 ----------------------------------------------------------------------------------------------------------------
 
 
