@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from burstlake.llm.shared import components, cut
+from burstlake.llm.shared import components, cut, forest
 
 #: Centroids are fitted on at most so many vectors of a label; a label has at most so many cells; rows of a cell, a block, and a group that is placed.
 SAMPLE_ROWS, MAX_CELLS, CELL_ROWS, BLOCK_ROWS, PLACE_ROWS = 4096, 256, 1024, 2048, 4096
@@ -62,20 +62,6 @@ def cells_of(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np
     return row, cell, home[row]
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """For each row the first row that it reaches in a symmetric matrix of links; every row is visited once."""
-    root = np.full(len(linked), -1)
-    for k in range(len(linked)):
-        if root[k] >= 0:
-            continue
-        root[k], front = k, np.array([k])
-        while len(front):
-            new = linked[front].any(0) & (root < 0)
-            front = np.nonzero(new)[0]
-            root[front] = k
-    return root
-
-
 def block_links(x: np.ndarray, ids: np.ndarray, home: np.ndarray, cell: int, side: np.ndarray, cross: bool, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of the rows of one pair of blocks: for each row the weight of rows it links with, and the root of its group."""
     n = len(x)

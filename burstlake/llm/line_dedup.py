@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstlake.llm.shared import cut, small_side, words
+from burstlake.llm.shared import OWN, cut, mark_ids, words
 
 
 #: A line's place in the corpus as one number, in the order of document and line.
@@ -128,7 +128,9 @@ def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
                         full += [b" ".join(tokens), *[None] * (n - 1)]
                 yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(line, pa.int64()), "own": pa.array(own, pa.binary()), "key": pa.array(key, pa.binary()), "gone": pa.array(gone, pa.int32()), "full": pa.array(full, pa.binary())})
 
-    made = base.join(small_side(asked), "doc_id").select("doc_id", "text", "ask").mapInArrow(emit, "doc_id long, line long, own binary, key binary, gone int, full binary")
+    asked = cut(asked)
+    may = mark_ids(base, "doc_id", asked.select("doc_id"), "may").where("may").drop("may")
+    made = may.join(asked, "doc_id").select("doc_id", "text", "ask").mapInArrow(emit, "doc_id long, line long, own binary, key binary, gone int, full binary")
     made = cut(made.withColumn("at", place()).drop("doc_id", "line"))
     # Equal (key, place of the deleted word): one replaced. Equal key with the line itself, where no word is gone (-1): one added.
     per = made.groupBy("key", "gone").agg(F.min("at").alias("same"))
@@ -145,7 +147,8 @@ def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     verified = cut(pairs.where(is_near("full", "other")).select("own", "best"))
 
     label = firsts.select("own", "at").join(verified, "own", "left").select("own", F.least("at", "best").alias("first"))
-    gone = lines.select("doc_id", "line", "own", place().alias("at")).join(label, "own").where("first < at")
+    # Nothing stands above this join that needs a line's copies together, so that Spark can split those of a frequent line.
+    gone = cut(lines.select("doc_id", "line", "own", place().alias("at")).join(label, "own").where("first < at").select("doc_id", "line", "first"))
     return gone.select("doc_id", "line", F.floor(F.col("first") / LINES).cast("long").alias("of_doc"), F.pmod("first", F.lit(LINES)).cast("long").alias("of_line")).distinct()
 
 
@@ -154,10 +157,27 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
 
     Every row stays; a null text stays null and counts 0 lines; a document all of whose lines go keeps an empty text.
     """
-    gone = near_lines(docs, doc_id, text, least).groupBy(F.col("doc_id").alias("gone_id")).agg(F.sort_array(F.collect_set("line")).alias("gone_lines"))
-    gone = small_side(gone)
-    all_lines = F.split(F.col(text), "\n", -1)
-    out = docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left").drop("gone_id")
-    kept = F.when(F.col("gone_lines").isNull(), F.col(text)).otherwise(F.array_join(F.filter(all_lines, lambda x, k: ~F.array_contains("gone_lines", k.cast("long"))), "\n"))
-    out = out.withColumns({"n_lines": F.coalesce(F.size(all_lines), F.lit(0)), "n_dropped": F.coalesce(F.size("gone_lines"), F.lit(0)), text: kept})
-    return out.withColumn("n_lines", F.greatest("n_lines", F.lit(0))).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0))).drop("gone_lines")
+    gone_id, gone_lines, may = OWN + "id", OWN + "lines", OWN + "may"
+    gone = near_lines(docs, doc_id, text, least).groupBy(F.col("doc_id").alias(gone_id)).agg(F.collect_set("line").alias(gone_lines))
+    gone = cut(gone)
+    # A row without words in lines that go, as nearly all whose bit isn't set, moves nowhere.
+    marked = mark_ids(docs, doc_id, gone.select(gone_id), may)
+    met = marked.where(may).join(gone, F.col(doc_id).cast("long") == F.col(gone_id), "left").drop(gone_id)
+    rest = marked.where(f"not {may}").withColumn(gone_lines, F.lit(None).cast("array<bigint>"))
+    out = met.unionByName(rest).drop(may)
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, lines: pd.Series) -> pd.Series:
+        out = []
+        for t, x in zip(texts, lines, strict=True):
+            if t is None or x is None:
+                out.append(t)
+                continue
+            go = set(x.tolist())
+            out.append("\n".join(y for k, y in enumerate(t.split("\n")) if k not in go))
+        return pd.Series(out, dtype=object)
+
+    n = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)
+    kept = F.when(F.col(gone_lines).isNull(), F.col(text)).otherwise(without(F.when(F.col(gone_lines).isNotNull(), F.col(text)), gone_lines))
+    dropped = F.when(F.col(text).isNull() | F.col(gone_lines).isNull(), 0).otherwise(F.size(gone_lines))
+    return out.withColumns({"n_lines": n.cast("int"), "n_dropped": dropped.cast("int"), text: kept}).drop(gone_lines)

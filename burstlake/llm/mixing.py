@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burstlake.llm.shared import WORD, cut, small_side
+from burstlake.llm.shared import OWN, WORD, cut
 
 
 def word_count(text: str) -> F.Column:
@@ -231,17 +231,17 @@ def take(docs: DataFrame, **how) -> DataFrame:
     Rows that share an id, a source and a size are numbered within these on both sides, to tell them apart.
     """
     names = {k: how.get(k, k) for k in ("doc_id", "text", "source")}
-    like = ["mix_id", "mix_source", "mix_size"]
-    chosen = cut(mix(docs, **how).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies")))
-    own = docs.withColumns({"mix_id": F.col(names["doc_id"]), "mix_source": F.col(names["source"]), "mix_size": word_count(names["text"])})
+    like = [OWN + k for k in ("id", "source", "size")]
+    nth, copies, copy = (OWN + k for k in ("nth", "copies", "copy"))
+    chosen = cut(mix(docs, **how).select(*(F.col(k).alias(x) for k, x in zip(("doc_id", "source", "size"), like, strict=True)), F.col("copies").alias(copies)))
+    own = docs.withColumns(dict(zip(like, (F.col(names["doc_id"]), F.col(names["source"]), word_count(names["text"])), strict=True)))
     if chosen.groupBy(*like).count().where("count > 1").isEmpty():
-        chosen, own = chosen.withColumn("mix_nth", F.lit(1)), own.withColumn("mix_nth", F.lit(1))
+        chosen, own = chosen.withColumn(nth, F.lit(1)), own.withColumn(nth, F.lit(1))
     else:
-        nth = Window.partitionBy(*like)
-        chosen = chosen.withColumn("mix_nth", F.row_number().over(nth.orderBy("mix_copies")))
-        own = own.withColumn("mix_nth", F.row_number().over(nth.orderBy(names["text"])))
-    chosen = small_side(chosen.where("mix_copies > 0"))
-    a, b = own.alias("a"), chosen.alias("b")
-    met = a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*like, "mix_nth")]))
-    met = met.withColumn("mix_copy", F.explode(F.expr("sequence(1, cast(b.mix_copies as int))")))
+        same = Window.partitionBy(*like)
+        chosen = chosen.withColumn(nth, F.row_number().over(same.orderBy(copies)))
+        own = own.withColumn(nth, F.row_number().over(same.orderBy(names["text"])))
+    a, b = own.alias("a"), chosen.where(F.col(copies) > 0).alias("b")
+    met = a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*like, nth)]))
+    met = met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"b.{copies}").cast("int"))))
     return met.select(*(F.col(f"a.`{c}`") for c in docs.columns))

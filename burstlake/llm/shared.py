@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ _temporary: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a temporary one for the application."""
+    """The folder that driver and executors share. A local session that names none (tests) gets a temporary one; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _temporary:
             _temporary[app] = tempfile.mkdtemp(prefix="spark-shared-")
@@ -30,32 +33,112 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
+_written: dict[str, list[str]] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here and a lost executor costs no recomputation.
 
-    The folder is removed when the session's JVM ends. With free, the JVM is asked to collect its garbage, which lets
-    Spark's cleaner delete the shuffle files that led to the table: they are of no use any more and would stay on the
-    executors' disks until the driver happens to collect.
+    The folder is removed when the session's JVM ends, or by tidy().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    if free:
-        jvm.System.gc()
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A table of ids with at most so many rows goes to every executor, so that texts needn't be shuffled to it.
-BROADCAST_ROWS = 500_000
+def tidy(spark: SparkSession) -> int:
+    """Remove the tables that cut() has written in this session, and tell how many; for long sessions, when results have been written."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    return len(paths)
+
+
+#: Columns that operators add to a caller's table for a while begin so; no table may have columns that do.
+OWN = "burstlake__"
+
+#: A set of ids is told by so many bits at most, which are broadcast as rows of 64 bits: 131 072 rows, whatever the table's size.
+ID_BITS = 1 << 23
+
+
+def mark_ids(df: DataFrame, column: str, ids: DataFrame, out: str) -> DataFrame:
+    """Adds out to df: false where column surely isn't among the values of the one column of ids (or is null), else true.
+
+    The bits that say so have a fixed size: where ids are many, more rows are marked that a join must then rule out,
+    and no row is lost. So joins of few ids with whole texts move few texts, and joins of many ids are plain joins.
+    """
+    at = lambda c: F.pmod(F.xxhash64(F.lit("bits"), F.col(c).cast("long")), F.lit(ID_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at(c), F.lit(64)).cast("int"))
+    word = lambda c: F.floor(at(c) / 64).cast("int")
+    (name,) = ids.columns
+    held = ids.where(F.col(name).isNotNull()).groupBy(word(name).alias(f"{out}_word")).agg(F.bit_or(bit(name)).alias(f"{out}_bits"))
+    met = df.withColumn(f"{out}_of", word(column)).join(F.broadcast(held), F.col(f"{out}_of") == F.col(f"{out}_word"), "left")
+    return met.withColumn(out, F.coalesce(F.col(f"{out}_bits").bitwiseAND(bit(column)) != 0, F.lit(False)) & F.col(column).isNotNull()).drop(f"{out}_of", f"{out}_word", f"{out}_bits")
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """df, written, for a join with texts: marked for broadcast if it has at most BROADCAST_ROWS rows of ids, else plain."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def with_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose column is among ids (one column of longs); only rows that may be are shuffled. Columns of df stay."""
+    own = ids.toDF(OWN + "id").distinct()
+    return mark_ids(df, column, own, OWN + "maybe").where(OWN + "maybe").drop(OWN + "maybe").join(own, F.col(column) == F.col(OWN + "id"), "left_semi")
+
+
+def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose column is null or not among ids; only rows that may be among them are shuffled."""
+    own = ids.toDF(OWN + "id").distinct()
+    marked = mark_ids(df, column, own, OWN + "maybe")
+    rest = marked.where(OWN + "maybe").join(own, F.col(column) == F.col(OWN + "id"), "left_anti")
+    return marked.where(f"not {OWN}maybe").unionByName(rest).drop(OWN + "maybe")
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 50_000, mb: int = 16) -> Iterator[pa.Table]:
+    """Tables of a stream that is sorted by key, cut only where the key changes: about `rows` rows or `mb` megabytes, or one key's rows."""
+    held: list[pa.RecordBatch] = []
+    n = size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= rows or size >= mb << 20:
+            whole = pa.Table.from_batches(held)
+            at = np.flatnonzero(starts(whole, key))[-1]
+            if at:
+                yield whole.slice(0, at)
+                held = whole.slice(at).combine_chunks().to_batches()
+                n, size = whole.num_rows - at, sum(x.nbytes for x in held)
+            else:
+                rows, mb = max(rows, 2 * n), max(mb, (2 * size) >> 20)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def starts(table: pa.Table, key: list[str]) -> np.ndarray:
+    """Which rows differ from the row before in any column of key (numbers)."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in key:
+        x = table.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """For each row the first row that it reaches in a symmetric matrix of links; every row is visited once."""
+    root = np.full(len(linked), -1)
+    for k in range(len(linked)):
+        if root[k] >= 0:
+            continue
+        root[k], front = k, np.array([k])
+        while len(front):
+            new = linked[front].any(0) & (root < 0)
+            front = np.nonzero(new)[0]
+            root[front] = k
+    return root
 
 
 def words(text: str | None) -> list[bytes]:
@@ -145,6 +228,3 @@ def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             above[max(a, c)] = min(a, c)
     nodes = sorted(above)
     yield pd.DataFrame({"node": nodes, "to": [top(x) for x in nodes]}, dtype="int64")
-
-
-
