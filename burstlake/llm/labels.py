@@ -23,11 +23,6 @@ def one_label(labels: DataFrame, label: str, doc_id: str = "doc_id") -> DataFram
     return both.where("label = top").drop("top")
 
 
-def sample(df: DataFrame, rows: int, doc_id: str = "doc_id", seed: int = 3) -> DataFrame:
-    """The first rows in a seeded hash order of the id: the same ones at each run, whatever the partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), doc_id), doc_id).limit(rows)
-
-
 def thin(df: DataFrame, rows: int, doc_id: str = "doc_id", seed: int = 3) -> DataFrame:
     """All of df if it has at most `rows` rows, else the ids whose seeded hash falls under a share that gives a little less.
 

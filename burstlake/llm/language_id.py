@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed bounds of what is learnt from: documents for each language, their length, and bytes of each dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGS = 128, (200, 20_000), 64_000, 64
+from burstlake.llm.shared import OWN
+
+#: Bounds of what is learnt from: about so many documents for each language, their length, bytes of each dictionary, and languages (the most frequent ones).
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGS = 128, (200, 20_000), 64_000, 256
 #: A text is compressed in pieces of so many bytes, each against the dictionary alone, so that every part counts alike.
 PIECE = 4096
 
@@ -26,18 +28,23 @@ def compressor(raw: bytes) -> zstandard.ZstdCompressor:
 def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
     """Raw dictionary content for each language: whole lower-cased documents, in a seeded order of ids.
 
-    The sample is bounded by SAMPLE_DOCS documents for each language with a length in SAMPLE_CHARS, and DICT_BYTES.
-    A language without a document of that length takes documents of any length up to the upper bound.
+    The sample is a share of a hash of ids that gives about SAMPLE_DOCS documents for each language with a length in
+    SAMPLE_CHARS, of which DICT_BYTES are kept. A language without a document of that length takes documents of any
+    length up to the upper bound. Of more than MAX_LANGS languages the most frequent ones are learnt. Null and empty
+    texts and null languages aren't learnt from; null ids are, as one id; repeated rows count as they are. An empty
+    table gives no dictionary. Nothing is sorted: languages are counted, and only sampled texts are gathered.
     """
-    n = F.length(text)
-    fit = docs.where(F.col(lang).isNotNull() & (n > 0) & (n < SAMPLE_CHARS[1]))
-    order = Window.partitionBy(lang).orderBy((n < SAMPLE_CHARS[0]).cast("int"), F.xxhash64(F.lit(5), doc_id), doc_id)
-    fit = fit.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= SAMPLE_DOCS)
-    langs = [r[0] for r in fit.select(lang).distinct().limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    n, parts = F.length(text), 1 << 30
+    fit = docs.where(F.col(lang).isNotNull() & (n > 0) & (n < SAMPLE_CHARS[1])).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit(5), doc_id).alias("h"))
+    long_ = F.length("t") >= SAMPLE_CHARS[0]
+    counts = fit.groupBy("l").agg(F.count("*").alias("rows"), F.count_if(long_).alias("long")).orderBy(F.desc("rows"), "l").limit(MAX_LANGS).collect()
+    if not counts:
+        return {}
+    told = [(r.l, min(parts, 1 + int(SAMPLE_DOCS / (r.long or r.rows) * parts)), r.long > 0) for r in counts]
+    plan = docs.sparkSession.createDataFrame(told, "l string, share long, only_long boolean")
+    drawn = fit.join(F.broadcast(plan), "l").where((F.pmod("h", F.lit(parts)) < F.col("share")) & (long_ | ~F.col("only_long")))
     held: dict[str, bytes] = {}
-    for r in sorted(fit.select(F.col(lang).alias("l"), F.col(text).alias("t"), "rank_").collect(), key=lambda r: (r.l, r.rank_)):
+    for r in sorted(drawn.select("l", "t", "h").collect(), key=lambda r: (r.l, r.h, r.t)):
         got = held.get(r.l, b"")
         if len(got) < DICT_BYTES:
             held[r.l] = got + b"\n" + r.t.lower().encode("utf-8", "surrogatepass")
@@ -75,6 +82,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                 out.append((name, 1 / sum(2.0 ** max(best - n, -1000) for n, _ in took), apart))
             yield pd.DataFrame(out, columns=["lang", "score", "margin"])
 
-    out = docs.withColumn("lang_found", judge(text))
-    found = {f"lang_{k}": F.col(f"lang_found.{v}") for k, v in (("pred", "lang"), ("score", "score"), ("margin", "margin"))}
-    return out.withColumns(found).withColumn("lang_rejected", F.col("lang_margin") < margin).drop("lang_found")
+    out = docs.withColumn(OWN + "lang", judge(text))
+    found = {f"lang_{k}": F.col(f"{OWN}lang.{v}") for k, v in (("pred", "lang"), ("score", "score"), ("margin", "margin"))}
+    return out.withColumns(found).withColumn("lang_rejected", F.col("lang_margin") < margin).drop(OWN + "lang")

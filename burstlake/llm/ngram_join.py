@@ -228,12 +228,13 @@ def links_of(node: list[int], c: list[int], own: list[int], cross: bool, sets: l
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, class_key, component_id) for each row of docs.
+    """(doc_id, n_shingles, class_id, component_id) for each row of docs.
 
     Words are what white space separates, A-Z lower-cased. A document's set holds its distinct shingles of `width`
     words; with fewer words, the whole sequence is the one shingle; without words or with a null text the set is empty
     and links with nothing. Two documents link if den * intersection >= num * union. component_id is the smallest id
-    reachable by links, the document's own included. Documents with equal sets have the same class_key. Rows with
+    reachable by links, the document's own included. class_id is the smallest id of a
+    document with an equal set. Rows with
     the same id are one document, which links if any of its texts does. A null id links with nothing and has a null
     component. Extra columns are left out; an empty table gives none.
 
@@ -403,9 +404,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if not found.isEmpty():
         joined = components(known.union(found))
 
-    label = classes.join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    label = classes.join(joined, "node", "left").select("key", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(label, "key", "left")
-    return out.select("doc_id", "n_shingles", F.hex("key").alias("class_key"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:

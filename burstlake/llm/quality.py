@@ -178,18 +178,29 @@ def holds(x: np.ndarray, rule: tuple) -> np.ndarray:
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds one struct column, quality_stats, with the STATS of each whole text; one narrow stage."""
+    """Adds one struct column, quality_stats, with the STATS of each whole text; one narrow stage.
+
+    Null and empty texts have statistics 0. Every row stays, repeated ones too, with all its columns; a column that is
+    called quality_stats already is replaced. An empty table stays empty.
+    """
     stats = F.pandas_udf(text_stats, ", ".join(f"{s} double" for s in STATS))
     return docs.withColumn("quality_stats", stats(text))
 
 
 def learn(measured: DataFrame, labels: DataFrame, rows: int = 20_000, doc_id: str = "doc_id") -> Rules:
-    """Fit on at most `rows` labelled documents, a seeded sample by id. labels: (doc_id, label); only statistics are gathered."""
+    """Fit on at most about `rows` labelled documents, a seeded share of ids. labels: (doc_id, label); only statistics are gathered.
+
+    Null ids have no label. Repeated rows count as often as they stand there, ties between splits go to the first
+    statistic in order. With under 20 labelled rows, or one label only, there is no rule and the score is one number.
+    """
     own = measured.select(F.col(doc_id).alias("doc_id"), "quality_stats.*").join(labels, "doc_id")
     got = thin(own, rows).toPandas().sort_values(["doc_id", *STATS])
     return fit_rules(got[list(STATS)].to_numpy(np.float64), got["label"].to_numpy(np.float64))
 
 
 def score(measured: DataFrame, rules: Rules, out: str = "quality_score") -> DataFrame:
-    """Adds the score, 0 to 1, as one column expression over quality_stats. Null and empty texts have statistics 0 and so a score."""
+    """Adds the score, 0 to 1, as one column expression over quality_stats; replaces a column of that name. All rows and other columns stay.
+
+    Null and empty texts have statistics 0 and so a score.
+    """
     return measured.withColumn(out, rules.column("quality_stats."))

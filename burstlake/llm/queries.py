@@ -42,6 +42,21 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+OP2_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+c AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS class_id, s FROM s),
+k AS (SELECT class_id, n, s FROM c WHERE doc_id = class_id AND n > 0),
+t AS (SELECT class_id, n, unnest(s) AS x FROM k),
+p AS (SELECT a.class_id AS u, b.class_id AS v FROM t a JOIN t b ON a.x = b.x AND a.class_id < b.class_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r(u, v) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+m AS (SELECT u, min(v) AS v FROM r GROUP BY u)
+SELECT c.doc_id, c.n AS n_shingles, c.class_id, least(c.class_id, coalesce(m.v, c.class_id)) AS component_id FROM c LEFT JOIN m ON m.u = c.class_id
+"""
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -125,4 +140,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3_SQL, "op4_url_filters": OP4_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_url_filters": OP4_SQL}

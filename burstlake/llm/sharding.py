@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from burstlake.llm.shared import cut, shared_dir
+from burstlake.llm.shared import OWN, cut, shared_dir
+
+
+#: A task of the second pass gets so many buckets at most, one after the other.
+PART_BUCKETS = 16
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -35,23 +39,24 @@ def shuffle_into_shards(docs: DataFrame, shards: int, doc_id: str = "doc_id", te
     own = docs.withColumns({"size": size, "text_crc32": F.crc32(F.col(text).cast("binary"))})
     total = own.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    at = own.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), doc_id, "text_crc32"), F.lit(buckets)))
-    shape = T.StructType([*at.schema.fields, T.StructField("place", T.LongType())])
+    # Tasks grow in number with the table, not in size: a partition gets about PART_BUCKETS buckets at most.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // PART_BUCKETS))
+    at = own.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), doc_id, "text_crc32"), F.lit(buckets))).repartition(parts, "bucket")
+    place, first = OWN + "place", OWN + "first"
+    shape = T.StructType([*at.schema.fields, T.StructField(place, T.LongType())])
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in (doc_id, "text_crc32", "size")])
         rng = np.random.default_rng([seed, table.column("bucket")[0].as_py()])
-        place = np.empty(table.num_rows, np.int64)
         order = fisher_yates(table.num_rows, rng)
-        place[:] = np.arange(table.num_rows)
-        return table.take(pa.array(order)).append_column("place", pa.array(place))
+        return table.take(pa.array(order)).append_column(place, pa.array(np.arange(table.num_rows)))
 
     dealt = cut(at.groupBy("bucket").applyInArrow(work, shape))
     # One row for each bucket of bucket_bytes: this is small, as bytes / bucket_bytes is.
     count = dealt.groupBy("bucket").agg(F.count("*").alias("n"))
-    first = cut(count.withColumn("first", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", F.coalesce("first", F.lit(0)).alias("first")))
-    place = F.col("first") + F.col("place")
-    out = dealt.join(first, "bucket").withColumns({"shard": F.pmod(place, F.lit(shards)).cast("int"), "slot": F.floor(place / shards).cast("long")})
+    begin = cut(count.withColumn(first, F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", F.coalesce(first, F.lit(0)).alias(first)))
+    at = F.col(first) + F.col(place)
+    out = dealt.join(begin, "bucket").withColumns({"shard": F.pmod(at, F.lit(shards)).cast("int"), "slot": F.floor(at / shards).cast("long")})
     return out.select(*[c for c in docs.columns if c not in ("size", "text_crc32", "bucket", "shard", "slot")], "size", "text_crc32", "bucket", "shard", "slot")
 
 

@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstlake.llm.labels import sample
+from burstlake.llm.labels import thin
 from burstlake.llm.shared import cut, words
 
 #: Every passage of WINDOW - STRIDE + 1 words lies whole in a window.
-WINDOW, STRIDE = 40, 10
-#: A text whose highest window has a logit between these is scored at every shift.
-UNSURE = (-4.0, 4.0)
+WINDOW, STRIDE = 40, 20
+#: In a text whose highest window has a logit between these, every shift around windows above the lower one is scored as well.
+UNSURE = (-5.0, 4.0)
 HIDDEN, DIM, BUCKETS, ATTEND = 8, 8, 8192, 8
 #: Bounds of what is learnt from: texts of either label, their length in characters, and known words.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_WORDS, LEAST_DOCS = 1500, 6000, 4096, 12
@@ -182,8 +182,19 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     if n < WINDOW:
         mask = (np.arange(WINDOW) < n).astype(np.float32)
         return np.append(ids, np.zeros(WINDOW - n, ids.dtype))[None, :], mask[None, :]
-    start = np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
-    return ids[start[:, None] + np.arange(WINDOW)], None
+    return ids[starts(n)[:, None] + np.arange(WINDOW)], None
+
+
+def starts(n: int) -> np.ndarray:
+    """Where the windows of a text of n words begin."""
+    return np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
+
+
+def shifts(n: int, unsure: np.ndarray) -> np.ndarray:
+    """Where further windows begin: at each word less than STRIDE away from a begin that is unsure, but for begins that starts() has."""
+    at = np.unique((unsure[:, None] + np.arange(1 - STRIDE, STRIDE)).ravel())
+    at = at[(at > 0) & (at < n - WINDOW)]
+    return at[at % STRIDE > 0]
 
 
 class Scorer:
@@ -223,33 +234,36 @@ class Scorer:
         self.finish(todo, out)
         return out
 
-    def every_shift(self, ids: np.ndarray) -> float:
-        n, best = len(ids) - WINDOW + 1, -np.inf
-        for a in range(0, n, BATCH):
-            z = self.net.logits(ids[np.arange(a, min(a + BATCH, n))[:, None] + np.arange(WINDOW)], None, self.table)
-            best = max(best, float(z.max()))
-        return best
+    def highest(self, owner: np.ndarray, ids: np.ndarray, mask: np.ndarray | None, best: np.ndarray) -> np.ndarray:
+        """The logits of windows; best, the highest of each owner, is brought up to date."""
+        z = np.concatenate([self.net.logits(ids[a : a + BATCH], None if mask is None else mask[a : a + BATCH], self.table) for a in range(0, len(ids), BATCH)])
+        np.maximum.at(best, owner, z)
+        return z
 
     def finish(self, todo: list, out: np.ndarray) -> None:
         if len(self.fresh) > 1:
             self.table = np.concatenate(self.fresh)
             self.fresh = [self.table]
+        best = np.full(len(out), -np.inf)
         for padded in (False, True):
             part = [x for x in todo if (x[2] is not None) == padded]
             if not part:
                 continue
             owner = np.repeat([x[0] for x in part], [len(x[1]) for x in part])
-            ids = np.concatenate([x[1] for x in part])
-            mask = np.concatenate([x[2] for x in part]) if padded else None
-            best = np.full(len(out), -np.inf)
-            for a in range(0, len(ids), BATCH):
-                z = self.net.logits(ids[a : a + BATCH], mask[a : a + BATCH] if padded else None, self.table)
-                np.maximum.at(best, owner[a : a + BATCH], z)
-            hit = np.unique(owner)
-            for k in hit.tolist():
-                if (ids_k := self.long.pop(k, None)) is not None and UNSURE[0] < best[k] < UNSURE[1]:
-                    best[k] = max(best[k], self.every_shift(ids_k))
-            out[hit] = 1 / (1 + np.exp(-np.clip(best[hit].astype(np.float64), -60, 60)))
+            z = self.highest(owner, np.concatenate([x[1] for x in part]), np.concatenate([x[2] for x in part]) if padded else None, best)
+            if padded:
+                continue
+            more, end = [], np.cumsum([len(x[1]) for x in part])
+            for (k, w, _), e in zip(part, end.tolist(), strict=True):
+                if k in self.long and UNSURE[0] < best[k] < UNSURE[1]:
+                    words_ = self.long[k]
+                    at = shifts(len(words_), starts(len(words_))[z[e - len(w) : e] > UNSURE[0]])
+                    if len(at):
+                        more.append((k, words_[at[:, None] + np.arange(WINDOW)]))
+            if more:
+                self.highest(np.repeat([k for k, _ in more], [len(w) for _, w in more]), np.concatenate([w for _, w in more]), None, best)
+        hit = [x[0] for x in todo]
+        out[hit] = 1 / (1 + np.exp(-np.clip(best[hit].astype(np.float64), -60, 60)))
 
 
 def train(texts: list[str], y: np.ndarray, rounds: int = 8, batch: int = 128, rate: float = 0.01, decay: float = 3e-4, seed: int = 0) -> Network:
@@ -309,11 +323,16 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 8, batch: int = 128, ra
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Network:
-    """Train on a seeded sample of labelled texts, bounded by SAMPLE_DOCS for either label and SAMPLE_CHARS. labels: (doc_id, label)."""
+    """Train on a seeded sample of labelled texts, bounded by SAMPLE_DOCS for either label and SAMPLE_CHARS. labels: (doc_id, label).
+
+    Null and empty texts, null ids and longer texts aren't learnt from; rows with the same id are learnt from each. The
+    sample is a share of a hash of ids, so nothing is sorted and only sampled texts are gathered. Extra columns don't
+    matter. Without texts of both labels the network's score is one number.
+    """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
     # Which documents are drawn is decided on ids alone; their number is bounded, so the ids can be broadcast to the texts.
-    known = own.select("doc_id").join(labels, "doc_id")
-    drawn = cut(sample(known.where("label = 1"), SAMPLE_DOCS).union(sample(known.where("label = 0"), SAMPLE_DOCS)))
+    known = cut(own.select("doc_id").join(labels, "doc_id"))
+    drawn = cut(thin(known.where("label = 1"), SAMPLE_DOCS).union(thin(known.where("label = 0"), SAMPLE_DOCS)))
     got = own.join(F.broadcast(drawn.distinct()), "doc_id").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.label, r.text))
     return train([r.text for r in got], np.array([r.label for r in got]))
