@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burstlake.llm.shared import cut, mix, word_hashes, words
+from burstlake.llm.shared import OWN, cut, mix, word_hashes, words
 
 #: Up to so many benchmark seeds are held by each worker (8 bytes and a list entry each); beyond, seeds are joined by Spark.
 MAX_SEEDS = 2_000_000
@@ -37,6 +37,19 @@ class Rolling:
             k = np.arange(len(diff))
             return diff * powers(top)[top - k]
 
+    def same(self, other: "Rolling", i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """How many tokens from i on equal those of other from j on, limit at most: bisection over hashes of runs."""
+        low, high = np.zeros(len(i), np.int64), limit.astype(np.int64)
+        held = powers(max(self.n, other.n))
+        with np.errstate(over="ignore"):
+            while (low < high).any():
+                mid = (low + high + 1) // 2
+                one, two = self.prefix[i + mid] - self.prefix[i], other.prefix[j + mid] - other.prefix[j]
+                up = np.maximum(i, j)
+                equal = one * held[up - i] == two * held[up - j]
+                low, high = np.where(equal, mid, low), np.where(equal, high, mid - 1)
+        return low
+
 
 _held = np.ones(1, np.uint64)
 
@@ -49,12 +62,52 @@ def powers(n: int) -> np.ndarray:
     return _held
 
 
+def free_run(free: np.ndarray) -> np.ndarray:
+    """For each place how many free places follow, itself included."""
+    at = np.arange(len(free))
+    marked = np.where(free, len(free), at)
+    return np.minimum.accumulate(marked[::-1])[::-1] - at
+
+
+#: Pairs of equal windows that are looked at at once.
+PAIRS = 1 << 20
+
+
+def matches(a: Rolling, b: Rolling, item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_d: np.ndarray, s: int, top: int) -> list[tuple[int, int, int]]:
+    """(-length, begin in item, begin in doc) of all matches of s unmarked tokens or more that can't be longer on either side."""
+    wi, wd = a.windows(s, top), b.windows(s, top)
+    if not len(wi) or not len(wd):
+        return []
+    run_i, run_d = free_run(free_i), free_run(free_d)
+    order = np.argsort(wi, kind="stable")
+    order = order[run_i[order] >= s]
+    keys = wi[order]
+    cand = np.nonzero(run_d[: len(wd)] >= s)[0]
+    lo, hi = np.searchsorted(keys, wd[cand], "left"), np.searchsorted(keys, wd[cand], "right")
+    cand, lo, hi = cand[hi > lo], lo[hi > lo], hi[hi > lo]
+    out: list[tuple[int, int, int]] = []
+    ends = np.cumsum(hi - lo)
+    first = 0
+    while first < len(cand):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+        count = (hi - lo)[first:last]
+        j = np.repeat(cand[first:last], count)
+        i = order[np.repeat(lo[first:last] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        inner = (i > 0) & (j > 0)
+        inner[inner] = free_i[i[inner] - 1] & free_d[j[inner] - 1] & (item[i[inner] - 1] == doc[j[inner] - 1])
+        i, j = i[~inner], j[~inner]
+        n = a.same(b, i, j, np.minimum(run_i[i], run_d[j]))
+        out += zip((-n[n >= s]).tolist(), i[n >= s].tolist(), j[n >= s].tolist(), strict=True)
+        first = last
+    return out
+
+
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Tiles (begin in item, begin in doc, length) of greedy string tiling; no tile is shorter than `least` tokens.
 
     The search length starts high and halves down to `least`. At each length, Karp-Rabin hashes of unmarked runs find
     matches, which are followed to their ends; a match over twice as long as the search length raises it. Matches
-    are marked from the longest, then from the first in the item and in the document; of one that is covered in
+    are marked from the longest, then (ties) from the first in the item and in the document; of one that is covered in
     part, the free runs of search length or more are queued again.
     """
     top = max(len(doc), len(item))
@@ -63,38 +116,26 @@ def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     tiles: list[tuple[int, int, int]] = []
     s = max(least, min(len(item), 32))
     while True:
-        found = []
-        wi, wd = a.windows(s, top), b.windows(s, top)
-        if len(wi) and len(wd):
-            ok_i, ok_d = (np.convolve(x, np.ones(s, np.int64), "valid") == s for x in (free_i, free_d))
-            order = np.argsort(wi, kind="stable")
-            keys = wi[order]
-            cand = np.nonzero(ok_d)[0]
-            lo, hi = np.searchsorted(keys, wd[cand], "left"), np.searchsorted(keys, wd[cand], "right")
-            for j, x, y in zip(cand[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                for i in order[x:y]:
-                    if ok_i[i] and not (i and j and free_i[i - 1] and free_d[j - 1] and item[i - 1] == doc[j - 1]):
-                        n = 0
-                        while i + n < len(item) and j + n < len(doc) and free_i[i + n] and free_d[j + n] and item[i + n] == doc[j + n]:
-                            n += 1
-                        if n >= s:
-                            found.append((-n, int(i), int(j)))
+        found = matches(a, b, item, doc, free_i, free_d, s, top)
         if found and -min(found)[0] > 2 * s:
             s = -min(found)[0]
             continue
         heapq.heapify(found)
-        while found:
+        while found and free_i.any():
             n, i, j = heapq.heappop(found)
-            both = np.concatenate(([False], free_i[i : i - n] & free_d[j : j - n], [False]))
-            if both[1:-1].all():
+            both = free_i[i : i - n] & free_d[j : j - n]
+            if both.all():
                 tiles.append((i, j, -n))
                 free_i[i : i - n] = free_d[j : j - n] = False
                 continue
+            if not both.any():
+                continue
+            both = np.concatenate(([False], both, [False]))
             edge = np.nonzero(both[1:] != both[:-1])[0]
             for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                 if y - x >= s:
                     heapq.heappush(found, (x - y, i + x, j + x))
-        if s == least:
+        if s == least or not free_i.any():
             return tiles
         s = max(least, s // 2)
 
@@ -146,6 +187,7 @@ def judge(doc: np.ndarray, items: dict[int, np.ndarray], among, least: int, thre
     return best, most, over
 
 
+FOUND = OWN + "found"
 RESULT = "item long, coverage double, items int"
 
 
@@ -179,12 +221,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     out.append(judge(h, held.items, held.candidates(h), least, threshold))
                 yield frame(out)
 
-        judged = docs.withColumn("leak_found", found(text))
+        judged = docs.withColumn(FOUND, found(text))
     else:
         judged = joined(docs, items, text, least, threshold)
-    share = F.coalesce(F.col("leak_found.coverage"), F.lit(0.0))
-    over = F.coalesce(F.col("leak_found.items"), F.lit(0))
-    return judged.withColumns({"leak_item": F.col("leak_found.item"), "leak_coverage": share, "leak_items": over, "leaked": over > 0}).drop("leak_found")
+    share = F.coalesce(F.col(FOUND + ".coverage"), F.lit(0.0))
+    over = F.coalesce(F.col(FOUND + ".items"), F.lit(0))
+    return judged.withColumns({"leak_item": F.col(FOUND + ".item"), "leak_coverage": share, "leak_items": over, "leaked": over > 0}).drop(FOUND)
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -194,30 +236,35 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
 
 def joined(docs: DataFrame, items: DataFrame, text: str, least: int, threshold: float) -> DataFrame:
     """The way for benchmarks of any size: texts are told by a 128-bit hash, seeds of either side meet in a shuffled join,
-    each (text, item) pair is tiled, and the pairs of a text are summed up."""
-    key = F.concat(F.xxhash64(F.lit(1), F.col(text)), F.lit("/"), F.xxhash64(F.lit(2), F.col(text)))
-    own = docs.withColumn("leak_key", key)
+    whose hot seeds Spark can split; then each text comes once to all of its items, which follow it one by one."""
+    key = OWN + "key"
+    own = docs.withColumn(key, F.concat(F.hex(F.xxhash64(F.lit(1), F.col(text))), F.hex(F.xxhash64(F.lit(2), F.col(text)))))
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             h = [np.unique(seeds(word_hashes(words(t)), least)).view(np.int64) for t in b["t"]]
             yield pd.DataFrame({"k": b["k"].repeat([len(x) for x in h]).to_numpy(), "seed": np.concatenate([*h, np.empty(0, np.int64)])})
 
-    texts = own.select(F.col("leak_key").alias("k"), F.col(text).alias("t")).where("t is not null").dropDuplicates(["k"])
+    texts = own.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").dropDuplicates(["k"])
     left = texts.mapInPandas(explode, "k string, seed long").withColumnRenamed("k", "key")
     right = items.select(F.col("item").alias("k"), F.col("item_text").alias("t")).mapInPandas(explode, "k long, seed long").withColumnRenamed("k", "item")
-    pairs = left.join(right, "seed").select("key", "item").distinct()
-    full = pairs.join(texts.withColumnRenamed("k", "key"), "key").join(items, "item")
+    pairs = cut(left.join(right, "seed").select("key", "item").distinct())
+    wanted = pairs.join(items, "item").select("key", F.lit(1).alias("nth"), "item", F.col("item_text").alias("t"))
+    asked = texts.withColumnRenamed("k", "key").join(pairs.select("key").distinct(), "key", "left_semi").select("key", F.lit(0).alias("nth"), F.lit(None).cast("long").alias("item"), "t")
 
     def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, doc = None, None
         for b in batches:
             rows = []
-            for t, x in zip(b["t"], b["item_text"], strict=True):
-                h = word_hashes(words(x))
-                rows.append(sum(n for _, _, n in tile(word_hashes(words(t)), h, least)) / len(h))
-            yield pd.DataFrame({"key": b["key"], "item": b["item"], "coverage": np.array(rows, np.float64)})
-
-    shares = full.select("key", "item", "t", "item_text").mapInPandas(share, "key string, item long, coverage double")
+            for k, n, item, t in zip(b["key"], b["nth"], b["item"], b["t"], strict=True):
+                h = word_hashes(words(t))
+                if not n:
+                    at, doc = k, h
+                elif k == at:
+                    rows.append((k, int(item), sum(x for _, _, x in tile(doc, h, least)) / len(h)))
+            yield pd.DataFrame(rows, columns=["key", "item", "coverage"]).astype({"item": "int64", "coverage": "float64"})
+
+    shares = asked.union(wanted).repartition("key").sortWithinPartitions("key", "nth", "item").mapInPandas(share, "key string, item long, coverage double")
     best = shares.groupBy("key").agg(F.max("coverage").alias("coverage"), F.max_by("item", F.struct("coverage", -F.col("item"))).alias("item"), F.count_if(F.col("coverage") >= threshold).cast("int").alias("items"))
-    best = cut(best.select("key", F.struct("item", "coverage", "items").alias("leak_found")))
-    return own.join(best, own["leak_key"] == best["key"], "left").drop("leak_key", "key")
+    best = cut(best.select(F.col("key").alias(OWN + "text"), F.struct("item", "coverage", "items").alias(FOUND)))
+    return own.join(best, F.col(key) == F.col(OWN + "text"), "left").drop(key, OWN + "text")

@@ -9,12 +9,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from burstlake.llm.shared import components, cut, forest
 
-#: Centroids are fitted on at most so many vectors of a label; a label has at most so many cells; rows of a cell, a block, and a group that is placed.
-SAMPLE_ROWS, MAX_CELLS, CELL_ROWS, BLOCK_ROWS, PLACE_ROWS = 4096, 256, 1024, 2048, 4096
+#: Centroids of a label or cell are fitted on about so many of its vectors; it is divided into so many cells at most at once;
+#: rows of a cell, a block, and a group that is placed; larger cells are divided again, in so many levels.
+SAMPLE_ROWS, MAX_CELLS, CELL_ROWS, BLOCK_ROWS, PLACE_ROWS, LEVELS = 4096, 256, 1024, 2048, 4096, 4
 
 
 def unit(v) -> np.ndarray | None:
@@ -62,13 +62,17 @@ def cells_of(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np
     return row, cell, home[row]
 
 
-def block_links(x: np.ndarray, ids: np.ndarray, home: np.ndarray, cell: int, side: np.ndarray, cross: bool, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the rows of one pair of blocks: for each row the weight of rows it links with, and the root of its group."""
+def block_links(x: np.ndarray, ids: np.ndarray, guest: np.ndarray, side: np.ndarray, cross: bool, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows of one pair of blocks: for each row the weight of rows it links with, and the root of its group.
+
+    guest has a bit for each level at which the row is in a cell that isn't its home: two rows that are both guests of
+    one cell are compared elsewhere.
+    """
     n = len(x)
     linked = np.zeros((n, n), bool)
     for a in range(0, n, 512):
         linked[a : a + 512] = x[a : a + 512] @ x.T >= least
-    linked &= (home[:, None] == cell) | (home[None, :] == cell)
+    linked &= (guest[:, None] & guest[None, :]) == 0
     if cross:
         linked &= side[:, None] != side[None, :]
     linked &= linked.T
@@ -85,11 +89,12 @@ def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id",
     reachable by links, kept marks the row that bears it (rows with a null id are kept and have a null component).
     Rows with the same id are one vertex with several vectors. Extra columns are left out; an empty table gives none.
 
-    Equal vectors are first collapsed to one with a weight. Each label gets a cell for CELL_ROWS vectors, MAX_CELLS
-    at most, by k-means on a seeded sample of SAMPLE_ROWS; every vector is placed, and near-boundary ones in
-    neighbouring cells as well, so that cells lose no link. A cell's rows fall into blocks of BLOCK_ROWS, and each
-    pair of blocks is one group: a hot cell makes more groups, not larger ones. A group gives one row for each linked
-    vector, its count and its group's root, never the pairs.
+    Equal vectors are first collapsed to one with a weight. Each label is divided into a cell for CELL_ROWS vectors,
+    MAX_CELLS at most, by k-means on a seeded sample of SAMPLE_ROWS; every vector is placed, and near-boundary ones in
+    neighbouring cells as well, so that cells lose no link. Cells that are still large are divided in the same way, up to
+    LEVELS times, so that cells grow in number and not in size. A cell's rows fall into blocks of BLOCK_ROWS, and each
+    pair of blocks is one group: a cell that can't be divided makes more groups, not larger ones. A group gives one row
+    for each linked vector, its count and its group's root, never the pairs.
     """
     base = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).alias("embedding"))
 
@@ -107,36 +112,57 @@ def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id",
     firsts = usable.withColumnRenamed("vec_id", "id").join(classes, ["key", "id"])
     reps = cut(firsts.select("key", "label", "dim", "id", "weight", "x").dropDuplicates(["key"]))
 
-    group = ["label", "dim"]
-    order = Window.partitionBy(*group).orderBy(F.xxhash64(F.lit(9), "key"))
-    drawn = reps.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
-    size = F.count("*")
-    need = cut(reps.groupBy(*group).agg(F.least(F.lit(MAX_CELLS), F.ceil(size / CELL_ROWS)).cast("int").alias("k"), F.ceil(size / PLACE_ROWS).cast("int").alias("parts")))
+    shape = "path long, guest int, dim int, id long, weight long, x binary"
+    group = ["path", "dim"]
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
+        part = part.sort_values("id")
         c = kmeans(np.stack([np.frombuffer(v, np.float64) for v in part["x"]]), int(part["k"].iloc[0]))
-        return pd.DataFrame({"label": part["label"].iloc[:1].to_numpy(), "dim": part["dim"].iloc[:1].to_numpy(), "c": [c.tobytes()]})
-
-    cents = cut(drawn.join(need, group).groupBy(*group).applyInPandas(fit, "label string, dim int, c binary"))
-
-    # Vectors meet their label's centroids in groups of about PLACE_ROWS, so that centroids stand once in each group.
-    def place(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(part):
-            return pd.DataFrame({"label": [], "dim": [], "cell": [], "home": [], "id": [], "weight": [], "x": []})
-        c = np.frombuffer(known["c"].iloc[0], np.float64).reshape(-1, int(part["dim"].iloc[0]))
-        row, cell, home = cells_of(np.stack([np.frombuffer(v, np.float64) for v in part["x"]]), c, least)
-        p = part.iloc[row]
-        return pd.DataFrame({"label": p["label"].to_numpy(), "dim": p["dim"].to_numpy(), "cell": cell, "home": home, "id": p["id"].to_numpy(), "weight": p["weight"].to_numpy(), "x": p["x"].to_numpy()})
-
-    by = [*group, "part"]
-    left = reps.join(need, group).select(*group, F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), "id", "weight", "x")
-    right = cents.join(need, group).select(*group, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "c")
-    placed = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(place, "label string, dim int, cell int, home int, id long, weight long, x binary")
-    placed = cut(placed)
-    cell = ["label", "dim", "cell"]
-    blocks = placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    at = placed.join(blocks, cell).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        return pd.DataFrame({"path": part["path"].iloc[:1].to_numpy(), "dim": part["dim"].iloc[:1].to_numpy(), "c": [c.tobytes()]})
+
+    def divide(rows: DataFrame, need: DataFrame, level: int) -> DataFrame:
+        """rows of the paths that need lists, each in its cells at this level."""
+
+        # Vectors meet their cell's centroids in groups of about PLACE_ROWS, so that centroids stand once in each group.
+        def place(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            if not len(part):
+                return pd.DataFrame({k: [] for k in ("path", "guest", "dim", "id", "weight", "x")})
+            c = np.frombuffer(known["c"].iloc[0], np.float64).reshape(-1, int(part["dim"].iloc[0]))
+            row, cell, home = cells_of(np.stack([np.frombuffer(v, np.float64) for v in part["x"]]), c, least)
+            p = part.iloc[row]
+            name = int(part["path"].iloc[0])
+            paths = np.array([xxhash.xxh3_64_intdigest(b"%d/%d" % (name, k)) for k in range(len(c))], np.uint64).view(np.int64)
+            guest = p["guest"].to_numpy() | np.where(cell == home, 0, 1 << level).astype(np.int32)
+            return pd.DataFrame({"path": paths[cell], "guest": guest, "dim": p["dim"].to_numpy(), "id": p["id"].to_numpy(), "weight": p["weight"].to_numpy(), "x": p["x"].to_numpy()})
+
+        met = rows.join(need, group)
+        drawn = met.where(F.pmod(F.xxhash64(F.lit(9 + level), "id"), F.lit(1 << 30)) <= F.col("share"))
+        cents = cut(drawn.groupBy(*group).applyInPandas(fit, "path long, dim int, c binary"))
+        by = [*group, "part"]
+        left = met.select(*group, F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "guest", "id", "weight", "x")
+        right = cents.join(need, group).select(*group, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "c")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(place, shape)
+
+    left, done = reps.select(F.xxhash64("label", "dim").alias("path"), F.lit(0).alias("guest"), "dim", "id", "weight", "x"), []
+    rows_of = None
+    for level in range(LEVELS):
+        size = left.groupBy(*group).agg(F.count("*").alias("n"))
+        large = size.where(F.col("n") > 2 * CELL_ROWS)
+        if rows_of is not None:  # a cell whose rows are all near one another isn't divided in vain: one that hasn't shrunk stays
+            large = large.where(F.col("n") <= 0.75 * rows_of)
+        need = cut(large.select(*group, F.least(F.lit(MAX_CELLS), F.ceil(F.col("n") / CELL_ROWS)).cast("int").alias("k"), F.ceil(F.col("n") / PLACE_ROWS).cast("int").alias("parts"), (F.lit(SAMPLE_ROWS) / F.col("n") * (1 << 30)).cast("long").alias("share"), "n"))
+        rows_of = need.agg(F.max("n")).first()[0]
+        need = need.drop("n")
+        if rows_of is None:
+            break
+        done.append(left.join(need.select(*group), group, "left_anti"))
+        left = cut(divide(left, need, level))
+    placed = left
+    for d in done:
+        placed = placed.unionByName(d)
+    placed = cut(placed.select("path", "guest", "dim", "id", "weight", "x"))
+    blocks = placed.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    at = placed.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     at = at.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
@@ -145,11 +171,11 @@ def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id",
         x = np.stack([np.frombuffer(v, np.float64) for v in part["x"]])
         cross = int(part["i"].iloc[0]) != int(part["j"].iloc[0])
         ids = part["id"].to_numpy()
-        n, root = block_links(x, ids, part["home"].to_numpy(), int(part["cell"].iloc[0]), part["own"].to_numpy(), cross, part["weight"].to_numpy(), least)
+        n, root = block_links(x, ids, part["guest"].to_numpy(), part["own"].to_numpy(), cross, part["weight"].to_numpy(), least)
         hit = n > 0
         return pd.DataFrame({"id": ids[hit], "n": n[hit], "root": root[hit]})
 
-    found = cut(at.groupBy(*cell, "i", "j").applyInPandas(compare, "id long, n long, root long"))
+    found = cut(at.groupBy(*group, "i", "j").applyInPandas(compare, "id long, n long, root long"))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
 
