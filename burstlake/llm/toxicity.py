@@ -7,7 +7,6 @@ windows of the sample, and then learns from the highest window of each text.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -269,34 +268,43 @@ class Scorer:
 def train(texts: list[str], y: np.ndarray, rounds: int = 8, batch: int = 128, rate: float = 0.01, decay: float = 3e-4, seed: int = 0) -> Network:
     """Learn from texts and their labels; see the module's text. Without texts of both labels, the bias alone."""
     rng = np.random.default_rng(seed)
-    tokens = [words(t) for t in texts]
-    keep = [k for k, w in enumerate(tokens) if w]
-    tokens, y = [tokens[k] for k in keep], np.asarray(y, np.float32)[keep]
-    seen = Counter(w for x in tokens for w in set(x))
-    net = Network([w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS] if n >= LEAST_DOCS], seed)
+    row: dict[bytes, int] = {}
+    held = [np.fromiter((row.setdefault(w, len(row)) for w in words(t)), np.int32) for t in texts]
+    keep = [k for k, x in enumerate(held) if len(x)]
+    held, y = [held[k] for k in keep], np.asarray(y, np.float32)[keep]
+    kinds = list(row)
+    seen = np.bincount(np.concatenate([np.unique(x) for x in held] or [np.zeros(0, np.int32)]), minlength=len(kinds))
+    frequent = sorted((-n, w) for w, n in zip(kinds, seen.tolist(), strict=True) if n >= LEAST_DOCS)
+    net = Network([w for _, w in frequent[:MAX_WORDS]], seed)
     if len(y) < 8 or y.min() == y.max():
         net.p["wo"][:] = 0
         net.p["bo"][:] = 4.0 if len(y) and y.min() == 1 else -4.0
         return net
-    kinds = list(dict.fromkeys(w for x in tokens for w in x))
-    row = {w: k for k, w in enumerate(kinds)}
     wid = net.word_ids(kinds)
     tri, start = grams(kinds)
     end = np.append(start[1:], len(tri))
-    pieces = [windows(np.array([row[w] for w in x], np.int64)) for x in tokens]
-    count = np.array([len(w) for w, _ in pieces])
+    # Windows are told by their text and begin, and cut out of all texts' words when they are needed.
+    begins = [starts(len(x)) if len(x) >= WINDOW else np.zeros(1, np.int64) for x in held]
+    count = np.array([len(x) for x in begins])
     first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    ids = np.concatenate([w for w, _ in pieces])
-    mask = np.concatenate([np.ones(w.shape, np.float32) if m is None else m for w, m in pieces])
     of = np.repeat(np.arange(len(y)), count)
+    size = np.array([len(x) for x in held])
+    flat, at = np.concatenate([*held, np.zeros(WINDOW, np.int32)]), (np.cumsum(size) - size)[of] + np.concatenate(begins)
+    del held, begins
+
+    def cut_out(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = (np.arange(WINDOW)[None, :] < size[of[chosen]][:, None]).astype(np.float32)
+        return np.where(mask > 0, flat[at[chosen][:, None] + np.arange(WINDOW)], 0), mask
+
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     for k in range(rounds):
         lot = first + (rng.random(len(y)) * count).astype(np.int64)
         if k:
-            table = net.inputs(kinds)
-            z = np.concatenate([net.logits(ids[a : a + BATCH], mask[a : a + BATCH], table) for a in range(0, len(ids), BATCH)])
+            table = np.concatenate([net.inputs(kinds[a : a + BATCH]) for a in range(0, len(kinds), BATCH)])
+            z = np.concatenate([net.logits(*cut_out(np.arange(a, min(a + BATCH, len(of)))), table) for a in range(0, len(of), BATCH)])
+            del table
             order = np.lexsort((z, of))
             top = order[np.append(np.nonzero(np.diff(of[order]))[0], len(of) - 1)]
             chosen = np.concatenate((top, lot[y == 0]))
@@ -306,13 +314,14 @@ def train(texts: list[str], y: np.ndarray, rounds: int = 8, batch: int = 128, ra
             rng.shuffle(chosen)
             for a in range(0, len(chosen), batch):
                 c = chosen[a : a + batch]
-                used, inner = np.unique(ids[c], return_inverse=True)
-                size = end[used] - start[used]
-                begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-                flat = np.repeat(start[used] - begin, size) + np.arange(size.sum())
+                ids, mask = cut_out(c)
+                used, inner = np.unique(ids, return_inverse=True)
+                wide = end[used] - start[used]
+                begin = np.concatenate(([0], np.cumsum(wide)[:-1]))
+                every = np.repeat(start[used] - begin, wide) + np.arange(wide.sum())
                 # A third of the word inputs is hidden, so that characters are learnt as well.
                 shown = np.where(rng.random(len(used)) < 1 / 3, 0, wid[used])
-                _, d = net.gradients(inner.reshape(len(c), -1), mask[c], (shown, tri[flat], begin), y[of[c]], weight[of[c]])
+                _, d = net.gradients(inner.reshape(len(c), -1), mask, (shown, tri[every], begin), y[of[c]], weight[of[c]])
                 step += 1
                 for name, g in d.items():
                     g = g + decay * net.p[name]
