@@ -242,6 +242,7 @@ def take(docs: DataFrame, **how) -> DataFrame:
         chosen = chosen.withColumn(nth, F.row_number().over(same.orderBy(copies)))
         own = own.withColumn(nth, F.row_number().over(same.orderBy(names["text"])))
     a, b = own.alias("a"), chosen.where(F.col(copies) > 0).alias("b")
-    met = a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*like, nth)]))
+    # Asked for at every size: broadcasts would only make small tables look cheaper than large ones are.
+    met = a.join(b.hint("merge"), reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*like, nth)]))
     met = met.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(f"b.{copies}").cast("int"))))
     return met.select(*(F.col(f"a.`{c}`") for c in docs.columns))
