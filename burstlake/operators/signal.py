@@ -16,6 +16,12 @@ def integrate(samples: DataFrame, keys: tuple[str, ...] = ("t",), value: str = "
     return samples.groupBy(*keys).agg(F.sum(value).alias("s"), F.count("*").alias("n_chan"))
 
 
+def integrate_spectra(spectra: DataFrame, t: str = "t", spec: str = "spec", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same where a sample's channels stand in one array: narrow, nothing is shuffled. Null channels add nothing and are counted."""
+    total = F.aggregate(spec, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0).cast("bigint")))
+    return spectra.select(*keys, t, total.alias("s"), F.size(spec).cast("bigint").alias("n_chan"))
+
+
 def prewhiten(samples: DataFrame, keys: tuple[str, ...] = ("c",), value: str = "q") -> DataFrame:
     """z-score of each channel over the block, population sigma, a sigma under 1e-6 counting as 1.
 
@@ -36,20 +42,20 @@ def block_normalize(series: DataFrame, block_len: int, t: str = "t", value: str
     sigma = sqrt(sum of squares without m // 40 values at either end / (0.95 m)) * 1.148, 1 if not positive. With three
     blocks or more, those whose sigma is over four population deviations from the median sigma are set to 0.
     """
-    b = series.withColumn("block", F.floor(F.col(t) / block_len).cast("long"))
     k = [*keys, "block"]
-    mid = b.groupBy(*k).agg(F.median(value).alias("med"), F.count("*").alias("m"))
-    x = b.join(mid, k).withColumn("x", F.col(value) - F.col("med"))
-    x = x.withColumn("rank", F.row_number().over(Window.partitionBy(*k).orderBy("x", t)) - 1)
+    w = Window.partitionBy(*k)
+    # Medians, ranks and sums of a block are windows over the same key: one shuffle for all of them.
+    b = series.withColumn("block", F.floor(F.col(t) / block_len).cast("long"))
+    x = b.withColumns({"med": F.median(value).over(w), "m": F.count("*").over(w)}).withColumn("x", F.col(value) - F.col("med"))
+    x = x.withColumn("rank", F.row_number().over(w.orderBy("x", t)) - 1)
     cut = F.floor(F.col("m") / 40)
-    sq = F.sum(F.when((F.col("rank") >= cut) & (F.col("rank") < F.col("m") - cut), F.col("x") * F.col("x")))
-    sig = x.groupBy(*k).agg((F.sqrt(sq / (F.lit(0.95) * F.max("m"))) * F.lit(1.148)).alias("sigma"))
-    sig = sig.withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1.0))
-    every = sig.groupBy(*keys).agg(F.count("*").alias("blocks"), F.median("sigma").alias("mid"), F.stddev_pop("sigma").alias("dev"))
-    sig = sig.join(F.broadcast(every), list(keys)) if keys else sig.crossJoin(F.broadcast(every))
+    sq = F.sum(F.when((F.col("rank") >= cut) & (F.col("rank") < F.col("m") - cut), F.col("x") * F.col("x"))).over(w)
+    x = x.withColumn("sigma", F.sqrt(sq / (F.lit(0.95) * F.col("m"))) * F.lit(1.148))
+    x = x.withColumn("sigma", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1.0))
+    every = x.where("rank = 0").groupBy(*keys).agg(F.count("*").alias("blocks"), F.median("sigma").alias("mid"), F.stddev_pop("sigma").alias("dev"))
+    x = x.join(F.broadcast(every), list(keys)) if keys else x.crossJoin(F.broadcast(every))
     odd = (F.col("blocks") >= 3) & (F.abs(F.col("sigma") - F.col("mid")) > 4 * F.col("dev"))
-    sig = sig.select(*k, "sigma", odd.alias("odd"))
-    return x.join(sig, k).withColumn("z", F.when(F.col("odd"), 0.0).otherwise(F.col("x") / F.col("sigma"))).drop("rank", "x", "med", "m", "odd")
+    return x.withColumn("z", F.when(odd, 0.0).otherwise(F.col("x") / F.col("sigma"))).drop("rank", "x", "med", "m", "blocks", "mid", "dev")
 
 
 def matched_filter(series: DataFrame, chunk: int = 4096, t: str = "t", value: str = "z", widths: tuple[int, ...] = BOXCARS, keys: tuple[str, ...] = ()) -> DataFrame:

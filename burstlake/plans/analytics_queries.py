@@ -44,22 +44,23 @@ def match_full(spark, sf_dir):
     return matching.full_match(truth(spark, sf_dir), found(spark, sf_dir), "file_id", TOL)
 
 
-@query(CANDIDATES + """, c AS (SELECT cand_id, mjd, floor(mjd) AS day FROM cand WHERE kind = 'click'), b AS (SELECT cand_id AS burst_id, mjd AS bm, floor(mjd) AS day FROM cand WHERE kind = 'purchase' AND cand_id % 7 = 0),
+NEAREST = CANDIDATES + """, c AS (SELECT cand_id, mjd, floor(mjd) AS day FROM cand WHERE kind = 'click'), b AS (SELECT cand_id AS burst_id, mjd AS bm, floor(mjd) AS day FROM cand WHERE kind = 'purchase'),
 s AS (SELECT cand_id, burst_id, abs(mjd - bm) AS d, row_number() OVER (PARTITION BY cand_id ORDER BY abs(mjd - bm), bm, burst_id) AS k FROM c JOIN b ON c.day = b.day),
 o AS (SELECT cand_id, burst_id, abs(mjd - bm) AS d, row_number() OVER (PARTITION BY cand_id ORDER BY abs(mjd - bm), bm, burst_id) AS k FROM c, b WHERE c.day NOT IN (SELECT day FROM b))
-SELECT cand_id, burst_id, round(d * 86400.0::DOUBLE, 3) AS delta_s FROM s WHERE k = 1 UNION ALL SELECT cand_id, burst_id, round(d * 86400.0::DOUBLE, 3) FROM o WHERE k = 1""")
-def nearest_same_day(spark, sf_dir):
-    c = candidates(spark, sf_dir)
-    return matching.nearest_same_day(c.where("kind = 'click'"), c.where("kind = 'purchase' and cand_id % 7 = 0").select(F.col("cand_id").alias("burst_id"), "mjd"))
+SELECT cand_id, burst_id, round(d * 86400.0::DOUBLE, 3) AS delta_s FROM s WHERE k = 1 UNION ALL SELECT cand_id, burst_id, round(d * 86400.0::DOUBLE, 3) FROM o WHERE k = 1"""
 
 
-@query()
-def nearest_same_day_all(spark, sf_dir):
-    """nearest_same_day over all bursts of the kind, not a seventh of them."""
+@query(NEAREST)
+def nearest_same_day(spark, sf_dir):
+    """The burst nearest to each candidate, over all bursts of the table."""
     c = candidates(spark, sf_dir)
     return matching.nearest_same_day(c.where("kind = 'click'"), c.where("kind = 'purchase'").select(F.col("cand_id").alias("burst_id"), "mjd"))
 
 
+#: The name that round 1 gave to the search over all bursts.
+query(NEAREST, "nearest_same_day_all")(nearest_same_day)
+
+
 @query()
 def greedy_one_to_one(spark, sf_dir):
     return matching.greedy_match(truth(spark, sf_dir), found(spark, sf_dir), "file_id", 3600.0)
@@ -82,7 +83,9 @@ def token_similarity_match(spark, sf_dir):
     return p.join(q, "page_id").select("page_id", F.size(F.array_intersect("tk", "other")).cast("long").alias("common"), names.similar(F.col("tk"), F.col("other")).alias("similar"))
 
 
-@query()
+@query("""WITH p AS (SELECT page_id, list_distinct(list_filter(string_split_regex(url, '[/.]'), lambda x: length(x) >= 3)) AS tk FROM pages)
+SELECT a.page_id AS known_id, b.page_id AS found_id, len(list_intersect(a.tk, b.tk)) AS common FROM p a JOIN p b ON b.page_id > a.page_id AND b.page_id <= a.page_id + 8
+WHERE len(list_intersect(a.tk, b.tk)) >= greatest(1, least(3, len(a.tk), len(b.tk)))""")
 def token_similarity_band(spark, sf_dir):
     """All pairs of pages with similar names within a band of ids, which stand for times; each pair once."""
     side = lambda x: table(spark, sf_dir, "pages").select(F.col("page_id").alias(f"{x}_id"), F.col("page_id").alias(f"{x}_t"), names.long_tokens(F.col("url"), "[/.]").alias(f"{x}_tokens"))

@@ -11,11 +11,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name or f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[name or f.__name__] = sql
         return f
 
     return add
@@ -31,6 +31,12 @@ def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("t", "label", "c", F.round(F.col("v").cast("double") * F.lit(1e6)).cast("bigint").alias("q"))
 
 
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as one array for each sample: (t, label, spec), for what looks at all channels of a sample at once."""
+    q = F.transform("embedding", lambda v: F.round(v.cast("double") * F.lit(1e6)).cast("bigint"))
+    return table(spark, sf_dir, "embeddings").where(F.size("embedding") > 0).select(F.col("vec_id").alias("t"), "label", q.alias("spec"))
+
+
 #: The same in SQL, as the beginning of a query.
 WATERFALL = """WITH RECURSIVE w AS (SELECT t, label, c, CAST(round(CAST(v AS DOUBLE) * 1e6) AS BIGINT) AS q FROM
 (SELECT vec_id AS t, label, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding) AS v FROM embeddings))"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from burstlake.functions import astro
 from burstlake.operators import boxes, dedisperse, signal, timegrid
-from burstlake.plans.registry import CANDIDATES, DT, FREQ0, STEP, WATERFALL, candidates, query, table, waterfall
+from burstlake.plans.registry import CANDIDATES, DT, FREQ0, STEP, WATERFALL, candidates, query, spectra, table, waterfall
 
 NCHAN = 64
 TOP = FREQ0 + STEP * (NCHAN - 1)
@@ -30,7 +30,7 @@ FROM w JOIN d ON w.c = d.c WHERE t - delay >= 0 GROUP BY ALL)"""
 
 
 def series(spark, sf_dir) -> DataFrame:
-    return signal.integrate(waterfall(spark, sf_dir))
+    return signal.integrate_spectra(spectra(spark, sf_dir))
 
 
 def cube(spark, sf_dir) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -61,29 +62,45 @@ def obs_params(files: DataFrame) -> DataFrame:
 
 
 def header_cards(files: DataFrame) -> DataFrame:
-    """(path, key, value) of the primary header of each FITS file."""
+    """(path, key, value, error) of the primary header of each FITS file; one that can't be read has one row, with its error."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
             for p in b["path"]:
-                with open_path(p) as f:
-                    rows += [(p, k, str(v)) for k, v in cards(f, 0)[0].items()]
-            yield pd.DataFrame(rows, columns=["path", "key", "value"])
+                try:
+                    with open_path(p) as f:
+                        rows += [(p, k, str(v), None) for k, v in cards(f, 0)[0].items()]
+                except (OSError, ValueError, KeyError) as e:
+                    rows.append((p, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "key", "value", "error"], dtype=object)
 
-    return files.where("kind = 'fits'").select("path").mapInPandas(read, "path string, key string, value string")
+    return files.where("kind = 'fits'").select("path").mapInPandas(read, "path string, key string, value string, error string")
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Candidate lists in text; both vocabularies of burst flags are read; files that can't be read are skipped."""
+def read_candidates(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """Candidate lists in text, columns by the names of their header, in whatever order; absent ones are null, others are left out.
+
+    Both vocabularies of burst flags are read; cells that don't fit their column are null; files that can't be read are
+    skipped. Lists with different headers are read apart and put together, see read_lists().
+    """
     flags = ("is_burst_intensity", "is_burst_linear", "is_burst")
-    kinds = [c.strip().rsplit(" ", 1) for c in CANDIDATE_COLUMNS.split(", ")]
-    raw = spark.read.option("ignoreCorruptFiles", True).csv(path, header=True, schema=", ".join(f"{n} string" for n, _ in kinds))
+    raw = spark.read.option("ignoreCorruptFiles", True).option("sep", separator).csv(path, header=True)
+    there = {c.strip().lower(): c for c in raw.columns}
     yes = lambda c: F.lower(F.trim(c)).isin("burst", "true", "1", "yes", "1.000")
-    cols = [F.when(F.trim(F.col(n)) != "", yes(F.col(n))).alias(n) if n in flags else F.col(n).try_cast(k).alias(n.strip("`")) for n, k in kinds]
+    cols = []
+    for name, kind in (c.strip().rsplit(" ", 1) for c in CANDIDATE_COLUMNS.split(", ")):
+        name = name.strip("`")
+        cell = F.col(f"`{there[name]}`") if name in there else F.lit(None).cast("string")
+        cols.append((F.when(F.trim(cell) != "", yes(cell)) if name in flags else cell.try_cast(kind)).alias(name))
     return raw.select(*cols)
 
 
+def read_lists(spark: SparkSession, paths: list[str], separator: str = ",") -> DataFrame:
+    """The union of candidate lists that may have different headers, each read by its own."""
+    return reduce(DataFrame.unionByName, [read_candidates(spark, p, separator) for p in paths])
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """The text form of a candidate table: fixed digits, burst / no_burst, nothing for null."""
 

@@ -20,7 +20,11 @@ SCHEMA = "file string, sample_idx bigint, pol int, spec array<float>"
 #: Header keys that hold text and double precision numbers; all others hold 32-bit integers.
 TEXT_KEYS = {"rawdatafile", "source_name"}
 DOUBLE_KEYS = {"az_start", "za_start", "src_raj", "src_dej", "tstart", "tsamp", "fch1", "foff", "refdm"}
+#: How a sample of so many bits is held: whole numbers up to 16 bits, floating point above; fewer than 8 bits are packed in bytes.
 KINDS = {8: np.uint8, 16: np.int16, 32: np.float32, 64: np.float64}
+PACKED = (1, 2, 4)
+#: A batch of spectra has about so many values.
+BATCH_VALUES = 1 << 22
 SUFFIXES = {".fil": "filterbank", ".fits": "fits"}
 
 
@@ -56,8 +60,7 @@ def filterbank_header(f) -> dict:
         h[key] = text() if key in TEXT_KEYS else struct.unpack("<d", f.read(8))[0] if key in DOUBLE_KEYS else struct.unpack("<i", f.read(4))[0]
     h["header_size"] = f.tell()
     h.setdefault("nifs", 1)
-    row = h["nchans"] * h["nifs"] * h["nbits"] // 8
-    h["nsamples"] = (f.size() - h["header_size"]) // row
+    h["nsamples"] = (f.size() - h["header_size"]) * 8 // (h["nchans"] * h["nifs"] * h["nbits"])
     return h
 
 
@@ -98,10 +101,16 @@ class Ranges(DataSourceReader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part.last <= part.first:
             return
-        block = np.ascontiguousarray(self.block(part.path, part.first, part.last), np.float32)  # (sample, pol, channel)
-        n, pols, chans = block.shape
-        spec = pa.ListArray.from_arrays(np.arange(0, n * pols * chans + 1, chans, dtype=np.int32), pa.array(block.ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array([part.path] * (n * pols)), pa.array(np.repeat(np.arange(part.first, part.last), pols)), pa.array(np.tile(np.arange(pols, dtype=np.int32), n)), spec], names=["file", "sample_idx", "pol", "spec"])
+        first, step = part.first, 0
+        while first < part.last:
+            # One sample tells how wide a row is; then batches have a bounded number of values.
+            last = min(part.last, first + max(1, step))
+            block = np.ascontiguousarray(self.block(part.path, first, last), np.float32)  # (sample, pol, channel)
+            n, pols, chans = block.shape
+            step = max(1, BATCH_VALUES // max(1, pols * chans))
+            spec = pa.ListArray.from_arrays(np.arange(0, n * pols * chans + 1, chans, dtype=np.int32), pa.array(block.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([part.path] * (n * pols)), pa.array(np.repeat(np.arange(first, last), pols)), pa.array(np.tile(np.arange(pols, dtype=np.int32), n)), spec], names=["file", "sample_idx", "pol", "spec"])
+            first = last
 
     def length(self, path: str) -> int:
         raise NotImplementedError
@@ -118,9 +127,17 @@ class FilterbankReader(Ranges):
     def block(self, path: str, first: int, last: int) -> np.ndarray:
         with open_path(path) as f:
             h = filterbank_header(f)
-            row = h["nchans"] * h["nifs"] * h["nbits"] // 8
-            raw = f.read_at((last - first) * row, h["header_size"] + first * row)
-        data = np.frombuffer(raw, KINDS[h["nbits"]]).reshape(-1, h["nifs"], h["nchans"])
+            values, bits = h["nchans"] * h["nifs"], h["nbits"]
+            begin, end = first * values * bits, last * values * bits
+            raw = f.read_at(-(-end // 8) - begin // 8, h["header_size"] + begin // 8)
+        if bits in PACKED:  # the first value of a byte stands in its lowest bits
+            flat = (np.frombuffer(raw, np.uint8)[:, None] >> np.arange(0, 8, bits, dtype=np.uint8)) & ((1 << bits) - 1)
+            data = flat.ravel()[begin % 8 // bits :][: (last - first) * values]
+        elif bits in KINDS:
+            data = np.frombuffer(raw, KINDS[bits])
+        else:
+            raise ValueError(f"{path}: samples of {bits} bits")
+        data = data.reshape(-1, h["nifs"], h["nchans"])
         return data[:, :, ::-1] if h["foff"] < 0 else data
 
 

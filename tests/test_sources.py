@@ -161,3 +161,45 @@ def test_streaming(spark, tmp_path):
 
 def test_delays_and_overlap(spark):
     assert astro.overlap_samples(100, 1200, 1500, 1e-3) == int(np.ceil(4148.8 * 100 * (1200**-2 - 1500**-2) / 1e-3)) and astro.overlap_samples(1, 1, 2, 0) == 1024
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_filterbank_of_few_bits(spark, tmp_path, bits):
+    data = np.random.default_rng(bits).integers(0, 1 << bits, (21, 1, 3))
+    write_filterbank(tmp_path / "whole.fil", data, 1.0, 8)
+    raw = (tmp_path / "whole.fil").read_bytes()
+    head = raw[: len(raw) - data.size]
+    at = head.index(b"nbits") + 5
+    head = head[:at] + struct.pack("<i", bits) + head[at + 4 :]
+    flat = np.append(data.ravel(), np.zeros(-data.size % (8 // bits), int)).reshape(-1, 8 // bits)
+    (tmp_path / "a.fil").write_bytes(head + (flat << (np.arange(8 // bits) * bits)).sum(1).astype(np.uint8).tobytes())
+    register(spark)
+    df = spark.read.format("filterbank").option("samples", 5).load(str(tmp_path / "a.fil"))
+    assert (block(df.where("sample_idx < 21"), 1, 3) == data).all()
+
+
+def test_batches_are_bounded(spark, tmp_path, monkeypatch):
+    from burstlake.sources import recordings
+
+    monkeypatch.setattr(recordings, "BATCH_VALUES", 64)
+    data = np.random.default_rng(0).integers(0, 200, (50, 2, 8))
+    write_filterbank(tmp_path / "a.fil", data, 1.0)
+    reader = recordings.FilterbankReader({"path": str(tmp_path / "a.fil")})
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert max(b.num_rows for b in got) <= 8 and np.array([x for b in got for x in b.column("spec").to_pylist()]).reshape(50, 2, 8).tolist() == data.tolist()
+
+
+def test_candidate_lists_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("is_burst,other,file,detection_prob\nBURST,x,a.fil,0.25\nno_burst,y,b.fil,bad\n,z,c.fil,\n")
+    (tmp_path / "b.csv").write_text("file,t_sample\nd.fil,77\n")
+    got = {r.file: r for r in catalog.read_lists(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()}
+    assert (got["a.fil"].is_burst, got["a.fil"].detection_prob) == (True, 0.25) and (got["b.fil"].is_burst, got["b.fil"].detection_prob) == (False, None)
+    assert got["c.fil"].is_burst is None and got["d.fil"].t_sample == 77 and got["d.fil"].is_burst is None and len(got["a.fil"]) == 29
+
+
+def test_header_cards_tell_errors(spark, tmp_path):
+    write_psrfits(tmp_path / "good.fits", np.zeros((2, 4, 1, 8), int), [0, 1])
+    (tmp_path / "bad.fits").write_bytes(b"nothing")
+    rows = catalog.header_cards(catalog.find_files(spark, str(tmp_path))).collect()
+    assert [r.key for r in rows if r.path.endswith("bad.fits")] == [None] and all(r.error for r in rows if r.path.endswith("bad.fits"))
+    assert any(r.key == "STT_IMJD" for r in rows)
