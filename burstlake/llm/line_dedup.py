@@ -130,7 +130,7 @@ def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
 
     asked = cut(asked)
     may = mark_ids(base, "doc_id", asked.select("doc_id"), "may").where("may").drop("may")
-    made = may.join(asked, "doc_id").select("doc_id", "text", "ask").mapInArrow(emit, "doc_id long, line long, own binary, key binary, gone int, full binary")
+    made = may.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "ask").mapInArrow(emit, "doc_id long, line long, own binary, key binary, gone int, full binary")
     made = cut(made.withColumn("at", place()).drop("doc_id", "line"))
     # Equal (key, place of the deleted word): one replaced. Equal key with the line itself, where no word is gone (-1): one added.
     per = made.groupBy("key", "gone").agg(F.min("at").alias("same"))
@@ -162,7 +162,7 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     gone = cut(gone)
     # A row without words in lines that go, as nearly all whose bit isn't set, moves nowhere.
     marked = mark_ids(docs, doc_id, gone.select(gone_id), may)
-    met = marked.where(may).join(gone, F.col(doc_id).cast("long") == F.col(gone_id), "left").drop(gone_id)
+    met = marked.where(may).join(gone.hint("merge"), F.col(doc_id).cast("long") == F.col(gone_id), "left").drop(gone_id)
     rest = marked.where(f"not {may}").withColumn(gone_lines, F.lit(None).cast("array<bigint>"))
     out = met.unionByName(rest).drop(may)
 

@@ -82,14 +82,17 @@ def mark_ids(df: DataFrame, column: str, ids: DataFrame, out: str) -> DataFrame:
 
 
 def with_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose column is among ids (one column of longs); only rows that may be are shuffled. Columns of df stay."""
-    own = ids.toDF(OWN + "id").distinct()
+    """Rows of df whose column is among ids (one column of longs); only rows that may be are shuffled. Columns of df stay.
+
+    The join is a shuffled one at every size, so that what is measured on small tables holds for large ones.
+    """
+    own = ids.toDF(OWN + "id").distinct().hint("merge")
     return mark_ids(df, column, own, OWN + "maybe").where(OWN + "maybe").drop(OWN + "maybe").join(own, F.col(column) == F.col(OWN + "id"), "left_semi")
 
 
 def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose column is null or not among ids; only rows that may be among them are shuffled."""
-    own = ids.toDF(OWN + "id").distinct()
+    own = ids.toDF(OWN + "id").distinct().hint("merge")
     marked = mark_ids(df, column, own, OWN + "maybe")
     rest = marked.where(OWN + "maybe").join(own, F.col(column) == F.col(OWN + "id"), "left_anti")
     return marked.where(f"not {OWN}maybe").unionByName(rest).drop(OWN + "maybe")
