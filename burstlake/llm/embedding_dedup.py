@@ -15,6 +15,9 @@ from burstlake.llm.shared import components, cut, forest
 #: Centroids of a label or cell are fitted on about so many of its vectors; it is divided into so many cells at most at once;
 #: rows of a cell, a block, and a group that is placed; larger cells are divided again, in so many levels.
 SAMPLE_ROWS, MAX_CELLS, CELL_ROWS, BLOCK_ROWS, PLACE_ROWS, LEVELS = 4096, 256, 1024, 2048, 4096, 4
+#: A label is divided from so many times CELL_ROWS on, a cell from so many: near-boundary rows go along into several
+#: parts, which costs more than a few blocks of a cell that is only a little too large.
+DIVIDE, DIVIDE_AGAIN = 2, 16
 
 
 def unit(v) -> np.ndarray | None:
@@ -147,7 +150,7 @@ def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id",
     rows_of = None
     for level in range(LEVELS):
         size = left.groupBy(*group).agg(F.count("*").alias("n"))
-        large = size.where(F.col("n") > 2 * CELL_ROWS)
+        large = size.where(F.col("n") > (DIVIDE_AGAIN if level else DIVIDE) * CELL_ROWS)
         if rows_of is not None:  # a cell whose rows are all near one another isn't divided in vain: one that hasn't shrunk stays
             large = large.where(F.col("n") <= 0.75 * rows_of)
         need = cut(large.select(*group, F.least(F.lit(MAX_CELLS), F.ceil(F.col("n") / CELL_ROWS)).cast("int").alias("k"), F.ceil(F.col("n") / PLACE_ROWS).cast("int").alias("parts"), (F.lit(SAMPLE_ROWS) / F.col("n") * (1 << 30)).cast("long").alias("share"), "n"))

@@ -52,7 +52,7 @@ def test_marks_lose_nothing(spark, monkeypatch):
 
 
 def test_lines_with_marks_that_say_nothing(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "a b c d e f\nx", "k"), (2, "q\na b c d e g\nx", "k"), (3, None, "k"), (None, "x", "k")], f"doc_id long, text string, {'gone_id'} string")
+    docs = spark.createDataFrame([(1, "a b c d e f\nx", "k"), (2, "q\na b c d e g\nx", "k"), (3, None, "k"), (None, "x", "k")], "doc_id long, text string, gone_id string")
     want = {(1, "a b c d e f\nx", 0), (2, "q", 2), (3, None, 0), (None, "x", 0)}
     for bits in (64, 1 << 23):
         monkeypatch.setattr(shared, "ID_BITS", bits)
@@ -62,7 +62,7 @@ def test_lines_with_marks_that_say_nothing(spark, monkeypatch):
 def test_vectors_in_cells_of_several_levels(spark, monkeypatch):
     import numpy as np
 
-    for name, n in (("CELL_ROWS", 10), ("MAX_CELLS", 3), ("BLOCK_ROWS", 16), ("PLACE_ROWS", 30), ("SAMPLE_ROWS", 60)):
+    for name, n in (("CELL_ROWS", 10), ("MAX_CELLS", 3), ("BLOCK_ROWS", 16), ("PLACE_ROWS", 30), ("SAMPLE_ROWS", 60), ("DIVIDE_AGAIN", 2)):
         monkeypatch.setattr(embedding_dedup, name, n)
     rng = np.random.default_rng(2)
     centre = rng.standard_normal((40, 6))
