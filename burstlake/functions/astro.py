@@ -48,6 +48,16 @@ def infinite_frequency_mjd(mjd: Column, dm: Column, freq: Column) -> Column:
     return mjd - F.lit(K_MJD) * dm / (freq * freq) / F.lit(SECONDS_PER_DAY)
 
 
+def mean_inverse_square(freq: Column) -> Column:
+    """Aggregate: the mean of 1 / f^2 over channels that have a frequency."""
+    return F.avg(F.when(freq > 0, F.lit(1.0) / (freq * freq)))
+
+
+def infinite_frequency_mjd_mean(mjd: Column, dm: Column, inverse_square: Column) -> Column:
+    """The same by the mean over channels instead of one frequency."""
+    return mjd - F.lit(K_MJD) * dm * inverse_square / F.lit(SECONDS_PER_DAY)
+
+
 def dm_classic(y: Column, dm_min: float, dm_max: float) -> Column:
     return F.lit(dm_min) + y * F.lit((dm_max - dm_min + 1) / 512.0)
 

@@ -47,3 +47,25 @@ def shifted(samples: DataFrame, delay: DataFrame, length: int, value: str = "q")
 def best_dm(plane: DataFrame, keys: tuple[str, ...] = ("t",)) -> DataFrame:
     """The trial with the highest mean at each time, the first at a tie, and the spread over trials."""
     return plane.groupBy(*keys).agg(F.max_by("dm_idx", F.struct("full", -F.col("dm_idx"))).alias("dm_idx"), F.max("full").alias("peak"), F.stddev_pop("full").alias("spread"))
+
+
+def patches(peaks: DataFrame, spectra: DataFrame, delay: DataFrame, length: int, keys: tuple[str, ...] = (), peak: str = "peak", t: str = "t", spec: str = "spec", least: int = 32) -> DataFrame:
+    """(keys, peak, first, x, c, value): the dedispersed window of `length` samples around each peak at one trial.
+
+    A window is moved so that it and the longest delay lie within the recording, shrunk to what there is (`least` at
+    the fewest) and centred at x from 0 to length - 1; places without a row are padding and count as 0. A peak asks for
+    its own samples only, which meet the spectra on equal keys and times; the delay table is a parameter and is broadcast.
+    """
+    n, far = F.col("n"), F.col("far")
+    head = spectra.groupBy(*keys).agg((F.max(t) + 1).alias("n"))
+    p = peaks.join(head, list(keys)) if keys else peaks.crossJoin(F.broadcast(head))
+    p = p.crossJoin(F.broadcast(delay.agg(F.max("delay").alias("far"))))
+    p = p.withColumn("len", F.least(F.lit(length), F.greatest(F.lit(least), n - far)))
+    wanted = F.greatest(F.lit(0), F.col(peak) - F.floor(F.col("len") / 2))
+    p = p.withColumn("first", F.when(wanted + F.col("len") + far > n, F.greatest(F.lit(0), n - F.col("len") - far)).otherwise(wanted))
+    p = p.withColumn("fill", F.least(F.col("len"), F.least(F.col("first") + F.col("len") + far, n) - F.col("first") - far)).where("fill > 0")
+    asked = p.select(*keys, peak, "first", "fill", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fill") - 1)).alias("k"))
+    asked = asked.crossJoin(F.broadcast(delay.select("c", "delay"))).withColumn(t, F.col("first") + F.col("k") + F.col("delay"))
+    met = asked.join(spectra.select(*keys, t, spec), [*keys, t])
+    at = (F.col("k") + F.floor((F.lit(length) - F.col("fill")) / 2)).alias("x")
+    return met.select(*keys, peak, "first", at, "c", F.get(spec, F.col("c")).alias("value"))

@@ -47,3 +47,31 @@ def fill_gaps(df: DataFrame, t: str, first: int, last: int, value: str, step: in
     """A row for each t from first to last, value 0 where df has none."""
     axis = df.sparkSession.range(first, last + 1, step).withColumnRenamed("id", t)
     return axis.join(df, t, "left").withColumn("is_gap", F.col(value).isNull()).withColumn(value, F.coalesce(value, F.lit(0)))
+
+
+def auto_rates(nchan: Column, dt: Column, channels: int = 512, grid: float = 49.152 * 16e-6) -> tuple[Column, Column]:
+    """Rates of channels and samples where none are set: about `channels` are left, and a sample is about `grid` seconds; 1 at least."""
+    freq = F.when(nchan >= channels, F.bround(nchan / F.lit(float(channels))).cast("bigint")).otherwise(F.lit(1).cast("bigint"))
+    return F.greatest(F.lit(1).cast("bigint"), freq), F.greatest(F.lit(1).cast("bigint"), (F.lit(grid) / dt).cast("bigint"))
+
+
+def decimated_halo(halo: Column, rate: Column) -> Column:
+    """Samples of a halo after decimation, rounded up so that none is lost."""
+    return F.ceil(halo / rate)
+
+
+def trial_rows(dm_min: Column, dm_max: Column) -> Column:
+    """Rows of a plane with a trial for each unit, both ends included."""
+    return (dm_max - dm_min + 1).cast("bigint")
+
+
+def valid_slices(planned: DataFrame, slice_len: int, first: str = "first", n: str = "n") -> DataFrame:
+    """Adds stop, where a slice of a recording of n samples ends; slices past its end or cut to under half are left out."""
+    stop = F.least(F.col(first) + slice_len, F.col(n))
+    return planned.withColumn("stop", stop).where((F.col(first) < F.col(n)) & (2 * (F.col("stop") - F.col(first)) >= slice_len))
+
+
+def nanmean_bin(samples: DataFrame, time_rate: int, freq_rate: int, keys: tuple[str, ...] = (), t: str = "t", c: str = "c", value: str = "v") -> DataFrame:
+    """Mean of what is a number in each bin of samples and channels, partial bins included; null in a bin without any."""
+    tb, cb = F.floor(F.col(t) / time_rate).cast("long").alias("t_bin"), F.floor(F.col(c) / freq_rate).cast("long").alias("c_bin")
+    return samples.groupBy(*keys, tb, cb).agg(F.avg(F.when(~F.isnan(value), F.col(value))).alias("value"))
