@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,16 @@ def plane_maxima(plane: DataFrame, row: str, col: str, value: str, threshold: fl
 
 
 def nms(boxes: DataFrame, key: str, limit: float) -> DataFrame:
-    """Of each group, from the best score down, boxes whose overlap (IoU) with no kept box is over the limit.
+    """Of each group, from the best score down, the boxes whose overlap (IoU) with no kept box is over the limit.
 
-    boxes: (key, box_id, x1, y1, x2, y2, score). A group is one image, whose boxes are bounded by its size.
+    boxes: (key, box_id, x1, y1, x2, y2, score). A group is one image. Of equal boxes with an area only the best goes into
+    it (the others overlap it whole), so that on a grid of pixels a group is bounded by the image and not by the rows.
     """
+    if limit < 1:
+        same = Window.partitionBy(key, "x1", "y1", "x2", "y2").orderBy(F.desc("score"), "box_id")
+        solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+        columns = boxes.columns
+        boxes = boxes.withColumn("nms_place", F.when(solid, F.row_number().over(same)).otherwise(1)).where("nms_place = 1").select(*columns)
 
     def keep(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["score", "box_id"], ascending=[False, True])

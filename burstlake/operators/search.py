@@ -62,10 +62,11 @@ def dm_at(peaks: DataFrame, spectra: DataFrame, delay: DataFrame, keys: tuple[st
 def search(spectra: DataFrame, delay: DataFrame, dt: float, start: Column, threshold: float = 2.0, least_prob: float = 0.6, block: int = 500, slice_len: int = 512, distance: int = 16, strict: bool = False) -> DataFrame:
     """Candidates of recordings (file, t, i, q, u): the columns of a candidate table that this search fills.
 
-    Both series are normalised by blocks and filtered in chunks with a halo; peaks of the total at least `distance` apart
-    are candidates. Their trial is the best at the peak, their linear value that of the same sample, each classified by
-    itself; is_burst is the decision on both. start is the date of a file's first sample, a column over file. Files are
-    split by blocks, chunks and slices, so that a long one is many groups. An empty table gives none.
+    Both series are normalised by blocks and filtered in chunks with a halo; the highest sample of each slice of the
+    total and peaks at least `distance` apart are candidates, from `threshold` on. Their trial is the best at the peak,
+    their linear value that of the same sample, each classified by itself; is_burst is the decision on both. start is the
+    date of a file's first sample, a column over file. Files are split by blocks, chunks and slices, so that a long one
+    is many groups. An empty table gives none.
     """
     keys = ("file",)
     s = series_of(spectra, keys)
@@ -73,8 +74,10 @@ def search(spectra: DataFrame, delay: DataFrame, dt: float, start: Column, thres
     def filtered(value: str) -> DataFrame:
         return signal.matched_filter(signal.block_normalize(s, block, value=value, keys=keys), keys=keys)
 
-    hits = signal.local_peaks(filtered("total"), threshold, slice_len, keys=keys).select("file", "slice_id", "t", "snr", "width")
-    peaks = hits.join(signal.spaced(hits, distance, keys=keys), ["file", "slice_id", "t"])
+    strong = filtered("total").select("file", "t", "snr", "width")
+    taken = signal.spaced(signal.local_peaks(strong, threshold, slice_len, keys=keys), distance, keys=keys)
+    first = signal.global_first(strong, taken, threshold, slice_len, keys=keys).select("file", "slice_id", "t")
+    peaks = first.join(strong, ["file", "t"])
     weak = filtered("linear").select("file", "t", F.col("snr").alias("snr_l"))
     dm = delay.select("dm_idx", "dm").distinct()
     found = peaks.join(weak, ["file", "t"]).join(dm_at(peaks, spectra, delay, keys), ["file", "t"]).join(F.broadcast(dm), "dm_idx")

@@ -51,7 +51,8 @@ DELAYS = f""", d AS (SELECT i AS dm_idx, c, CAST(trunc(4150.0::DOUBLE * (0.0::DO
 PEAKS = _filtered("total") + """, n0 AS (SELECT file, t // 512 AS slice_id, t, snr, width, lag(snr) OVER w AS b, lead(snr) OVER w AS a FROM f_total WINDOW w AS (PARTITION BY file, t // 512 ORDER BY t)),
 p AS (SELECT file, slice_id, t, snr, width FROM n0 WHERE snr >= 2.0 AND snr >= b AND snr >= a),
 k AS (SELECT file, slice_id, min(t) AS t FROM p GROUP BY ALL UNION ALL SELECT file, slice_id, (SELECT min(p.t) FROM p WHERE p.file = k.file AND p.slice_id = k.slice_id AND p.t >= k.t + 16) FROM k WHERE k.t IS NOT NULL),
-pk AS (SELECT p.* FROM p JOIN k ON p.file = k.file AND p.t = k.t)"""
+o AS (SELECT file, t FROM k WHERE t IS NOT NULL UNION SELECT file, arg_min(t, (-snr, t)) FROM f_total GROUP BY file, t // 512 HAVING max(snr) >= 2.0),
+pk AS (SELECT f.file, f.t // 512 AS slice_id, f.t, snr, width FROM f_total f JOIN o ON f.file = o.file AND f.t = o.t)"""
 FOUND = RECORDINGS + DELAYS + PEAKS + _filtered("linear") + """, pl AS (SELECT pk.file, pk.t, d.dm_idx, sum(st.i)::DOUBLE / count(*) AS f FROM pk CROSS JOIN d JOIN st ON st.file = pk.file AND st.c = d.c AND st.t = pk.t + d.delay GROUP BY ALL),
 dm AS (SELECT file, t, CASE WHEN stddev_pop(f) < 1e-6 THEN 10 ELSE arg_min(dm_idx, (-f, dm_idx)) END AS dm_idx FROM pl GROUP BY ALL),
 found AS (SELECT pk.*, l.snr AS snr_l, dm_idx, 1 / (1 + exp(-(pk.snr - 2.0) / 2.0)) AS pi, 1 / (1 + exp(-(l.snr - 2.0) / 2.0)) AS pl FROM pk JOIN f_linear l ON pk.file = l.file AND pk.t = l.t JOIN dm ON pk.file = dm.file AND pk.t = dm.t)"""
@@ -82,8 +83,8 @@ def search_phases(spark, sf_dir):
 @query(RECORDINGS + DELAYS + PEAKS + """, z AS (SELECT file, max(t) + 1 AS n FROM st GROUP BY file), y AS (SELECT max(delay) AS far FROM d WHERE dm_idx = 6),
 a AS (SELECT pk.file, pk.t AS peak, n, far, least(64, greatest(32, n - far)) AS len FROM pk JOIN z ON pk.file = z.file, y),
 b AS (SELECT *, CASE WHEN greatest(0, peak - len // 2) + len + far > n THEN greatest(0, n - len - far) ELSE greatest(0, peak - len // 2) END AS first FROM a),
-o AS (SELECT *, least(len, least(first + len + far, n) - first - far) AS fill FROM b)
-SELECT o.file, peak, first, st.t - first - delay + (64 - fill) // 2 AS x, st.c, st.i AS value FROM o JOIN d ON dm_idx = 6 JOIN st ON st.file = o.file AND st.c = d.c AND st.t >= first + delay AND st.t < first + delay + fill""")
+cut AS (SELECT *, least(len, least(first + len + far, n) - first - far) AS fill FROM b)
+SELECT o.file, peak, first, st.t - first - delay + (64 - fill) // 2 AS x, st.c, st.i AS value FROM cut o JOIN d ON dm_idx = 6 JOIN st ON st.file = o.file AND st.c = d.c AND st.t >= first + delay AND st.t < first + delay + fill""")
 def dedisperse_patch_clamped(spark, sf_dir):
     """Windows of 64 samples around the peaks, moved and shrunk to what the recording holds and centred."""
     r = recordings(spark, sf_dir)

@@ -109,6 +109,32 @@ def test_box_suppression(spark):
     assert sorted(r.box_id for r in got.collect()) == [1, 3, 4, 5]
 
 
+def test_box_suppression_brute_force(spark):
+    import random
+
+    from burstlake.operators.boxes import nms
+
+    rng = random.Random(8)
+    rows = []
+    for k in range(200):
+        x, y, w, h = rng.randrange(6), rng.randrange(6), rng.randrange(4), rng.randrange(4)
+        rows.append((rng.choice("ab"), k, x, y, x + w, y + h, rng.randrange(20) / 20))
+    shared = lambda a, b: max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[6], r[1])):
+        both = [(shared(r, o), shared(r, r) + shared(o, o)) for o in kept if o[0] == r[0]]
+        if not any(s and s / (t - s) > 0.3 for s, t in both):
+            kept.append(r)
+    got = nms(spark.createDataFrame(rows, "image string, box_id int, x1 int, y1 int, x2 int, y2 int, score double"), "image", 0.3)
+    assert sorted(r.box_id for r in got.collect()) == sorted(r[1] for r in kept)
+
+
+def test_injected_pulse_is_found(spark):
+    """The pulse is added at the fifth trial and the 40th sample of every recording of 500."""
+    got = QUERIES["inject_pulse_recover"](spark, "/root/testdata/sf0.01").collect()
+    assert got and all((r.dm_idx, r.t % 500) == (4, 40) for r in got)
+
+
 def test_empty_tables_give_no_rows(spark, sf, tmp_path):
     for t in TABLES.split():
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
