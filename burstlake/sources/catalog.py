@@ -121,3 +121,12 @@ def write_candidates(df: DataFrame, path: str) -> None:
 def write_summary(counts: DataFrame, path: str) -> None:
     """Counters as JSON lines, one for each file and one for all."""
     counts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def append_history(counts: DataFrame, path: str, run_id: str) -> None:
+    """Counters of one run, added to a table with a folder for each run; writing a run again replaces it and no other.
+
+    run_id and run_at (when it was written) are added, in place of columns of those names.
+    """
+    row = counts.drop("run_id", "run_at").withColumn("run_at", F.current_timestamp()).withColumn("run_id", F.lit(run_id))
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

@@ -203,3 +203,14 @@ def test_header_cards_tell_errors(spark, tmp_path):
     rows = catalog.header_cards(catalog.find_files(spark, str(tmp_path))).collect()
     assert [r.key for r in rows if r.path.endswith("bad.fits")] == [None] and all(r.error for r in rows if r.path.endswith("bad.fits"))
     assert any(r.key == "STT_IMJD" for r in rows)
+
+
+def test_history_keeps_each_run_once(spark, tmp_path):
+    from burstlake.sources.catalog import append_history
+
+    path = str(tmp_path / "history")
+    for run, n in (("r1", 3), ("r2", 5), ("r1", 4)):
+        append_history(spark.createDataFrame([("a", n), ("b", 0)], "file string, n int"), path, run)
+    got = spark.read.parquet(path)
+    assert sorted((r.run_id, r.file, r.n) for r in got.collect()) == [("r1", "a", 4), ("r1", "b", 0), ("r2", "a", 5), ("r2", "b", 0)]
+    assert got.where("run_at is null").count() == 0
