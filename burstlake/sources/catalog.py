@@ -7,10 +7,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.sources.recordings import cards, file_kind, filterbank_header, open_path, psrfits_layout
+from burstlake.sources.recordings import cards, file_kind, filterbank_header, open_path, plain_fits, psrfits_layout, start_mjd
 
 #: The columns of a candidate table, in order, with their kinds; and the digits of the text form.
 CANDIDATE_COLUMNS = (
@@ -25,18 +26,73 @@ DIGITS |= dict.fromkeys(("snr_waterfall", "snr_patch_dedispersed", "snr_waterfal
 
 
 def find_files(spark: SparkSession, folder: str, target: str = "") -> DataFrame:
-    """(path, name, length, kind) of recordings under a folder whose name holds target, whatever the case. Contents aren't read."""
+    """(path, name, length, kind) of recordings under a folder whose name holds target, whatever the case. Contents aren't read; empty files aren't listed."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.when(F.lower(name).endswith(".fil"), "filterbank").when(F.lower(name).endswith(".fits"), "fits")
     return f.select("path", name.alias("name"), "length", kind.alias("kind")).where(F.col("kind").isNotNull() & F.lower("name").contains(target.lower()))
 
 
-PARAMS = "path string, nchan int, npol int, nbits int, nsamples long, tsamp double, freq_low double, freq_high double, tstart_mjd double, pol_type string, error string"
+def file_checks(files: DataFrame, large: int = 10 << 30) -> DataFrame:
+    """(path, length, errors, warnings) of the paths of a table: what is missing, no file, of neither format or empty; what is larger than a size in bytes."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            stats = [fs.FileSystem.from_uri(p) if "://" in p or p.startswith("file:") else (fs.LocalFileSystem(), p) for p in b["path"]]
+            info = [store.get_file_info(inner) for store, inner in stats]
+            yield pd.DataFrame({"path": b["path"], "what": [i.type.name for i in info], "length": pd.array([i.size for i in info], "Int64")})
+
+    f = files.where("path is not null").select("path").mapInPandas(look, "path string, what string, length long")
+    error = F.when(F.col("what") == "NotFound", "missing").when(F.col("what") != "File", "not a file").when(~F.lower("path").rlike("[.](fil|fits)$"), "unsupported").when(F.col("length") == 0, "empty")
+    return f.select("path", "length", F.array_compact(F.array(error)).alias("errors"), F.array_compact(F.array(F.when(F.col("length") > large, "large"))).alias("warnings"))
+
+
+def reading_plan(params: DataFrame, chunk: int) -> DataFrame:
+    """Chunks and seconds of each recording of obs_params(), and notes on its size; nulls where the parameters are null.
+
+    Fixed values: many samples are more than 10 million in FITS and 50 million in filterbank files; a recording is short
+    under 1 million samples and very long over 100 million.
+    """
+    n = F.col("nsamples")
+    many = n > F.when(F.lower("path").endswith(".fits"), 10_000_000).otherwise(50_000_000)
+    notes = F.array(F.when(many, "many samples"), F.when(n < 1_000_000, "short recording"), F.when(n > 100_000_000, "very long recording"))
+    return params.select("path", F.ceil(n / chunk).alias("chunks"), (n * F.col("tsamp")).alias("seconds"), F.array_compact(notes).alias("notes"))
+
+
+def outputs_of(recordings: DataFrame, results: DataFrame, validation: str, legacy: str) -> DataFrame:
+    """(file, output, rank): result files under two folders that have a recording's name, without its suffix, in their own or their directories' names.
+
+    Rank 0 stands right in the validation folder, 1 in directories under it, 2 in the legacy folder; a recording without
+    results has one row with nulls. Recordings given twice count once; results elsewhere and null paths are left out.
+    A result is joined by the parts of its path that are as long as some recording's name, of which it has at most as
+    many as letters for each length, so that no result meets each recording.
+    """
+    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "(?i)[.](fil|fits)$", "")
+    known = recordings.where("path is not null").select(F.col("path").alias("file"), base.alias("stem")).where("stem != ''").distinct()
+    inside = lambda folder: F.col("path").startswith(folder.rstrip("/") + "/")
+    rest = F.when(inside(validation), F.substring("path", len(validation.rstrip("/")) + 2, 1 << 20)).when(inside(legacy), F.substring("path", len(legacy.rstrip("/")) + 2, 1 << 20))
+    rank = F.when(~inside(validation), 2).when(rest.contains("/"), 1).otherwise(0)
+    there = results.where("path is not null").select(F.col("path").alias("output"), rest.alias("rest"), rank.alias("rank")).where("rest is not null").distinct()
+    lengths = known.agg(F.collect_set(F.length("stem")).alias("lengths"))  # one row; a name has at most 255 letters
+    name = F.explode(F.split("rest", "/")).alias("name")
+    part = "array_distinct(flatten(transform(filter(lengths, n -> n <= length(name)), n -> transform(sequence(1, length(name) - n + 1), k -> substr(name, k, n)))))"
+    parts = there.select("output", "rank", name).join(F.broadcast(lengths)).select("output", "rank", F.explode(F.expr(part)).alias("stem")).distinct()
+    return known.join(parts, "stem", "left").select("file", "output", "rank")
+
+
+def first_output(outputs: DataFrame) -> DataFrame:
+    """(file, output): of each recording the result of the lowest rank, the first by name among several."""
+    return outputs.groupBy("file").agg(F.min_by("output", F.struct("rank", "output")).alias("output"))
+
+
+PARAMS = "path string, nchan int, npol int, nbits int, nsamples long, tsamp double, freq_low double, freq_high double, tstart_mjd double, tstart_mjd_corr double, pol_type string, error string"
 
 
 def obs_params(files: DataFrame) -> DataFrame:
-    """One row of parameters for each file; one that can't be read has its error and nulls."""
+    """One row of parameters for each file; one that can't be read has its error and nulls.
+
+    FITS files without SUBINT have the frequencies of their axis named FREQ, and nulls for what their header doesn't tell.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -48,15 +104,22 @@ def obs_params(files: DataFrame) -> DataFrame:
                 if file_kind(path) == "filterbank":
                     h = filterbank_header(f)
                     ends = sorted((h["fch1"], h["fch1"] + h["foff"] * (h["nchans"] - 1)))
-                    return (path, h["nchans"], h["nifs"], h["nbits"], h["nsamples"], h["tsamp"], *ends, h.get("tstart"), None, None)
-                lay = psrfits_layout(f)
+                    return (path, h["nchans"], h["nifs"], h["nbits"], h["nsamples"], h["tsamp"], *ends, h.get("tstart"), h.get("tstart"), None, None)
+                try:
+                    lay = psrfits_layout(f)
+                except ValueError:
+                    return plain(path, f)
                 p, s = lay["primary"], lay["sub"]
-                start = p["STT_IMJD"] + (p["STT_SMJD"] + p["STT_OFFS"]) / 86400.0
                 at, form, n = lay["columns"]["DAT_FREQ"]
                 freq = np.frombuffer(f.read_at(n * (8 if form == "D" else 4), lay["body"] + at), ">f8" if form == "D" else ">f4")
-                return (path, s["NCHAN"], s["NPOL"], s["NBITS"], s["NSBLK"] * lay["rows"], s["TBIN"], float(freq.min()), float(freq.max()), start, s.get("POL_TYPE"), None)
+                return (path, s["NCHAN"], s["NPOL"], s["NBITS"], s["NSBLK"] * lay["rows"], s["TBIN"], float(freq.min()), float(freq.max()), *start_mjd(p, s), s.get("POL_TYPE"), None)
         except (OSError, ValueError, KeyError) as e:
-            return (path, *[None] * 9, f"{type(e).__name__}: {e}")
+            return (path, *[None] * 10, f"{type(e).__name__}: {e}")
+
+    def plain(path: str, f) -> tuple:
+        head, freq = plain_fits(f)
+        samples = head["NAXIS2"] * head.get("NSBLK", 1) if "NAXIS2" in head else None
+        return (path, head.get("NCHAN", len(freq)), head.get("NPOL"), head.get("NBITS"), samples, head.get("TBIN"), float(freq.min()), float(freq.max()), *start_mjd(cards(f, 0)[0], head), head.get("POL_TYPE"), None)
 
     return files.select("path").mapInPandas(read, PARAMS)
 

@@ -8,7 +8,9 @@ filter on sample_idx is pushed down to the ranges.
 
 from __future__ import annotations
 
+import math
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ KINDS = {8: np.uint8, 16: np.int16, 32: np.float32, 64: np.float64}
 PACKED = (1, 2, 4)
 #: A batch of spectra has about so many values.
 BATCH_VALUES = 1 << 22
+#: What a file without a filterbank header is taken for, where the reader is told to assume one.
+ASSUMED_HEADER = {"nchans": 512, "tsamp": 8.192e-5, "fch1": 1500.0, "foff": -1.0, "nbits": 8, "nifs": 1, "header_size": 512}
 SUFFIXES = {".fil": "filterbank", ".fits": "fits"}
 
 
@@ -43,8 +47,19 @@ def open_path(path: str):
     return store.open_input_file(inner)
 
 
-def filterbank_header(f) -> dict:
-    """The header's keys, `header_size` and `nsamples` from the file's length where the header has none."""
+def filterbank_header(f, assume: bool = False) -> dict:
+    """The header's keys, `header_size`, and `nsamples` from the file's length. A file without header has ASSUMED_HEADER, if asked for."""
+    try:
+        h = own_header(f)
+    except (ValueError, struct.error) as e:
+        if not assume:
+            raise ValueError(f"no filterbank header: {e}") from e
+        h = dict(ASSUMED_HEADER)
+    h["nsamples"] = max(0, f.size() - h["header_size"]) * 8 // (h["nchans"] * h["nifs"] * h["nbits"])
+    return h
+
+
+def own_header(f) -> dict:
     f.seek(0)
 
     def text() -> str:
@@ -60,7 +75,6 @@ def filterbank_header(f) -> dict:
         h[key] = text() if key in TEXT_KEYS else struct.unpack("<d", f.read(8))[0] if key in DOUBLE_KEYS else struct.unpack("<i", f.read(4))[0]
     h["header_size"] = f.tell()
     h.setdefault("nifs", 1)
-    h["nsamples"] = (f.size() - h["header_size"]) * 8 // (h["nchans"] * h["nifs"] * h["nbits"])
     return h
 
 
@@ -71,11 +85,12 @@ class Range(InputPartition):
 
 
 class Ranges(DataSourceReader):
-    """Splits files into ranges of samples; filters on sample_idx narrow them. Subclasses give sizes and rows."""
+    """Splits files into ranges of samples; filters on sample_idx narrow them. Subclasses give layouts, sizes and rows."""
 
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
         self.step = int(options.get("samples", 1 << 16))
+        self.assume = str(options.get("assume_header", "false")).lower() == "true"
         self.low, self.high = 0, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -93,7 +108,8 @@ class Ranges(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         for p in self.paths:
-            n = self.length(p)
+            with open_path(p) as f:
+                n = self.length(f, self.layout(f))
             end = n if self.high is None else min(n, self.high)
             out += [Range(p, a, min(a + self.step, end)) for a in range(min(self.low, end), end, self.step)]
         return out or [Range("", 0, 0)]
@@ -102,41 +118,46 @@ class Ranges(DataSourceReader):
         if part.last <= part.first:
             return
         first, step = part.first, 0
-        while first < part.last:
-            # One sample tells how wide a row is; then batches have a bounded number of values.
-            last = min(part.last, first + max(1, step))
-            block = np.ascontiguousarray(self.block(part.path, first, last), np.float32)  # (sample, pol, channel)
-            n, pols, chans = block.shape
-            step = max(1, BATCH_VALUES // max(1, pols * chans))
-            spec = pa.ListArray.from_arrays(np.arange(0, n * pols * chans + 1, chans, dtype=np.int32), pa.array(block.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([part.path] * (n * pols)), pa.array(np.repeat(np.arange(first, last), pols)), pa.array(np.tile(np.arange(pols, dtype=np.int32), n)), spec], names=["file", "sample_idx", "pol", "spec"])
-            first = last
-
-    def length(self, path: str) -> int:
+        with open_path(part.path) as f:
+            lay = self.layout(f)
+            while first < part.last:
+                # One sample tells how wide a row is; then batches have a bounded number of values.
+                last = min(part.last, first + max(1, step))
+                block = np.ascontiguousarray(self.block(f, lay, first, last), np.float32)  # (sample, pol, channel)
+                n, pols, chans = block.shape
+                step = max(1, BATCH_VALUES // max(1, pols * chans))
+                spec = pa.ListArray.from_arrays(np.arange(0, n * pols * chans + 1, chans, dtype=np.int32), pa.array(block.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([part.path] * (n * pols)), pa.array(np.repeat(np.arange(first, last), pols)), pa.array(np.tile(np.arange(pols, dtype=np.int32), n)), spec], names=["file", "sample_idx", "pol", "spec"])
+                first = last
+
+    def layout(self, f) -> dict:
         raise NotImplementedError
 
-    def block(self, path: str, first: int, last: int) -> np.ndarray:
+    def length(self, f, lay: dict) -> int:
+        raise NotImplementedError
+
+    def block(self, f, lay: dict, first: int, last: int) -> np.ndarray:
         raise NotImplementedError
 
 
 class FilterbankReader(Ranges):
-    def length(self, path: str) -> int:
-        with open_path(path) as f:
-            return filterbank_header(f)["nsamples"]
-
-    def block(self, path: str, first: int, last: int) -> np.ndarray:
-        with open_path(path) as f:
-            h = filterbank_header(f)
-            values, bits = h["nchans"] * h["nifs"], h["nbits"]
-            begin, end = first * values * bits, last * values * bits
-            raw = f.read_at(-(-end // 8) - begin // 8, h["header_size"] + begin // 8)
+    def layout(self, f) -> dict:
+        return filterbank_header(f, self.assume)
+
+    def length(self, f, lay: dict) -> int:
+        return lay["nsamples"]
+
+    def block(self, f, h: dict, first: int, last: int) -> np.ndarray:
+        values, bits = h["nchans"] * h["nifs"], h["nbits"]
+        begin, end = first * values * bits, last * values * bits
+        raw = f.read_at(-(-end // 8) - begin // 8, h["header_size"] + begin // 8)
         if bits in PACKED:  # the first value of a byte stands in its lowest bits
             flat = (np.frombuffer(raw, np.uint8)[:, None] >> np.arange(0, 8, bits, dtype=np.uint8)) & ((1 << bits) - 1)
             data = flat.ravel()[begin % 8 // bits :][: (last - first) * values]
         elif bits in KINDS:
             data = np.frombuffer(raw, KINDS[bits])
         else:
-            raise ValueError(f"{path}: samples of {bits} bits")
+            raise ValueError(f"samples of {bits} bits")
         data = data.reshape(-1, h["nifs"], h["nchans"])
         return data[:, :, ::-1] if h["foff"] < 0 else data
 
@@ -192,25 +213,59 @@ def value(text: str):
             return text
 
 
+def hdus(f) -> Iterator[tuple[dict, int]]:
+    """The cards of each header of a file, and where its data begin."""
+    at = 0
+    while at < f.size():
+        head, body = cards(f, at)
+        yield head, body
+        axes = [head[f"NAXIS{k + 1}"] for k in range(head.get("NAXIS", 0))]
+        size = abs(head.get("BITPIX", 8)) // 8 * head.get("GCOUNT", 1) * (head.get("PCOUNT", 0) + math.prod(axes)) if axes else 0
+        at = body + -(-size // 2880) * 2880
+
+
 def psrfits_layout(f) -> dict:
     """Primary and SUBINT cards, where the table begins, its row length, and the offset, form and count of each column."""
-    primary, at = cards(f, 0)
-    size = abs(primary.get("BITPIX", 8)) // 8 * int(np.prod([primary[f"NAXIS{k + 1}"] for k in range(primary.get("NAXIS", 0))])) if primary.get("NAXIS", 0) else 0
-    at += -(-size // 2880) * 2880
-    while True:
-        sub, body = cards(f, at)
-        size = sub["NAXIS1"] * sub["NAXIS2"] + sub.get("PCOUNT", 0)
-        if sub.get("EXTNAME") == "SUBINT":
-            break
-        at = body + -(-size // 2880) * 2880
-    columns, offset = {}, 0
-    width = {"B": 1, "I": 2, "J": 4, "E": 4, "D": 8, "A": 1, "L": 1, "X": 1}
+    heads = hdus(f)
+    primary, _ = next(heads, ({}, 0))
+    sub, body = next(((h, b) for h, b in heads if h.get("EXTNAME") == "SUBINT"), (None, 0))
+    if sub is None:
+        raise ValueError("no table SUBINT")
+    columns, offset, dims = {}, 0, []
+    width = {"B": 1, "I": 2, "J": 4, "K": 8, "E": 4, "D": 8, "A": 1, "L": 1}
     for k in range(1, sub["TFIELDS"] + 1):
         form = sub[f"TFORM{k}"]
         n = int(form[:-1] or 1)
         columns[sub[f"TTYPE{k}"]] = (offset, form[-1], n)
-        offset += n * width[form[-1]]
-    return {"primary": primary, "sub": sub, "body": body, "row": sub["NAXIS1"], "rows": sub["NAXIS2"], "columns": columns}
+        offset += -(-n // 8) if form[-1] == "X" else n * width[form[-1]]
+        if sub[f"TTYPE{k}"] == "DATA":
+            dims = [int(x) for x in str(sub.get(f"TDIM{k}", "")).strip("() ").split(",") if x.strip()]
+    # Axes are (sample, pol, channel), the last running fastest, unless TDIM, which begins with the fastest, has pol before channel.
+    fine = max(1, 8 // sub.get("NBITS", 8)) if columns["DATA"][1] == "B" else 1
+    swapped = sub["NPOL"] != sub["NCHAN"] and [n * m for n, m in zip(dims, (fine, 1))] == [sub["NPOL"], sub["NCHAN"]]
+    return {"primary": primary, "sub": sub, "body": body, "row": sub["NAXIS1"], "rows": sub["NAXIS2"], "columns": columns, "swapped": swapped}
+
+
+def start_mjd(primary: dict, sub: dict) -> tuple[float | None, float | None]:
+    """Where a recording starts, by STT_IMJD or, where that is absent, TSTART; and the same moved by the rows that NSUBOFFS tells."""
+    if "STT_IMJD" in primary:
+        start = primary["STT_IMJD"] + (primary.get("STT_SMJD", 0) + primary.get("STT_OFFS", 0.0)) / 86400.0
+    elif primary.get("TSTART"):
+        start = float(primary["TSTART"])
+    else:
+        return None, None
+    rows = sub.get("NSUBOFFS", primary.get("NSUBOFFS", 0)) or 0
+    return start, start + rows * sub.get("TSUBINT", sub.get("NSBLK", 1) * sub.get("TBIN", 0.0)) / 86400.0
+
+
+def plain_fits(f) -> tuple[dict, np.ndarray]:
+    """The cards of the first HDU with an axis named FREQ among its first three, and that axis's frequencies by its world coordinates."""
+    for head, _ in hdus(f):
+        k = next((k for k in (1, 2, 3) if head.get("NAXIS", 0) and "FREQ" in str(head.get(f"CTYPE{k}", "")).upper()), None)
+        if k:
+            place = np.arange(head.get(f"NAXIS{k}", head.get("NCHAN", 0))) - (float(head.get(f"CRPIX{k}", 1)) - 1)
+            return head, float(head.get(f"CRVAL{k}", 0)) + place * float(head.get(f"CDELT{k}", 1))
+    raise ValueError("neither SUBINT nor an axis of frequencies")
 
 
 def unpack(raw: np.ndarray, bits: int) -> np.ndarray:
@@ -222,49 +277,56 @@ def unpack(raw: np.ndarray, bits: int) -> np.ndarray:
 
 
 class PsrfitsReader(Ranges):
-    """Samples are numbered from the start that OFFS_SUB tells, so that rows missing in the file are zeros."""
-
-    def plan(self, f) -> tuple[dict, np.ndarray]:
-        lay = psrfits_layout(f)
-        sub, first = lay["sub"], []
-        at, _, _ = lay["columns"]["OFFS_SUB"]
-        for k in range(lay["rows"]):
-            first.append(struct.unpack(">d", f.read_at(8, lay["body"] + k * lay["row"] + at))[0])
-        span = sub["NSBLK"] * sub["TBIN"]
-        return lay, np.rint((np.array(first) - first[0]) / span).astype(np.int64) if first else np.empty(0, np.int64)
-
-    def length(self, path: str) -> int:
-        with open_path(path) as f:
-            lay, slot = self.plan(f)
-        return int((slot.max() + 1) * lay["sub"]["NSBLK"]) if len(slot) else 0
-
-    def block(self, path: str, first: int, last: int) -> np.ndarray:
-        with open_path(path) as f:
-            lay, slot = self.plan(f)
-            sub = lay["sub"]
-            nsblk, npol, nchan, bits = sub["NSBLK"], sub["NPOL"], sub["NCHAN"], sub["NBITS"]
-            out = np.zeros((last - first, npol, nchan), np.float32)
-            for k, s in enumerate(slot):
-                a, b = max(first, s * nsblk), min(last, (s + 1) * nsblk)
-                if a < b:
-                    raw = f.read_at(lay["row"], lay["body"] + k * lay["row"])
-                    data = self.calibrated(raw, lay, nsblk, npol, nchan, bits)
-                    out[a - first : b - first] = data[a - s * nsblk : b - s * nsblk]
+    """Samples are numbered from the start that OFFS_SUB tells, so that rows missing in the file are zeros.
+
+    Rows stand in order of time, as the format has it; so a range finds its first row by halving, and reads no others.
+    Without OFFS_SUB rows follow each other. A row's samples are read as far as a batch goes.
+    """
+
+    def layout(self, f) -> dict:
+        return psrfits_layout(f)
+
+    def slot(self, f, lay: dict, k: int) -> int:
+        """Where row k stands, counted in rows from the first."""
+        if "OFFS_SUB" not in lay["columns"]:
+            return k
+        seconds = [struct.unpack(">d", f.read_at(8, lay["body"] + r * lay["row"] + lay["columns"]["OFFS_SUB"][0]))[0] for r in (0, k)]
+        return round((seconds[1] - seconds[0]) / (lay["sub"]["NSBLK"] * lay["sub"]["TBIN"]))
+
+    def length(self, f, lay: dict) -> int:
+        return (self.slot(f, lay, lay["rows"] - 1) + 1) * lay["sub"]["NSBLK"] if lay["rows"] else 0
+
+    def block(self, f, lay: dict, first: int, last: int) -> np.ndarray:
+        nsblk = lay["sub"]["NSBLK"]
+        out = np.zeros((last - first, lay["sub"]["NPOL"], lay["sub"]["NCHAN"]), np.float32)
+        for k in range(bisect_left(range(lay["rows"]), first // nsblk, key=lambda k: self.slot(f, lay, k)), lay["rows"]):
+            begin = self.slot(f, lay, k) * nsblk
+            if begin >= last:
+                break
+            a, b = max(first, begin), min(last, begin + nsblk)
+            out[a - first : b - first] = self.samples(f, lay, k, a - begin, b - begin)
         return out
 
-    def calibrated(self, raw: bytes, lay: dict, nsblk: int, npol: int, nchan: int, bits: int) -> np.ndarray:
+    def samples(self, f, lay: dict, row: int, a: int, b: int) -> np.ndarray:
+        """Samples a to b of a row, calibrated, as (sample, pol, channel) in order of rising frequency."""
+        sub, start = lay["sub"], lay["body"] + row * lay["row"]
+        npol, nchan = sub["NPOL"], sub["NCHAN"]
+
         def column(name: str, default: np.ndarray) -> np.ndarray:
             if name not in lay["columns"]:
                 return default
             at, form, n = lay["columns"][name]
-            kind = {"E": ">f4", "D": ">f8"}[form]
-            return np.frombuffer(raw, kind, n, at).astype(np.float64)
-
-        at, form, n = lay["columns"]["DATA"]
-        kind = {"B": np.uint8, "I": ">i2", "E": ">f4"}[form]
-        data = np.frombuffer(raw, kind, n, at)
-        data = unpack(data, bits) if form == "B" else data
-        x = data.reshape(nsblk, npol, nchan).astype(np.float64) - float(lay["sub"].get("ZERO_OFF", 0) or 0)
+            kind = np.dtype({"E": ">f4", "D": ">f8"}[form])
+            return np.frombuffer(f.read_at(n * kind.itemsize, start + at), kind).astype(np.float64)
+
+        at, form, _ = lay["columns"]["DATA"]
+        kind = np.dtype({"B": np.uint8, "I": ">i2", "E": ">f4"}[form])
+        bits = sub["NBITS"] if form == "B" else 8 * kind.itemsize
+        low, high = a * npol * nchan * bits, b * npol * nchan * bits
+        data = np.frombuffer(f.read_at(-(-high // 8) - low // 8, start + at + low // 8), kind)
+        data = unpack(data, bits)[low % 8 // bits :][: (b - a) * npol * nchan] if form == "B" else data
+        data = data.reshape(b - a, nchan, npol).swapaxes(1, 2) if lay["swapped"] else data.reshape(b - a, npol, nchan)
+        x = data.astype(np.float64) - float(sub.get("ZERO_OFF", 0) or 0)
         scale = column("DAT_SCL", np.ones(npol * nchan)).reshape(npol, nchan)
         offset = column("DAT_OFFS", np.zeros(npol * nchan)).reshape(npol, nchan)
         x = (x * scale + offset) * column("DAT_WTS", np.ones(nchan))

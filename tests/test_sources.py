@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from burstlake.functions import astro
 from burstlake.operators import dedisperse, metrics, signal
 from burstlake.sources import catalog
-from burstlake.sources.recordings import register, unpack
+from burstlake.sources.recordings import PsrfitsReader, open_path, register, unpack
 from burstlake.streaming import landing
 
 
@@ -33,13 +33,13 @@ def header(*items):
     return text.ljust(-(-len(text) // 2880) * 2880).encode()
 
 
-def write_psrfits(path, data, slots, bits=4):
+def write_psrfits(path, data, slots, bits=4, swapped=False):
     """data: (row, sample, pol, channel) of small whole numbers; slots: where the rows stand in time."""
     rows, nsblk, npol, nchan = data.shape
     freq = np.linspace(1500, 1400, nchan).astype(">f4")
     out = []
     for k in range(rows):
-        flat = data[k].astype(np.uint8).ravel().reshape(-1, 8 // bits)
+        flat = (data[k].swapaxes(1, 2) if swapped else data[k]).astype(np.uint8).ravel().reshape(-1, 8 // bits)
         raw = np.zeros(len(flat), np.uint8)
         for j in range(8 // bits):
             raw |= flat[:, j] << np.uint8(8 - bits * (j + 1))
@@ -48,6 +48,7 @@ def write_psrfits(path, data, slots, bits=4):
     sub = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", len(out[0])), ("NAXIS2", rows), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(forms)), ("EXTNAME", "SUBINT")]
     sub += [("NSBLK", nsblk), ("NPOL", npol), ("NCHAN", nchan), ("NBITS", bits), ("TBIN", 1e-3), ("POL_TYPE", "IQUV"), ("ZERO_OFF", 0)]
     sub += [x for k, (t, f) in enumerate(forms, 1) for x in ((f"TTYPE{k}", t), (f"TFORM{k}", f))]
+    sub += [("TDIM5", f"({npol},{nchan},{nsblk})")] if swapped else []
     body = b"".join(out)
     path.write_bytes(header(("SIMPLE", "T"), ("BITPIX", 8), ("NAXIS", 0), ("STT_IMJD", 58000), ("STT_SMJD", 43200), ("STT_OFFS", 0.0)) + header(*sub) + body.ljust(-(-len(body) // 2880) * 2880, b"\0"))
 
@@ -79,6 +80,91 @@ def test_psrfits_with_gap(spark, tmp_path):
     assert (got == want[:, :, ::-1]).all()
 
 
+def test_psrfits_ranges_far_apart(spark, tmp_path):
+    """Ranges find their rows by halving; batches end inside rows, whose bits end inside bytes."""
+    slots = [0, 1, 4, 5, 6, 9, 20]
+    data = np.random.default_rng(2).integers(0, 4, (len(slots), 6, 1, 2))
+    write_psrfits(tmp_path / "g.fits", data, slots, bits=2)
+    want = np.zeros((21 * 6, 1, 2))
+    for d, s in zip(data, slots):
+        want[s * 6 : s * 6 + 6] = d[:, :, ::-1] * 2.0 + 1
+    reader = PsrfitsReader({"path": str(tmp_path / "g.fits")})
+    with open_path(str(tmp_path / "g.fits")) as f:
+        lay = reader.layout(f)
+        assert reader.length(f, lay) == len(want)
+        for a in range(0, len(want)):
+            for b in (a + 1, a + 5, len(want)):
+                assert (reader.block(f, lay, a, min(b, len(want))) == want[a : min(b, len(want))]).all()
+
+
+def test_psrfits_axes_by_tdim(tmp_path):
+    data = np.random.default_rng(4).integers(0, 200, (2, 5, 4, 8))
+    write_psrfits(tmp_path / "a.fits", data, [0, 1], bits=8)
+    write_psrfits(tmp_path / "b.fits", data, [0, 1], bits=8, swapped=True)
+    for name in ("a.fits", "b.fits"):
+        reader = PsrfitsReader({"path": ""})
+        with open_path(str(tmp_path / name)) as f:
+            lay = reader.layout(f)
+            assert lay["swapped"] == (name == "b.fits")
+            assert (reader.block(f, lay, 0, 10)[:, :, ::-1] == data.reshape(10, 4, 8) * 2.0 + 1).all()
+
+
+def test_filterbank_without_header(spark, tmp_path):
+    data = np.random.default_rng(5).integers(0, 200, (7, 512)).astype(np.uint8)
+    (tmp_path / "raw.fil").write_bytes(b"\xff" * 512 + data.tobytes())
+    (tmp_path / "tiny.fil").write_bytes(b"ab")
+    register(spark)
+    got = block(spark.read.format("filterbank").option("assume_header", True).load(str(tmp_path / "raw.fil")), 1, 512)
+    assert (got[:, 0] == data[:, ::-1]).all()
+    assert all(r.error and r.nchan is None for r in catalog.obs_params(catalog.find_files(spark, str(tmp_path))).collect())
+
+
+def paths(spark, folder, *names):
+    return spark.createDataFrame([(str(folder / n),) for n in names], "path string")
+
+
+def test_file_checks(spark, tmp_path):
+    (tmp_path / "a.fil").write_bytes(b"abc")
+    (tmp_path / "b.fits").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(b"x")
+    (tmp_path / "d.fil").mkdir()
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.errors, r.warnings) for r in catalog.file_checks(paths(spark, tmp_path, "a.fil", "b.fits", "c.txt", "d.fil", "e.fil"), large=2).collect()}
+    assert got["a.fil"] == (3, [], ["large"]) and got["b.fits"] == (0, ["empty"], []) and got["c.txt"] == (1, ["unsupported"], [])
+    assert got["d.fil"] == (None, ["not a file"], []) and got["e.fil"] == (None, ["missing"], [])
+
+
+def test_reading_plan(spark):
+    rows = spark.createDataFrame([("a.fits", 10_000_001, 0.5), ("b.fil", 500, 0.5), ("c.fil", 200_000_000, None), ("d.fil", None, 0.5)], "path string, nsamples long, tsamp double")
+    got = {r.path: r for r in catalog.reading_plan(rows, 1000).collect()}
+    assert (got["a.fits"].chunks, got["a.fits"].seconds, got["a.fits"].notes) == (10_001, 5_000_000.5, ["many samples"])
+    assert (got["b.fil"].chunks, got["b.fil"].notes) == (1, ["short recording"])
+    assert got["c.fil"].notes == ["many samples", "very long recording"] and got["c.fil"].seconds is None and got["d.fil"].chunks is None and got["d.fil"].notes == []
+
+
+def test_outputs_of_recordings(spark, tmp_path):
+    known = spark.createDataFrame([("/d/run_a.fil",), ("/d/run.fits",), ("/d/lost.fil",), ("/d/run_a.fil",)], "path string")
+    found = ["/r/Validation/sub/run_a_dm/m.json", "/r/Validation/run_a.json", "/r/old/run_a/x.json", "/r/old/xrun/y.json", "/r/run_b/Validation/z.json"]
+    files = spark.createDataFrame([(x,) for x in found] + [(None,)], "path string")
+    got = {(r.file, r.output): r.rank for r in catalog.outputs_of(known, files, "/r/Validation", "/r/old").collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "/d/run_a.fil"} == {found[1]: 0, found[0]: 1, found[2]: 2}
+    assert {k[1] for k in got if k[0] == "/d/run.fits"} == set(found[:4]) and ("/d/lost.fil", None) in got and len(got) == 8
+    best = {r.file: r.output for r in catalog.first_output(catalog.outputs_of(known, files, "/r/Validation", "/r/old")).collect()}
+    assert best == {"/d/run_a.fil": found[1], "/d/run.fits": found[1], "/d/lost.fil": None}
+
+
+def test_parameters_of_plain_fits_and_other_start_keys(spark, tmp_path):
+    primary = header(("SIMPLE", "T"), ("BITPIX", 8), ("NAXIS", 0), ("TSTART", 58000.25), ("NSUBOFFS", 10))
+    image = [("XTENSION", "IMAGE"), ("BITPIX", -32), ("NAXIS", 2), ("NAXIS1", 4), ("NAXIS2", 6), ("CTYPE1", "FREQ"), ("CRVAL1", 1400.0), ("CDELT1", -2.0), ("CRPIX1", 1), ("TBIN", 0.5), ("TSUBINT", 864.0)]
+    (tmp_path / "plain.fits").write_bytes(primary + header(*image) + bytes(2880))
+    (tmp_path / "none.fits").write_bytes(primary)
+    (tmp_path / "empty.fits").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[1]: r for r in catalog.obs_params(paths(spark, tmp_path, "plain.fits", "none.fits", "empty.fits")).collect()}
+    one = got["plain.fits"]
+    assert (one.nchan, one.nsamples, one.tsamp, one.freq_low, one.freq_high, one.npol) == (4, 6, 0.5, 1394.0, 1400.0, None)
+    assert one.tstart_mjd == 58000.25 and abs(one.tstart_mjd_corr - 58000.35) < 1e-9
+    assert got["none.fits"].error and got["empty.fits"].error and got["none.fits"].nchan is None
+
+
 def test_unpack():
     assert unpack(np.array([0b10110001], np.uint8), 1).tolist() == [1, 0, 1, 1, 0, 0, 0, 1]
     assert unpack(np.array([0b10110001], np.uint8), 2).tolist() == [2, 3, 0, 1] and unpack(np.array([0xAB], np.uint8), 4).tolist() == [10, 11]
