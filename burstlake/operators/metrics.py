@@ -83,3 +83,41 @@ def last_runs(runs: DataFrame, by: str, order: str, values: list[str], keep: int
     w = Window.partitionBy(by).orderBy(order)
     total = runs.withColumns({f"total_{v}": F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0)) for v in values})
     return total.withColumn("age", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("age") <= keep)
+
+
+#: What a run's report may hold, with the names of older reports beside the newer ones.
+REPORT = """dm_cube struct<dm_max: double, delta_t_max_seconds: double>, actual_processing struct<chunks_processed: bigint>,
+overlap_validation struct<overlap_decimated: bigint, overlap_decimated_samples: bigint, no_edge_losses: boolean>,
+chunks array<struct<chunk_idx: bigint, temporal_info: struct<overlap_left_decimated: bigint, overlap_right_decimated: bigint, valid_start_decimated: bigint, valid_end_decimated: bigint, valid_samples: bigint>,
+overlap_left_decimated: bigint, overlap_right_decimated: bigint, valid_start_decimated: bigint, valid_end_decimated: bigint, valid_samples_decimated: bigint,
+overlap_sufficient: boolean, overlap_vs_delay_ratio: double, overlap_ratio: double, continuity_with_previous: boolean>>"""
+
+
+def overlap_summary(reports: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Of each report, a JSON text: the overlap that was planned, how many chunks were read (0 if untold) and whether no edge was lost (false if untold).
+
+    The columns `keep` stay. A text that is null or no JSON has nulls and these defaults.
+    """
+    r = F.from_json(text, REPORT)
+    v = r["overlap_validation"]
+    return reports.select(
+        *keep, r["dm_cube"]["dm_max"].alias("dm_max"), r["dm_cube"]["delta_t_max_seconds"].alias("delta_t_max_s"), F.coalesce(v["overlap_decimated"], v["overlap_decimated_samples"]).alias("overlap_samples"),
+        F.coalesce(r["actual_processing"]["chunks_processed"], F.lit(0)).alias("num_chunks"), F.coalesce(v["no_edge_losses"], F.lit(False)).alias("no_edge_losses"),
+    )
+
+
+def chunk_continuity(reports: DataFrame, text: str, *keep: str) -> DataFrame:
+    """A row for each chunk of each report, a JSON text: its index (its place if untold), overlaps, valid part and whether it joins the one before.
+
+    The columns `keep` stay. What is told within `temporal_info` comes before the same beside it; untold overlaps and
+    ratios are 0, untold answers false, an untold valid part null. Reports that are null, no JSON or without chunks have no row.
+    """
+    c, inner = F.col("report_chunk"), F.col("report_chunk.temporal_info")
+    told = lambda name, flat=None: F.coalesce(inner[name], c[flat or name])
+    return reports.select(*keep, F.posexplode(F.from_json(text, REPORT)["chunks"]).alias("report_place", "report_chunk")).select(
+        *keep, F.coalesce(c["chunk_idx"], F.col("report_place")).alias("chunk_index"),
+        F.coalesce(told("overlap_left_decimated"), F.lit(0)).alias("overlap_left"), F.coalesce(told("overlap_right_decimated"), F.lit(0)).alias("overlap_right"),
+        told("valid_start_decimated").alias("valid_start"), told("valid_end_decimated").alias("valid_end"), told("valid_samples", "valid_samples_decimated").alias("valid_samples"),
+        F.coalesce(c["overlap_sufficient"], F.lit(False)).alias("overlap_sufficient"), F.coalesce(c["overlap_vs_delay_ratio"], c["overlap_ratio"], F.lit(0.0)).alias("overlap_ratio"),
+        F.coalesce(c["continuity_with_previous"], F.lit(False)).alias("continuity_with_previous"),
+    )

@@ -175,3 +175,16 @@ def chunk_alignment(spark, sf_dir):
     named = [F.get_json_object("props", f"$.{k}").try_cast("bigint") for k in ("chunk_samples", "k")]
     n = F.coalesce(*named, F.lit(0).cast("bigint"))
     return table(spark, sf_dir, "events").select("event_id", n.alias("chunk_samples"), (n % 16).alias("rest"), ((n > 0) & (n % 16 == 0)).alias("aligned"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity) AS BIGINT) AS q, CAST(l_tax AS DOUBLE) AS tax FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(0 AS BIGINT) AS chunk_index, q AS overlap_left, CAST(0 AS BIGINT) AS overlap_right, q + 5 AS valid_start, CAST(NULL AS BIGINT) AS valid_end, q * 2 AS valid_samples, tax < 0.04 AS overlap_sufficient, tax AS overlap_ratio, false AS continuity_with_previous FROM l WHERE l_linenumber % 3 >= 1
+UNION ALL SELECT l_orderkey, l_linenumber, CAST(l_linenumber AS BIGINT), q + 1, q + 2, NULL, q + 9, q * 3, false, tax + 1, q % 2 = 0 FROM l WHERE l_linenumber % 3 = 2""")
+def report_chunk_continuity(spark, sf_dir):
+    """Reports of none to two chunks, made of each line item: the first as newer runs name its figures, the second as older ones."""
+    q, tax = F.floor("l_quantity").cast("bigint"), F.col("l_tax").cast("double")
+    newer = F.to_json(F.struct(F.struct(q.alias("overlap_left_decimated"), (q + 5).alias("valid_start_decimated"), (q * 2).alias("valid_samples")).alias("temporal_info"), (tax < 0.04).alias("overlap_sufficient"), tax.alias("overlap_vs_delay_ratio")))
+    older = F.to_json(F.struct(F.col("l_linenumber").alias("chunk_idx"), (q + 1).alias("overlap_left_decimated"), (q + 2).alias("overlap_right_decimated"), (q + 9).alias("valid_end_decimated"), (q * 3).alias("valid_samples_decimated"), (tax + 1).alias("overlap_ratio"), (q % 2 == 0).alias("continuity_with_previous")))
+    each = F.when(F.col("l_linenumber") % 3 == 2, F.concat_ws(",", newer, older)).when(F.col("l_linenumber") % 3 == 1, newer).otherwise("")
+    reports = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit('{"chunks": ['), each, F.lit("]}")).alias("report"))
+    return metrics.chunk_continuity(reports, "report", "l_orderkey", "l_linenumber")

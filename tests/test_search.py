@@ -122,3 +122,16 @@ def test_detector(spark):
     df = spark.createDataFrame([("a", [0.0, 0.9, 0.0, 0.0]), ("b", [0.2] * 4), ("c", None), ("d", [1.0])], "image string, pixels array<double>")
     got = models.detect(df, Brightest(), (2, 2), 0.3).collect()
     assert [(r.image, r.box_id, r.x1, r.y1) for r in got] == [("a", 0, 1.0, 0.0)]
+
+
+def test_reports_with_either_names(spark):
+    from burstlake.operators import metrics
+
+    texts = [
+        '{"dm_cube": {"dm_max": 100.5, "delta_t_max_seconds": 2.0}, "overlap_validation": {"overlap_decimated_samples": 7, "no_edge_losses": true}, "actual_processing": {"chunks_processed": 3}}',
+        '{"overlap_validation": {"overlap_decimated": 9, "overlap_decimated_samples": 7}, "chunks": []}', "no json", None,
+    ]
+    reports = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, report string")
+    got = {r.k: tuple(r)[1:] for r in metrics.overlap_summary(reports, "report", "k").collect()}
+    assert got == {0: (100.5, 2.0, 7, 3, True), 1: (None, None, 9, 0, False), 2: (None, None, None, 0, False), 3: (None, None, None, 0, False)}
+    assert metrics.chunk_continuity(reports, "report", "k").count() == 0
