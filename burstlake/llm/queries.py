@@ -15,6 +15,7 @@ from burstlake.llm.mixing import mix
 from burstlake.llm.ngram_join import jaccard_components
 from burstlake.llm.shared import cut
 from burstlake.llm.sharding import shuffle_into_shards
+from burstlake.llm.token_files import read_tokens, write_tokens
 from burstlake.llm.url_filter import filter_urls
 
 URL_RULES = [
@@ -124,6 +125,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.col("leaked").alias("contaminated"), F.col("leak_item").alias("item_id"), F.col("leak_coverage").alias("coverage"), F.col("leak_items").alias("n_items"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as token ids in flat files, and what those files hold."""
+    import public_tokenizers  # only this query needs the vocabulary files
+
+    path = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -136,6 +145,7 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_sharding": op9_sharding,
         "op10_decontamination": op10_decontamination,
+        "op11_token_files": op11_token_files,
     }
 
 

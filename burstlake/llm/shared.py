@@ -44,10 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(keep_until_exit(spark, path))
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> str:
+    """The path, which is removed when the session's JVM ends, or by tidy()."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def tidy(spark: SparkSession) -> int:
