@@ -17,6 +17,7 @@ from burstlake.llm.shared import cut
 from burstlake.llm.sharding import shuffle_into_shards
 from burstlake.llm.token_files import read_tokens, write_tokens
 from burstlake.llm.url_filter import filter_urls
+from burstlake.llm.vector_codes import compress, with_label_error
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -133,6 +134,41 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every valid vector as a code of four parts, with its error, its label's error and a digest of the codebooks."""
+    coded, books = compress(table(spark, sf_dir, "embeddings"))
+    return with_label_error(cut(coded)).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op12_sql(rounds: int = 4) -> str:
+    near = """SELECT vec_id, label, part, p, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM
+(SELECT u.*, c.entry, list_sum(list_transform(list_zip(p, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM u JOIN c{k} c ON u.part = c.part) GROUP BY ALL"""
+    step = """a{k} AS (""" + near + """),
+m{k} AS (SELECT part, entry, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, entry, unnest(p) AS x, generate_subscripts(p, 1) AS pos FROM a{k}) GROUP BY ALL),
+w{k} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS e FROM m{k} GROUP BY ALL),
+c{next} AS (SELECT c.part, c.entry, coalesce(w.e, c.e) AS e FROM c{k} c LEFT JOIN w{k} w ON c.part = w.part AND c.entry = w.entry)"""
+    return (
+        """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+u AS (SELECT vec_id, label, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS p FROM v, range(4) r(part)),
+k AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 256),
+c0 AS (SELECT part, entry, p AS e FROM u JOIN k ON u.vec_id = k.vec_id),
+"""
+        + ",\n".join(step.format(k=k, next=k + 1) for k in range(rounds))
+        + ",\nf AS ("
+        + near.format(k=rounds)
+        + """),
+o AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM f GROUP BY ALL),
+"""
+        + f"h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS h FROM c{rounds})"
+        + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM o, h"""
+    )
+
+
+OP12_SQL = _op12_sql()
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -146,8 +182,9 @@ def queries() -> dict:
         "op9_sharding": op9_sharding,
         "op10_decontamination": op10_decontamination,
         "op11_token_files": op11_token_files,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_url_filters": OP4_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op12_vector_codes": OP12_SQL}
