@@ -15,6 +15,7 @@ from burstlake.llm.mixing import mix
 from burstlake.llm.ngram_join import jaccard_components
 from burstlake.llm.shared import cut
 from burstlake.llm.sharding import shuffle_into_shards
+from burstlake.llm.prefix_trie import prefix_trie, turn_lists
 from burstlake.llm.token_files import read_tokens, write_tokens
 from burstlake.llm.url_filter import filter_urls
 from burstlake.llm.vector_codes import compress, with_label_error
@@ -169,6 +170,37 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 OP12_SQL = _op12_sql()
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that begin with turns of another one, as their ids say."""
+    own = cut(turn_lists(table(spark, sf_dir, "conversations")))
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    heads = own.where(F.col("conv_id") % 20 == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    none = F.slice("turns", 1, 0)
+    rebuilt = F.concat(F.slice(F.coalesce("head", none), F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    return prefix_trie(own.join(heads, base == F.col("base"), "left").select("conv_id", rebuilt.alias("turns")))
+
+
+OP13_SQL = """
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, CAST(c AS VARCHAR) AS s, count(*) AS n FROM o GROUP BY c),
+c AS (SELECT c, c - c % 20 AS b, n, xor(list_reduce(list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::BIGINT), lambda crc, x:
+      list_reduce(range(8), lambda y, j: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(crc, x)), 4294967295), 4294967295) % 4 AS h FROM i),
+r AS (SELECT c.c, o.k AS p, role, text FROM c JOIN o ON o.c = c.b AND o.k <= c.h
+      UNION ALL SELECT c.c, least(c.h, coalesce(f.n, 0)) + o.k - c.h, role, text FROM c JOIN o ON o.c = c.c AND o.k > c.h LEFT JOIN c f ON f.c = c.b),
+q AS (SELECT c, p, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY p) AS s FROM r),
+x AS (SELECT c, p, w, min(c) OVER (PARTITION BY p, s) AS m FROM q UNION ALL SELECT c, 0, 0, min(c) OVER () FROM c),
+n AS (SELECT m, p, count(*) AS n, (count(*) - 1) * max(w) AS saved FROM x GROUP BY m, p),
+u AS (SELECT n.*, x.m AS above FROM n LEFT JOIN x ON x.c = n.m AND x.p = n.p - 1),
+k AS (SELECT above AS m, p - 1 AS p, count(*) AS kids FROM u WHERE p > 0 GROUP BY ALL),
+t AS (SELECT x.m, x.p, sum(n.saved) AS saved, count(*) FILTER (k.kids IS NULL) AS leaves FROM n JOIN x ON x.c = n.m AND x.p <= n.p LEFT JOIN k ON k.m = n.m AND k.p = n.p GROUP BY ALL),
+l AS (SELECT c, max(p) AS p FROM x GROUP BY c),
+e AS (SELECT x.m, x.p, sha256(string_agg(CAST(x.c AS VARCHAR), ',' ORDER BY x.c)) AS h FROM l JOIN x ON x.c = l.c AND x.p = l.p GROUP BY ALL)
+SELECT u.m AS conv_id, u.p AS depth, u.above AS parent_conv_id, u.n AS n_convs, coalesce(k.kids, 0) AS n_children, t.leaves AS n_leaves, CAST(t.saved AS BIGINT) AS saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+FROM u JOIN t ON t.m = u.m AND t.p = u.p LEFT JOIN k ON k.m = u.m AND k.p = u.p LEFT JOIN e ON e.m = u.m AND e.p = u.p
+"""
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -183,8 +215,9 @@ def queries() -> dict:
         "op10_decontamination": op10_decontamination,
         "op11_token_files": op11_token_files,
         "op12_vector_codes": op12_vector_codes,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op12_vector_codes": OP12_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op4_url_filters": OP4_SQL, "op12_vector_codes": OP12_SQL, "op13_prefix_trie": OP13_SQL}
