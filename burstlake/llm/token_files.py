@@ -55,16 +55,19 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         shape = json.loads(self.library.to_str())
-        self.dtype = id_type(self.library.get_vocab_size(with_added_tokens=True), end_id)
+        self.dtype = id_type(top_id(self.library), end_id)
+        self.one = [np.array(k, self.dtype).tobytes() for k in range(1 + max(top_id(self.library), end_id or 0))]
         self.end = b"" if end_id is None else self.pack([end_id])
         self.by_pieces = (shape["normalizer"], shape["pre_tokenizer"]) == (LOWER_NORMALIZER, LOWER_SPLIT)
         self.bare = Tokenizer(self.library.model)
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii = Tokenizer(self.library.model)  # printable ASCII stands for its own bytes
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.pieces: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return b"".join(map(self.one.__getitem__, ids))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -82,12 +85,12 @@ class Encoder:
         return b"".join(parts)
 
     def plain(self, pieces: list[str]) -> bytes:
-        return self.known(pieces, self.pieces, PIECES, self.bare)
+        return self.known(pieces, self.pieces, PIECES, self.ascii, self.bare)
 
     def whole(self, words: list[str]) -> bytes:
-        return self.known(words, self.odd, ODD_WORDS, self.library)
+        return self.known(words, self.odd, ODD_WORDS, self.library, self.library)
 
-    def known(self, keys: list[str], table: dict[str, bytes], most: int, by: Tokenizer) -> bytes:
+    def known(self, keys: list[str], table: dict[str, bytes], most: int, by_ascii: Tokenizer, by_other: Tokenizer) -> bytes:
         try:
             return b"".join(map(table.__getitem__, keys))
         except KeyError:
@@ -96,13 +99,18 @@ class Encoder:
         if len(table) + len(new) > most:
             table.clear()
             new = list(dict.fromkeys(keys))
-        table.update(zip(new, (self.pack(e.ids) for e in by.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        for by, some in ((by_ascii, [k for k in new if k.isascii()]), (by_other, [k for k in new if not k.isascii()])):
+            table.update(zip(some, (self.pack(e.ids) for e in by.encode_batch_fast(some, add_special_tokens=False)), strict=True))
         return b"".join(map(table.__getitem__, keys))
 
 
-def id_type(vocabulary: int, end_id: int | None) -> str:
+def top_id(library: Tokenizer) -> int:
+    return max(library.get_vocab(with_added_tokens=True).values(), default=0)
+
+
+def id_type(top: int, end_id: int | None) -> str:
     """The narrowest unsigned type that holds each id."""
-    return "<u2" if max(vocabulary, (end_id or 0) + 1) <= 1 << 16 else "<u4"
+    return "<u2" if max(top, end_id or 0) < 1 << 16 else "<u4"
 
 
 def slices(text: str) -> Iterator[str]:
@@ -343,7 +351,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int | None = None, pa
     spark = docs.sparkSession
     spark.dataSource.register(TokenSource)
     path = path or keep_until_exit(spark, f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}")
-    dtype = id_type(Tokenizer.from_file(vocabulary).get_vocab_size(with_added_tokens=True), end_id)
+    dtype = id_type(top_id(Tokenizer.from_file(vocabulary)), end_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     ordered = rows.sort("doc_id", F.xxhash64("text"), "row").drop("row")
     encode(ordered, vocabulary, end_id).write.format("token_files").option("dtype", dtype).mode("append").save(path)
