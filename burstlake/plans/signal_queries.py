@@ -11,6 +11,7 @@ from burstlake.plans.registry import CANDIDATES, DT, FREQ0, STEP, WATERFALL, can
 
 NCHAN = 64
 TOP = FREQ0 + STEP * (NCHAN - 1)
+TRIALS, FREQS = [10.0 * k for k in range(21)], [FREQ0 + STEP * c for c in range(NCHAN)]
 
 SERIES = ", s AS (SELECT t, sum(q)::BIGINT AS s, count(*) AS n FROM w GROUP BY t)"
 PEAKS = SERIES + """, p0 AS (SELECT t, t // 512 AS slice_id, s::DOUBLE AS snr, lag(s) OVER (PARTITION BY t // 512 ORDER BY t) AS b, lead(s) OVER (PARTITION BY t // 512 ORDER BY t) AS a FROM s),
@@ -34,8 +35,7 @@ def series(spark, sf_dir) -> DataFrame:
 
 
 def cube(spark, sf_dir) -> DataFrame:
-    grid, chans = dedisperse.dm_grid(spark, 0, 200, 21), dedisperse.channels(spark, NCHAN, FREQ0, STEP)
-    return dedisperse.cube(waterfall(spark, sf_dir), dedisperse.delays(grid, chans, DT, TOP), mid=NCHAN // 2)
+    return dedisperse.cube(spectra(spark, sf_dir), TRIALS, FREQS, DT, TOP, mid=NCHAN // 2)
 
 
 @query(WATERFALL + " SELECT t // 4 AS t_bin, c // 8 AS c_bin, sum(q)::DOUBLE / 8 AS value FROM w GROUP BY ALL HAVING count(*) = 32")
@@ -248,10 +248,9 @@ def box_nms(spark, sf_dir):
 @query()
 def inject_pulse_recover(spark, sf_dir):
     """A dispersed Gaussian pulse added to every recording at its 40th sample, and where the search then finds the peak."""
-    grid, chans = dedisperse.dm_grid(spark, 0, 200, 21), dedisperse.channels(spark, NCHAN, FREQ0, STEP)
-    delay = dedisperse.delays(grid, chans, DT, TOP)
-    w = waterfall(spark, sf_dir).join(F.broadcast(delay.where("dm_idx = 4").select("c", F.col("delay").alias("at"))), "c")
-    x = F.pmod("t", F.lit(500)) - 40 - F.col("at")
-    w = w.withColumn("q", F.col("q") + F.round(F.lit(2e6) * F.exp(-x * x / 4.0)).cast("bigint")).withColumn("block", F.floor(F.col("t") / 500).cast("long"))
-    c = dedisperse.cube(w, delay, keys=("block",))
+    late = F.array(*(F.lit(int(d)) for d in dedisperse.delay_matrix([TRIALS[4]], FREQS, DT, TOP)[0]))
+    x = lambda d: F.pmod("t", F.lit(500)) - 40 - d
+    pulse = F.zip_with("spec", late, lambda q, d: q + F.round(F.lit(2e6) * F.exp(-x(d) * x(d) / 4.0)).cast("bigint"))
+    w = spectra(spark, sf_dir).select("t", pulse.alias("spec"), F.floor(F.col("t") / 500).cast("long").alias("block"))
+    c = dedisperse.cube(w, TRIALS, FREQS, DT, TOP, keys=("block",))
     return c.groupBy("block").agg(F.max_by(F.struct("dm_idx", "t"), "full").alias("b"), F.max("full").alias("peak")).select("block", "b.dm_idx", "b.t", F.round("peak", 2).alias("peak"))

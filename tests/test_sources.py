@@ -195,8 +195,8 @@ def test_search_recovers_a_pulse(spark, tmp_path):
     register(spark)
     s = spark.read.format("filterbank").load(str(tmp_path / "p.fil")).select(F.col("sample_idx").alias("t"), F.posexplode("spec").alias("c", "v")).select("t", "c", F.round("v").cast("bigint").alias("q"))
     z = signal.prewhiten(s).select("t", "c", F.round(F.col("z") * 1000).cast("bigint").alias("q"))
-    delays = dedisperse.delays(dedisperse.dm_grid(spark, 0, 120, 13), dedisperse.channels(spark, chans, 1400.0, 3.125), 1e-3, float(freq.max()))
-    plane = dedisperse.cube(z, delays, width=n - int(late.max()) * 2)
+    rows = z.groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "q"))), lambda x: x["q"]).alias("spec"))
+    plane = dedisperse.cube(rows, np.arange(0, 121, 10), freq, 1e-3, float(freq.max()), width=n - int(late.max()) * 2)
     best = dedisperse.best_dm(plane).orderBy(F.desc("peak")).first()
     assert best.dm_idx == 6 and abs(best.t - at) <= 1
     one = plane.where("dm_idx = 6").select("t", F.col("full").alias("s"))
