@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from burstlake.operators.ranking import beside, percentiles
+
 
 def share(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -29,9 +31,12 @@ def phase_counters(cands: DataFrame, by: str) -> DataFrame:
 
 
 def column_stats(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Mean, median, ends, count and sample deviation (null for a single value)."""
+    """Mean, median, ends, count and sample deviation (null for a single value) of groups of any size."""
     v = F.col(value)
-    return df.groupBy(*by).agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.median(v), 6).alias("median"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"), F.round(F.stddev_samp(v), 6).alias("std"))
+    plain = df.groupBy(*by).agg(F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"), F.round(F.stddev_samp(v), 6).alias("std"))
+    middle = percentiles(df, by, value, median=0.5)
+    both = beside(plain, middle, by) if by else plain.crossJoin(F.broadcast(middle))
+    return both.select(*by, "mean", F.round("median", 6).alias("median"), "min", "max", "n", "std")
 
 
 def confusion(validated: Column, matched: Column, burst: Column) -> dict[str, Column]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstlake.functions.astro import BOXCARS
+from burstlake.operators.ranking import beside, percentiles
 from burstlake.operators.timegrid import with_halo
 
 
@@ -58,6 +59,24 @@ def block_normalize(series: DataFrame, block_len: int, t: str = "t", value: str
     return x.withColumn("z", F.when(odd, 0.0).otherwise(F.col("x") / F.col("sigma"))).drop("rank", "x", "med", "m", "blocks", "mid", "dev")
 
 
+def series_normalize(series: DataFrame, t: str = "t", value: str = "s", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, t, z): the same over a whole series as one block of any length.
+
+    The values left out at either end are those below and above two order statistics; of values equal to them as many are
+    counted as stand between.
+    """
+    m, x = F.col("m"), F.col(value)
+    ends = percentiles(series, keys, value, med=0.5, low=F.floor(m / 40), high=m - 1 - F.floor(m / 40))
+    met = beside(series, ends, keys)
+    off = lambda c: (F.col(c) - F.col("med")) * (F.col(c) - F.col("med"))
+    parts = met.groupBy(*keys, "med", "low", "high").agg(F.count(x).alias("m"), F.count_if(x <= F.col("low")).alias("head"), F.count_if(x < F.col("high")).alias("tail"), F.sum(F.when((x > F.col("low")) & (x < F.col("high")), off(value))).alias("inner"))
+    cut = F.floor(m / 40)
+    kept = F.when(F.col("low") < F.col("high"), F.coalesce("inner", F.lit(0.0)) + (F.col("head") - cut) * off("low") + (m - cut - F.col("tail")) * off("high")).otherwise((m - 2 * cut) * off("low"))
+    sigma = F.sqrt(kept / (F.lit(0.95) * m)) * F.lit(1.148)
+    scale = parts.select(*keys, F.col("med").alias("mid"), F.when(sigma > 0, sigma).otherwise(1.0).alias("scale"))
+    return beside(series, scale, keys).select(*keys, t, ((x - F.col("mid")) / F.col("scale")).alias("z"))
+
+
 def matched_filter(series: DataFrame, chunk: int = 4096, t: str = "t", value: str = "z", widths: tuple[int, ...] = BOXCARS, keys: tuple[str, ...] = ()) -> DataFrame:
     """snr and width of the best boxcar at each sample; the first width wins a tie. snr is rounded to 6 digits.
 
@@ -102,17 +121,21 @@ def global_first(snr: DataFrame, taken: DataFrame, threshold: float, slice_len:
 
 
 def iqr_sigma(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    return df.groupBy(*keys).agg(q.alias("q")).select(*keys, ((F.col("q")[1] - F.col("q")[0]) / F.lit(1.349)).alias("sigma"))
+    """Deviation from the quartiles of each group, of any size: their distance over that of a normal distribution's."""
+    q = percentiles(df, keys, value, low=0.25, high=0.75)
+    return q.select(*keys, ((F.col("high") - F.col("low")) / F.lit(1.349)).alias("sigma"))
 
 
 def off_pulse(series: DataFrame, key: str, position: Column, size: Column, value: str) -> DataFrame:
     """Mean, median and deviation of the first and last quarter of each group, each quarter less its own mean."""
     side = F.when(position < F.floor(size / 4), F.lit(0)).when(position >= size - F.floor(size / 4), F.lit(1))
     off = series.withColumn("side", side).where("side is not null")
-    mean = off.groupBy(key, "side").agg(F.avg(value).alias("mu"))
+    # In two steps, as sums of numbers near 0 hardly depend on the order of rows.
+    rough = off.groupBy(key, "side").agg(F.avg(value).alias("rough"))
+    rest = off.join(rough, [key, "side"]).groupBy(key, "side", "rough").agg(F.avg(F.col(value) - F.col("rough")).alias("rest"))
+    mean = rest.select(key, "side", (F.col("rough") + F.col("rest")).alias("mu"))
     flat = off.join(mean, [key, "side"]).withColumn("d", F.col(value) - F.col("mu"))
-    return flat.groupBy(key).agg(F.avg("d").alias("mean"), F.median("d").alias("median"), F.stddev_pop("d").alias("std"))
+    return flat.groupBy(key).agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("std")).join(percentiles(flat, (key,), "d", median=0.5), key)
 
 
 def patch_normalize(patch: DataFrame, key: str, channel: str, value: str) -> DataFrame:
@@ -120,7 +143,6 @@ def patch_normalize(patch: DataFrame, key: str, channel: str, value: str) -> Dat
     up = patch.withColumn("p", F.col(value) + F.lit(1.0))
     mean = up.groupBy(key, channel).agg(F.avg("p").alias("mu"))
     up = up.join(mean, [key, channel]).withColumn("p", F.col("p") / F.when(F.col("mu") == 0, 1.0).otherwise(F.col("mu")))
-    lim = up.groupBy(key).agg(F.percentile("p", F.array(F.lit(0.05), F.lit(0.95))).alias("q")).select(key, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    up = up.join(lim, key).withColumn("p", F.least("hi", F.greatest("lo", "p")))
+    up = up.join(percentiles(up, (key,), "p", lo=0.05, hi=0.95), key).withColumn("p", F.least("hi", F.greatest("lo", "p")))
     span = F.col("hi") - F.col("lo")
     return up.withColumn("norm", F.when(span > 0, (F.col("p") - F.col("lo")) / span).otherwise(0.0)).drop("p", "mu", "lo", "hi")

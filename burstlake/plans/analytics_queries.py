@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from burstlake.functions import astro, names
 from burstlake.operators import matching, metrics
+from burstlake.operators.ranking import beside, percentiles
 from burstlake.plans.registry import CANDIDATES, candidates, query, table
 
 TOL = 600.0
@@ -373,5 +374,6 @@ def json_field_counts(spark, sf_dir):
 @query("WITH m AS (SELECT user_id, median(value) AS med FROM events GROUP BY user_id) SELECT e.user_id, m.med >= 240 AS high, min(event_id) AS first, arg_min(event_id, (NOT value > 400, event_id)) AS best FROM events e JOIN m ON e.user_id = m.user_id GROUP BY ALL")
 def best_per_slice(spark, sf_dir):
     """The first candidate of a file, the first burst instead if there is one, and whether its median is high."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.median("value").alias("med"), F.min("event_id").alias("first"), F.min_by("event_id", F.struct(~(F.col("value") > 400), "event_id")).alias("best"))
-    return e.select("user_id", (F.col("med") >= 240).alias("high"), "first", "best")
+    rows = table(spark, sf_dir, "events")
+    e = rows.groupBy("user_id").agg(F.min("event_id").alias("first"), F.min_by("event_id", F.struct(~(F.col("value") > 400), "event_id")).alias("best"))
+    return beside(e, percentiles(rows, ("user_id",), "value", med=0.5), ("user_id",)).select("user_id", (F.col("med") >= 240).alias("high"), "first", "best")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from burstlake.functions import astro, names
@@ -40,24 +39,8 @@ def roll_dedisperse(spark, sf_dir):
 @query(WATERFALL + SERIES + """, md AS (SELECT median(s) AS med, count(*) AS m FROM s), x AS (SELECT t, s - med AS x, m, row_number() OVER (ORDER BY s - med, t) - 1 AS r FROM s, md),
 g AS (SELECT sqrt(sum(x * x) FILTER (r >= m // 40 AND r < m - m // 40) / (0.95::DOUBLE * max(m))) * 1.148::DOUBLE AS sg FROM x) SELECT t, round(x / CASE WHEN sg > 0 THEN sg ELSE 1 END, 6) AS z FROM x, g""")
 def whole_series_normalize(spark, sf_dir):
-    """The same normalisation over a series as one block, with exact ranks from two quantiles instead of a sort in one task.
-
-    The values left out at either end are those below and above the order statistics at m // 40, ties counted exactly.
-    """
-    s = series(spark, sf_dir).select("t", "s")
-    head = s.agg(F.median("s").alias("med"), F.count("*").alias("m"))
-    x = s.crossJoin(F.broadcast(head)).withColumn("x", F.col("s") - F.col("med"))
-    by = x.groupBy("x").agg(F.count("*").alias("k"), F.max("m").alias("m"))
-    # Ranks of values: counts below, by coarse bins first, so that no window spans all values.
-    width = x.agg(F.greatest((F.max("x") - F.min("x")) / 256, F.lit(1.0)).alias("w"), F.min("x").alias("lo"))
-    by = by.crossJoin(F.broadcast(width)).withColumn("bin", F.floor((F.col("x") - F.col("lo")) / F.col("w")))
-    bins = by.groupBy("bin").agg(F.sum("k").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = F.coalesce(F.sum("k").over(Window.partitionBy("bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("inner", inner).join(F.broadcast(bins.select("bin", "before")), "bin").withColumn("first", F.col("before") + F.col("inner"))
-    cut = F.floor(F.col("m") / 40)
-    kept = F.greatest(F.lit(0), F.least(F.col("first") + F.col("k"), F.col("m") - cut) - F.greatest("first", cut))
-    sigma = ranked.agg((F.sqrt(F.sum(kept * F.col("x") * F.col("x")) / (F.lit(0.95) * F.max("m"))) * F.lit(1.148)).alias("sg"))
-    return x.crossJoin(F.broadcast(sigma)).select("t", F.round(F.col("x") / F.when(F.col("sg") > 0, F.col("sg")).otherwise(1.0), 6).alias("z"))
+    """The same normalisation over a series as one block, by exact order statistics instead of a sort in one task."""
+    return signal.series_normalize(series(spark, sf_dir)).select("t", F.round("z", 6).alias("z"))
 
 
 @query(WATERFALL + SPACED + " SELECT k.t, s.s AS snr, n AS n_chan, round((k.t - k.slice_id * 512) * (512 * 0.001::DOUBLE / 511), 6) AS t_sec FROM k JOIN s ON k.t = s.t")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlake.functions import astro
 from burstlake.operators import boxes, dedisperse, signal, timegrid
+from burstlake.operators.ranking import numbered
 from burstlake.plans.registry import CANDIDATES, DT, FREQ0, STEP, WATERFALL, candidates, query, spectra, table, waterfall
 
 NCHAN = 64
@@ -124,8 +125,7 @@ g AS (SELECT *, greatest(1, least(CAST(round_even(n / 30.0::DOUBLE, 0) AS BIGINT
 h AS (SELECT *, n // k AS b, n % k AS r FROM g)
 SELECT label, CASE WHEN i < r * (b + 1) THEN i // (b + 1) ELSE r + (i - r * (b + 1)) // b END AS slice_id, min(i) AS first, max(i) AS last, count(*) AS n FROM h GROUP BY ALL""")
 def slice_plan(spark, sf_dir):
-    w = Window.partitionBy("label")
-    f = table(spark, sf_dir, "embeddings").select("label", (F.row_number().over(w.orderBy("vec_id")) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
+    f = numbered(table(spark, sf_dir, "embeddings").select("label", "vec_id"), ("label",), ["vec_id"], place="i", size="n")
     f = f.withColumn("k", timegrid.slice_count(F.col("n"), 30, 8))
     return f.groupBy("label", timegrid.slice_of(F.col("i"), F.col("n"), F.col("k")).alias("slice_id")).agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n"))
 
@@ -192,13 +192,12 @@ def iqr_sigma(spark, sf_dir):
 
 @query(CANDIDATES + """, p AS (SELECT file_id, snr, row_number() OVER (PARTITION BY file_id ORDER BY t_sec, cand_id) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS n FROM cand),
 o AS (SELECT file_id, snr, CASE WHEN i < n // 4 THEN 0 WHEN i >= n - n // 4 THEN 1 END AS side FROM p),
-m AS (SELECT file_id, side, avg(snr) AS mu FROM o WHERE side IS NOT NULL GROUP BY ALL)
-SELECT o.file_id, round(avg(snr - mu), 6) + 0.0 AS mean, round(median(snr - mu), 6) AS median, round(stddev_pop(snr - mu), 6) AS std FROM o JOIN m ON o.file_id = m.file_id AND o.side = m.side GROUP BY ALL""")
+m AS (SELECT file_id, side, favg(snr) AS mu FROM o WHERE side IS NOT NULL GROUP BY ALL)
+SELECT o.file_id, round(avg(snr - mu), 6) + 0.0 AS mean, round(median(snr - mu), 9) AS median, round(stddev_pop(snr - mu), 6) AS std FROM o JOIN m ON o.file_id = m.file_id AND o.side = m.side GROUP BY ALL""")
 def off_pulse_stats(spark, sf_dir):
-    w = Window.partitionBy("file_id")
-    p = candidates(spark, sf_dir).select("file_id", "snr", (F.row_number().over(w.orderBy("t_sec", "cand_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    p = numbered(candidates(spark, sf_dir).select("file_id", "snr", "t_sec", "cand_id"), ("file_id",), ["t_sec", "cand_id"], place="i", size="n")
     out = signal.off_pulse(p, "file_id", F.col("i"), F.col("n"), "snr")
-    return out.select("file_id", (F.round("mean", 6) + F.lit(0.0)).alias("mean"), F.round("median", 6).alias("median"), F.round("std", 6).alias("std"))
+    return out.select("file_id", (F.round("mean", 6) + F.lit(0.0)).alias("mean"), F.round("median", 9).alias("median"), F.round("std", 6).alias("std"))
 
 
 STOKES = ", st AS (SELECT t, c // 4 AS c, max(q) FILTER (c % 4 = 0) AS i, max(q) FILTER (c % 4 = 1)::DOUBLE AS qq, max(q) FILTER (c % 4 = 2)::DOUBLE AS u, max(q) FILTER (c % 4 = 3) AS v FROM w GROUP BY ALL)"
