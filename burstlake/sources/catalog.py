@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -141,27 +140,42 @@ def header_cards(files: DataFrame) -> DataFrame:
     return files.where("kind = 'fits'").select("path").mapInPandas(read, "path string, key string, value string, error string")
 
 
-def read_candidates(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
-    """Candidate lists in text, columns by the names of their header, in whatever order; absent ones are null, others are left out.
+def read_candidates(spark: SparkSession, path: str | list[str], separators: tuple[str, ...] = (",", ";", "\t")) -> DataFrame:
+    """Candidate lists in text, of a path, several or a folder, in one plan whatever their number, each by its own header.
 
-    Both vocabularies of burst flags are read; cells that don't fit their column are null; files that can't be read are
-    skipped. Lists with different headers are read apart and put together, see read_lists().
+    A list's columns are found by the names in its first line that isn't blank, in whatever order and with or without
+    quotes; of the separators the one that this line has most of holds for the list. Absent columns are null, others are
+    left out. Both vocabularies of burst flags are read; cells that don't fit their column are null; files that can't be
+    read are skipped; a list of its header alone gives no row, and neither do lines that repeat the header.
     """
     flags = ("is_burst_intensity", "is_burst_linear", "is_burst")
-    raw = spark.read.option("ignoreCorruptFiles", True).option("sep", separator).csv(path, header=True)
-    there = {c.strip().lower(): c for c in raw.columns}
+    place = F.col("_metadata.file_path")
+    lines = spark.read.option("ignoreCorruptFiles", True).text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), place.alias("list"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).where("trim(line) != ''")
+    # Only the first block of each list is looked through, and only its first line leaves the task.
+    first = lines.where("start = 0").groupBy("list").agg(F.min_by("line", "row").alias("header"))
+    count = F.array(*(F.struct(F.size(F.split("header", f"[{s}]")).alias("n"), F.lit(-k).alias("k")) for k, s in enumerate(separators)))
+    first = first.withColumn("sep", -F.array_max(count)["k"])
+    parts = [F.split("header", f"[{s}]") for s in separators]
+    known = F.coalesce(*(F.when(F.col("sep") == k, x) for k, x in enumerate(parts)))
+    first = first.withColumn("known", F.transform(known, lambda c: F.lower(F.trim(F.translate(c, '"\'', "")))))
+    widest = first.agg(F.max(F.size("known"))).first()[0] or 1
+    cells = [F.from_csv("line", ", ".join(f"c{k} string" for k in range(widest)), {"sep": s}) for s in separators]
+    row = F.coalesce(*(F.when(F.col("sep") == k, F.array(*(x[f"c{j}"] for j in range(widest)))) for k, x in enumerate(cells)))
+    raw = lines.join(first, "list").where("line != header").select("known", row.alias("cells"))
     yes = lambda c: F.lower(F.trim(c)).isin("burst", "true", "1", "yes", "1.000")
     cols = []
     for name, kind in (c.strip().rsplit(" ", 1) for c in CANDIDATE_COLUMNS.split(", ")):
         name = name.strip("`")
-        cell = F.col(f"`{there[name]}`") if name in there else F.lit(None).cast("string")
-        cols.append((F.when(F.trim(cell) != "", yes(cell)) if name in flags else cell.try_cast(kind)).alias(name))
+        cell = F.get("cells", (F.array_position("known", name) - 1).cast("int"))
+        cols.append((F.when(F.trim(cell) != "", yes(cell)) if name in flags else F.trim(cell).alias("cell").try_cast(kind)).alias(name))
     return raw.select(*cols)
 
 
-def read_lists(spark: SparkSession, paths: list[str], separator: str = ",") -> DataFrame:
-    """The union of candidate lists that may have different headers, each read by its own."""
-    return reduce(DataFrame.unionByName, [read_candidates(spark, p, separator) for p in paths])
+def read_lists(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Candidate lists of paths of which some may be absent; those are left out, none is an empty table."""
+    fs_of = lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [p for p in dict.fromkeys(paths) if fs_of(q := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)).exists(q)]
+    return read_candidates(spark, there) if there else spark.createDataFrame([], CANDIDATE_COLUMNS)
 
 
 def as_text(df: DataFrame) -> DataFrame:

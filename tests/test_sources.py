@@ -300,3 +300,25 @@ def test_history_keeps_each_run_once(spark, tmp_path):
     got = spark.read.parquet(path)
     assert sorted((r.run_id, r.file, r.n) for r in got.collect()) == [("r1", "a", 4), ("r1", "b", 0), ("r2", "a", 5), ("r2", "b", 0)]
     assert got.where("run_at is null").count() == 0
+
+
+def test_lists_by_their_own_headers(spark, tmp_path):
+    """A folder of unlike lists: order, separators, quotes, case, blank lines, a byte order mark, an empty list; and many of them."""
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    (folder / "a.csv").write_text("file,detection_prob,slice_id\na,0.5,3\n\na2,,x\n")
+    (folder / "b.csv").write_text("slice_id,file,detection_prob\n4,b,0.25\n")
+    (folder / "c.csv").write_text("\n﻿File;\"IS_BURST\";note;mjd_utc\nc;burst;\"a;b\";58000.5\n")
+    (folder / "d.csv").write_text("is_burst\tfile\nno_burst\td\nis_burst\tfile\n")
+    (folder / "e.csv").write_text("file,slice_id\n")
+    (folder / "f.csv").write_text("")
+    got = {r.file: r for r in catalog.read_candidates(spark, str(folder)).collect()}
+    assert got.keys() == {"a", "a2", "b", "c", "d"}
+    assert (got["a"].detection_prob, got["a"].slice_id) == (0.5, 3) and (got["a2"].detection_prob, got["a2"].slice_id) == (None, None)
+    assert (got["b"].detection_prob, got["b"].slice_id) == (0.25, 4)
+    assert (got["c"].is_burst, got["c"].mjd_utc, got["c"].slice_id) == (True, 58000.5, None) and got["d"].is_burst is False
+    for k in range(300):
+        (folder / f"n{k}.csv").write_text(f"file,slice_id\nn{k},{k}\n" if k % 2 else f"slice_id,file\n{k},n{k}\n")
+    many = catalog.read_lists(spark, [str(folder / f"n{k}.csv") for k in range(300)] + [str(folder / "absent.csv")])
+    assert {r.file: r.slice_id for r in many.select("file", "slice_id").collect()} == {f"n{k}": k for k in range(300)}
+    assert catalog.read_lists(spark, [str(folder / "absent.csv")]).count() == 0
