@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from burstlake.functions import astro
 from burstlake.operators import signal
+from burstlake.sources.catalog import CANDIDATE_COLUMNS
+from burstlake.staging import cut
 
 # The names of the two composed polarisations; any other name means the first one.
 LINEAR, CIRCULAR = ("linear", "l", "lineal"), ("circular", "v", "c")
@@ -74,7 +76,7 @@ def search(spectra: DataFrame, delay: DataFrame, dt: float, start: Column, thres
     def filtered(value: str) -> DataFrame:
         return signal.matched_filter(signal.block_normalize(s, block, value=value, keys=keys), keys=keys)
 
-    strong = filtered("total").select("file", "t", "snr", "width")
+    strong = cut(filtered("total").select("file", "t", "snr", "width"))  # read by the peaks, their highest and the values at them
     taken = signal.spaced(signal.local_peaks(strong, threshold, slice_len, keys=keys), distance, keys=keys)
     first = signal.global_first(strong, taken, threshold, slice_len, keys=keys).select("file", "slice_id", "t")
     peaks = first.join(strong, ["file", "t"])
@@ -92,6 +94,53 @@ def search(spectra: DataFrame, delay: DataFrame, dt: float, start: Column, thres
     )
 
 
+def patch_snr(peaks: DataFrame, spectra: DataFrame, delay: DataFrame, keys: tuple[str, ...], length: int, t: str = "t", spec: str = "i") -> DataFrame:
+    """(keys, t, snr): the highest filtered value of each peak's window of `length` samples, dedispersed at its own trial and normalised by itself.
+
+    peaks: (keys, t, dm_idx). A place counts if every channel has a sample for it. A peak asks for its own samples only;
+    its window is one group of `length` rows at most.
+    """
+    asked = delay.groupBy("dm_idx", "delay").agg(F.collect_list("c").alias("chans"))
+    chans = delay.agg(F.count_distinct("c").alias("chans_all"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("k")
+    want = peaks.select(*keys, F.col(t).alias("peak"), "dm_idx").join(F.broadcast(asked), "dm_idx").select(*keys, "peak", "delay", "chans", k)
+    want = want.withColumn("at", F.col("peak") - length // 2 + F.col("k")).where("at >= 0").withColumn(t, F.col("at") + F.col("delay"))
+    met = want.join(spectra.select(*keys, t, spec), [*keys, t]).select(*keys, "peak", "at", F.filter(F.transform("chans", lambda c: F.get(spec, c)), lambda v: v.isNotNull()).alias("v"))
+    add = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    series = met.groupBy(*keys, "peak", "at").agg(F.sum(add).alias("s"), F.sum(F.size("v")).alias("n")).crossJoin(F.broadcast(chans)).where("n = chans_all")
+    own = (*keys, "peak")
+    z = signal.block_normalize(series.withColumn("k", F.col("at") - F.col("peak") + length // 2).select(*own, "k", "s"), length, t="k", keys=own)
+    snr = signal.matched_filter(z, chunk=length, t="k", keys=own)
+    return snr.groupBy(*own).agg(F.max("snr").alias("snr")).withColumnRenamed("peak", t)
+
+
+def whole_candidates(found: DataFrame, spectra: DataFrame, delay: DataFrame, dt: float, slice_len: int = 512, chunk: int = 1 << 16, patch: int = 512, grid: int = 512) -> DataFrame:
+    """All columns of the candidate table of what search() found, in their order: chunk, band, box, patch values and names besides.
+
+    A box is as wide as half_width() to either side of the peak within its slice, spans all trials, and stands on an
+    image of `grid` pixels a side. Barycentric dates are null. A peak whose window isn't covered by every channel
+    anywhere has no patch values.
+    """
+    found = cut(found)
+    dms = delay.select("dm_idx", "dm").distinct()
+    peaks = found.join(F.broadcast(dms), F.col("dm") == F.col("`dm_pc_cm-3`")).select("file", F.col("t_sample").alias("t"), "dm_idx")
+    power = F.zip_with("q", "u", lambda a, b: F.round(F.sqrt(a.cast("double") * a + b.cast("double") * b)).cast("bigint"))
+    total = patch_snr(peaks, spectra, delay, ("file",), patch)
+    linear = patch_snr(peaks, spectra.select("file", "t", power.alias("l")), delay, ("file",), patch, spec="l")
+    named = lambda df, name: df.select("file", F.col("t").alias("t_sample"), F.col("snr").alias(name))
+    at, half = F.pmod("t_sample", F.lit(slice_len)), astro.half_width(F.lit(slice_len))
+    pixel = lambda x: F.bround(x * F.lit(float(grid)) / F.lit(float(slice_len))).cast("int")
+    stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), "(?i)[.](fil|fits)$", "")
+    extra = {
+        "chunk_id": F.floor(F.col("t_sample") / chunk).cast("int"), "band_id": F.lit(0), "t_sec_waterfall": F.col("t_sec_dm_time"),
+        "x1": pixel(F.greatest(F.lit(0), at - half)), "y1": F.lit(0), "x2": pixel(F.least(F.lit(slice_len - 1), at + half)), "y2": F.lit(grid - 1),
+        "patch_file": F.concat(stem, F.lit("_slice"), F.col("slice_id"), F.lit("_sample"), F.col("t_sample"), F.lit("_band0")),
+        **{c: F.lit(None).cast("double") for c in ("mjd_bary_utc", "mjd_bary_tdb", "mjd_bary_utc_inf", "mjd_bary_tdb_inf")},
+    }
+    both = found.join(named(total, "snr_patch_dedispersed"), ["file", "t_sample"], "left").join(named(linear, "snr_patch_dedispersed_linear"), ["file", "t_sample"], "left").withColumns(extra)
+    return both.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in ((c.strip().rsplit(" ", 1)[0].strip("`"), c.strip().rsplit(" ", 1)[1]) for c in CANDIDATE_COLUMNS.split(", "))))
+
+
 def phase_counts(candidates: DataFrame, threshold: float) -> DataFrame:
     """For each file: candidates, those also there in the linear series, and those that each stricter phase keeps."""
     seen, i, l_ = F.col("snr_waterfall_linear") >= threshold, F.col("is_burst_intensity"), F.col("is_burst_linear")

@@ -73,6 +73,30 @@ def search_candidates(spark, sf_dir):
     return c.select(*(F.round(f"`{n}`", digits[n]).alias(n) if n in digits else F.col(f"`{n}`") for n in c.columns))
 
 
+def _patch_snr(name: str, value: str) -> str:
+    """The highest filtered value of each candidate's own window in SQL."""
+    over = "OVER (PARTITION BY file, peak ORDER BY k ROWS BETWEEN {} PRECEDING AND {} FOLLOWING)"
+    sums = ", ".join(f"round(sum(z) {over.format(w // 2, w - 1 - w // 2)} / {w**0.5!r}::DOUBLE, 6)" for w in astro.BOXCARS)
+    return f""", a_{name} AS (SELECT f.file, f.t AS peak, st.t - delay - f.t + 32 AS k, sum({value})::BIGINT AS s FROM found f JOIN d ON d.dm_idx = f.dm_idx JOIN st ON st.file = f.file AND st.c = d.c
+AND st.t - delay >= greatest(0, f.t - 32) AND st.t - delay < f.t + 32 GROUP BY ALL HAVING count(*) = {CHANS}),
+b_{name} AS (SELECT file, peak, median(s) AS med, count(*) AS m FROM a_{name} GROUP BY ALL),
+c_{name} AS (SELECT a.file, a.peak, k, s - med AS x, m, row_number() OVER (PARTITION BY a.file, a.peak ORDER BY s - med, k) - 1 AS r FROM a_{name} a JOIN b_{name} b ON a.file = b.file AND a.peak = b.peak),
+e_{name} AS (SELECT file, peak, sqrt(coalesce(sum(x * x) FILTER (r >= m // 40 AND r < m - m // 40), 0) / (0.95::DOUBLE * max(m))) * 1.148::DOUBLE AS sg FROM c_{name} GROUP BY ALL),
+h_{name} AS (SELECT c.file, c.peak, k, x / CASE WHEN sg > 0 THEN sg ELSE 1.0 END AS z FROM c_{name} c JOIN e_{name} e ON c.file = e.file AND c.peak = e.peak),
+s_{name} AS (SELECT file, peak, max(snr) AS snr FROM (SELECT file, peak, greatest({sums}) AS snr FROM h_{name}) GROUP BY ALL)"""
+
+
+@query(FOUND + _patch_snr("pi", "st.i") + _patch_snr("pl", "round(sqrt(st.q * st.q + st.u * st.u))::BIGINT") + """ SELECT f.file, (f.t // 256)::INT AS chunk_id, 0 AS band_id, f.slice_id::INT AS slice_id, f.t AS t_sample, round(f.t * 0.001::DOUBLE, 6) AS t_sec_waterfall,
+CAST(round_even(greatest(0, f.t % 512 - 8) * 512.0::DOUBLE / 512, 0) AS INT) AS x1, 0 AS y1, CAST(round_even(least(511, f.t % 512 + 8) * 512.0::DOUBLE / 512, 0) AS INT) AS x2, 511 AS y2,
+round(a.snr, 5) AS snr_patch_dedispersed, round(b.snr, 5) AS snr_patch_dedispersed_linear, f.file || '_slice' || f.slice_id || '_sample' || f.t || '_band0' AS patch_file
+FROM found f LEFT JOIN s_pi a ON a.file = f.file AND a.peak = f.t LEFT JOIN s_pl b ON b.file = f.file AND b.peak = f.t""")
+def candidate_boxes_and_patches(spark, sf_dir):
+    """What the whole candidate table has besides search_candidates: chunk, band, box, values of the dedispersed patch, its name."""
+    c = search.whole_candidates(found(spark, sf_dir), recordings(spark, sf_dir), trials(spark), DT, chunk=256, patch=64)
+    names = ["file", "chunk_id", "band_id", "slice_id", "t_sample", "x1", "y1", "x2", "y2", "patch_file"]
+    return c.select(*names, F.round("t_sec_waterfall", 6).alias("t_sec_waterfall"), *(F.round(x, 5).alias(x) for x in ("snr_patch_dedispersed", "snr_patch_dedispersed_linear")))
+
+
 @query(FOUND + """ SELECT file, count(*) AS phase_1, count(*) FILTER (snr_l >= 2.0) AS phase_2, count(*) FILTER (pi >= 0.6) AS phase_1_3a, count(*) FILTER (snr_l >= 2.0 AND pi >= 0.6) AS phase_2_3a,
 count(*) FILTER (pi >= 0.6 AND pl >= 0.6) AS phase_1_3a_3b, count(*) FILTER (snr_l >= 2.0 AND pi >= 0.6 AND pl >= 0.6) AS all_phases FROM found GROUP BY file""")
 def search_phases(spark, sf_dir):
