@@ -2,67 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-_temporary: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local session that names none (tests) gets a temporary one; a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _temporary:
-            _temporary[app] = tempfile.mkdtemp(prefix="spark-shared-")
-        named = _temporary[app]
-    return named.rstrip("/")
-
-
-_written: dict[str, list[str]] = {}
-
+from burstlake.staging import cut, keep_until_exit, shared_dir, tidy
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends here and a lost executor costs no recomputation.
-
-    The folder is removed when the session's JVM ends, or by tidy().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(keep_until_exit(spark, path))
-
-
-def keep_until_exit(spark: SparkSession, path: str) -> str:
-    """The path, which is removed when the session's JVM ends, or by tidy()."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def tidy(spark: SparkSession) -> int:
-    """Remove the tables that cut() has written in this session, and tell how many; for long sessions, when results have been written."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-    return len(paths)
+__all__ = ["cut", "keep_until_exit", "shared_dir", "tidy"]
 
+#: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 #: Columns that operators add to a caller's table for a while begin so; no table may have columns that do.
 OWN = "burstlake__"

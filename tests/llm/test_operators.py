@@ -435,6 +435,20 @@ def test_shards(spark, awkward, empty, tmp_path):
     assert spark.read.parquet(path).count() == 500
 
 
+def test_shards_of_a_hot_row_and_reruns(spark):
+    """60,000 copies of a row are spread over buckets of their size; rows that differ in any column have one place in every run."""
+    hot = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a hot row " * 3).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    rest = [(k % 50, "same text", None if k % 2 else "x", "x" if k % 2 else None, k // 4) for k in range(2000)]
+    rest += [(k, t, "en", "s", 0) for k, t in enumerate(texts(500, 3))]
+    docs = spark.createDataFrame(rest, DOCS).union(hot)
+    one = sharding.shuffle_into_shards(docs.repartition(5), 7, bucket_bytes=1 << 16)
+    two = sharding.shuffle_into_shards(docs.repartition(3, "n_chars"), 7, bucket_bytes=1 << 16)
+    sizes = [r[0] for r in one.groupBy("bucket").agg(F.sum("size")).collect()]
+    assert len(sizes) > 20 and max(sizes) < 3 * (1 << 16) and one.count() == 62_500 and one.where("doc_id = 7 and text like 'a hot%'").count() == 60_000
+    assert one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+    assert one.select(*docs.columns).exceptAll(docs).count() == 0
+
+
 def test_fisher_yates_is_uniform():
     seen = {}
     for k in range(6000):
