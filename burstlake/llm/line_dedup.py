@@ -23,6 +23,8 @@ from burstlake.llm.shared import OWN, cut, mark_ids, words
 LINES = 1 << 31
 #: In a line of fewer words, one word is too large a part: drop_lines() takes such lines for the same only if all words are.
 LEAST_WORDS = 6
+#: Variants that a task hands on at a time, or those of one line.
+EMIT = 50_000
 
 
 def digest(tokens: list[bytes]) -> bytes:
@@ -43,9 +45,22 @@ def halves(tokens: list[bytes]) -> list[int]:
     return out
 
 
-def variants(tokens: list[bytes]) -> list[bytes]:
-    """The keys of a line without its word at each place."""
-    return [digest(tokens[:k] + tokens[k + 1 :]) for k in range(len(tokens))]
+#: Keys of a line and its variants are polynomials of word hashes modulo a prime, so that each variant takes constant time.
+MODULUS, BASE = (1 << 127) - 1, 0x5851F42D4C957F2D14057B7EF767814F
+
+
+def variants(tokens: list[bytes]) -> tuple[bytes, list[bytes]]:
+    """The key of a line, and its keys without its word at each place; time and memory grow with the line, not with its square."""
+    h = [xxhash.xxh3_64_intdigest(w) + 1 for w in tokens]
+    before = [0]
+    for x in h:
+        before.append((before[-1] * BASE + x) % MODULUS)
+    out, after, power = [], 0, 1
+    for k in range(len(h) - 1, -1, -1):
+        out.append(((before[k] * power + after) % MODULUS).to_bytes(16, "big"))
+        after = (h[k] * power + after) % MODULUS
+        power = power * BASE % MODULUS
+    return after.to_bytes(16, "big"), out[::-1]
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -107,6 +122,9 @@ def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     near = firsts.withColumn("short", F.xxhash64("own")).join(near, "short").select(F.floor(F.col("at") / LINES).cast("long").alias("doc_id"), F.pmod("at", F.lit(LINES)).cast("long").alias("line"))
     asked = near.groupBy("doc_id").agg(F.collect_set("line").alias("ask"))
 
+    def rows(doc: list, line: list, own: list, key: list, gone: list, full: list) -> pa.RecordBatch:
+        return pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(line, pa.int64()), "own": pa.array(own, pa.binary()), "key": pa.array(key, pa.binary()), "gone": pa.array(gone, pa.int32()), "full": pa.array(full, pa.binary())})
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 100):
@@ -118,15 +136,18 @@ def near_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
                         tokens = words(each[k]) if k < len(each) else []
                         if not tokens:
                             continue
-                        mine, found = digest(tokens), variants(tokens)
+                        mine, (whole_key, found) = digest(tokens), variants(tokens)
                         n = len(found) + 1
                         doc += [d] * n
                         line += [k] * n
                         own += [mine] * n
-                        key += [mine, *found]
+                        key += [whole_key, *found]
                         gone += range(-1, n - 1)
                         full += [b" ".join(tokens), *[None] * (n - 1)]
-                yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "line": pa.array(line, pa.int64()), "own": pa.array(own, pa.binary()), "key": pa.array(key, pa.binary()), "gone": pa.array(gone, pa.int32()), "full": pa.array(full, pa.binary())})
+                        if len(doc) >= EMIT:
+                            yield rows(doc, line, own, key, gone, full)
+                            doc, line, own, key, gone, full = [], [], [], [], [], []
+                yield rows(doc, line, own, key, gone, full)
 
     asked = cut(asked)
     may = mark_ids(base, "doc_id", asked.select("doc_id"), "may").where("may").drop("may")
