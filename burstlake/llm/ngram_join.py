@@ -228,7 +228,7 @@ def links_of(node: list[int], c: list[int], own: list[int], cross: bool, sets: l
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each row of docs.
+    """(doc_id, n_shingles, component_id, class_id) for each row of docs.
 
     Words are what white space separates, A-Z lower-cased. A document's set holds its distinct shingles of `width`
     words; with fewer words, the whole sequence is the one shingle; without words or with a null text the set is empty
@@ -406,7 +406,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     label = classes.join(joined, "node", "left").select("key", F.col("node").alias("class_id"), F.coalesce("component", "node").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(label, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
