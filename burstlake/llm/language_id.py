@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from burstlake.llm.shared import OWN
 
 #: Bounds of what is learnt from: about so many documents for each language, their length, bytes of each dictionary, and languages (the most frequent ones).
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGS = 128, (200, 20_000), 64_000, 256
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, ALL_BYTES = 128, (200, 20_000), 64_000, 16 << 20
 #: A text is compressed in pieces of so many bytes, each against the dictionary alone, so that every part counts alike.
 PIECE = 4096
 
@@ -25,31 +25,40 @@ def compressor(raw: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=table, compression_params=how)
 
 
-def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> dict[str, bytes]:
+def learn_dictionaries(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", all_bytes: int = ALL_BYTES) -> dict[str, bytes]:
     """Raw dictionary content for each language: whole lower-cased documents, in a seeded order of ids.
 
-    The sample is a share of a hash of ids that gives about SAMPLE_DOCS documents for each language with a length in
-    SAMPLE_CHARS, of which DICT_BYTES are kept. A language without a document of that length takes documents of any
-    length up to the upper bound. Of more than MAX_LANGS languages the most frequent ones are learnt. Null and empty
-    texts and null languages aren't learnt from; null ids are, as one id; repeated rows count as they are. An empty
-    table gives no dictionary. Nothing is sorted: languages are counted, and only sampled texts are gathered.
+    The sample is a share of a hash of ids and texts that gives about SAMPLE_DOCS documents for each language with a
+    length in SAMPLE_CHARS, longer ones standing with a piece of that length at a place drawn from the hash; a language without
+    one takes shorter documents. Every language is learnt: dictionaries are of DICT_BYTES and of all_bytes together, so
+    that each of many languages gets a smaller one from fewer documents. Null and empty texts and null languages
+    aren't learnt from; null ids are, as one id; repeated rows count once. An empty table gives no dictionary. Nothing
+    is sorted: languages are counted, and only sampled texts are gathered.
     """
     n, parts = F.length(text), 1 << 30
-    fit = docs.where(F.col(lang).isNotNull() & (n > 0) & (n < SAMPLE_CHARS[1])).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit(5), doc_id).alias("h"))
-    long_ = F.length("t") >= SAMPLE_CHARS[0]
-    counts = fit.groupBy("l").agg(F.count("*").alias("rows"), F.count_if(long_).alias("long")).orderBy(F.desc("rows"), "l").limit(MAX_LANGS).collect()
+    fit = docs.where(F.col(lang).isNotNull() & (n > 0)).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit(5), doc_id, text).alias("h"))
+    n, top = F.length("t"), SAMPLE_CHARS[1]
+    long_ = n >= SAMPLE_CHARS[0]
+    piece = F.when(n > top, F.substring("t", F.pmod(F.col("h"), n - top + 1).cast("int") + 1, F.lit(top))).otherwise(F.col("t"))
+    one = F.min_by(piece, F.struct(~long_, "h", "t")).alias("one")  # for a language that the sample misses
+    counts = fit.groupBy("l").agg(F.count("*").alias("rows"), F.count_if(long_).alias("long"), one).collect()  # a row for each language
     if not counts:
         return {}
-    told = [(r.l, min(parts, 1 + int(SAMPLE_DOCS / (r.long or r.rows) * parts)), r.long > 0) for r in counts]
+    each = min(DICT_BYTES, max(64, all_bytes // len(counts)))
+    sample = max(1, SAMPLE_DOCS * each // DICT_BYTES)
+    told = [(r.l, min(parts, 1 + int(sample / (r.long or r.rows) * parts)), r.long > 0) for r in counts]
     plan = docs.sparkSession.createDataFrame(told, "l string, share long, only_long boolean")
     drawn = fit.join(F.broadcast(plan), "l").where((F.pmod("h", F.lit(parts)) < F.col("share")) & (long_ | ~F.col("only_long")))
+    drawn = drawn.select("l", piece.alias("t"), "h").distinct()
     held: dict[str, bytes] = {}
-    for r in sorted(drawn.select("l", "t", "h").collect(), key=lambda r: (r.l, r.h, r.t)):
+    for r in sorted(drawn.collect(), key=lambda r: (r.l, r.h, r.t)):
         got = held.get(r.l, b"")
-        if len(got) < DICT_BYTES:
+        if len(got) < each:
             held[r.l] = got + b"\n" + r.t.lower().encode("utf-8", "surrogatepass")
+    for r in counts:
+        held.setdefault(r.l, r.one.lower().encode("utf-8", "surrogatepass"))
     # zstandard takes content of 8 bytes at least; what stands last is nearest, and so cheapest to point at.
-    return {k: v[:DICT_BYTES].rjust(8, b"\n") for k, v in held.items()}
+    return {k: v[:each].rjust(8, b"\n") for k, v in held.items()}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", margin: float = 0.005) -> DataFrame:

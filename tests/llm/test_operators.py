@@ -503,3 +503,42 @@ def test_decontaminate_both_ways(spark, awkward, empty):
     assert [(r[0], r[1], r[4]) for r in near[0]] == [(0, 0, True), (0, 0, True), (1, 3, True), (2, 5, False), (3, None, False), (4, None, False), (5, None, False), (6, 1, True)]
     assert decontaminate.decontaminate(awkward, items).count() == 11 and decontaminate.decontaminate(empty, items).count() == 0
     assert decontaminate.decontaminate(docs, items.limit(0)).where("leaked").count() == 0
+
+
+# ---- Long lines and many languages --------------------------------------------------------------------------------------
+
+
+def test_variants_of_a_long_line_are_linear():
+    import time
+
+    tokens = [b"w%d" % (k % 1000) for k in range(400_000)]
+    began = time.process_time()
+    whole, every = line_dedup.variants(tokens)
+    assert time.process_time() - began < 20 and len(every) == 400_000 and len(whole) == 16
+    short = words("a b c b a b c")
+    whole, every = line_dedup.variants(short)
+    for k in range(len(short)):
+        assert every[k] == line_dedup.variants(short[:k] + short[k + 1 :])[0]
+    assert len({whole, *every}) == 8 and line_dedup.variants([b"a"])[1] == [line_dedup.variants([])[0]]
+
+
+def test_near_copy_of_a_long_text_without_line_feeds(spark):
+    long = [f"w{k * 7919 % 1000}" for k in range(60_000)]
+    docs = [(1, " ".join(long)), (2, " ".join([*long[:40_000], "other", *long[40_001:]])), (3, " ".join(long[:-2]))]
+    got = line_dedup.near_lines(spark.createDataFrame(docs, "doc_id long, text string"), least=6).collect()
+    assert [(r.doc_id, r.of_doc) for r in got] == [(2, 1)]
+
+
+def test_no_language_is_lost(spark):
+    """A language of long documents alone, one of a short document, 300 languages, and a hot row."""
+    rng = random.Random(6)
+    word = lambda k: "".join(rng.choice(chr(97 + k % 20) + chr(97 + k // 20) + "xyz") for _ in range(6))
+    rows = [(k, " ".join(word(k) for _ in range(60)), f"l{k:03d}") for k in range(300)]
+    rows += [(1000, "lang " * 9000 + "ende", "long"), (1001, "kurz", "short"), *[(5, "hot row " * 40, "hot")] * 3000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language_id.learn_dictionaries(docs)
+    assert set(known) == {r[2] for r in rows} and len(known["long"]) > 10_000 and len(known["hot"]) < 400
+    small = language_id.learn_dictionaries(docs, all_bytes=64 * 303)
+    assert set(small) == set(known) and max(map(len, small.values())) <= 64
+    got = language_id.identify(docs.where("doc_id < 40"), known).select("lang", "lang_pred").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.8
