@@ -10,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burstlake.sources.recordings import cards, file_kind, filterbank_header, open_path, plain_fits, psrfits_layout, start_mjd
+from burstlake.sources.recordings import cards, file_kind, filterbank_header, image_layout, open_path, plain_fits, psrfits_layout, start_mjd
 
 #: The columns of a candidate table, in order, with their kinds; and the digits of the text form.
 CANDIDATE_COLUMNS = (
@@ -117,7 +117,13 @@ def obs_params(files: DataFrame) -> DataFrame:
 
     def plain(path: str, f) -> tuple:
         head, freq = plain_fits(f)
-        samples = head["NAXIS2"] * head.get("NSBLK", 1) if "NAXIS2" in head else None
+        if head.get("XTENSION", "IMAGE").strip() == "IMAGE":
+            lay = image_layout(f)
+            k = (lay["time"] or 0) + 1
+            pols = {"NPOL": lay["axes"][lay["pol"]]} if lay["pol"] is not None else {}
+            samples, head = lay["nsamples"], {**pols, "NBITS": abs(head["BITPIX"]), "TBIN": head.get("TBIN", head.get(f"CDELT{k}")), **head}
+        else:
+            samples = head["NAXIS2"] * head.get("NSBLK", 1) if "NAXIS2" in head else None
         return (path, head.get("NCHAN", len(freq)), head.get("NPOL"), head.get("NBITS"), samples, head.get("TBIN"), float(freq.min()), float(freq.max()), *start_mjd(cards(f, 0)[0], head), head.get("POL_TYPE"), None)
 
     return files.select("path").mapInPandas(read, PARAMS)

@@ -1,6 +1,6 @@
 """Recordings as tables: filterbank and PSRFITS files through Spark's Python data source interface.
 
-`register(spark)`, then `spark.read.format("filterbank").load(path)`, or "psrfits". Rows are
+`register(spark)`, then `spark.read.format("filterbank").load(path)`, or "psrfits", or "fits" for plain images as well. Rows are
 (file, sample_idx, pol, spec), one for each sample and polarisation, spec in order of rising frequency. Files are read
 in ranges of samples, each a partition, through pyarrow's file systems, so that a path may be in any store it knows. A
 filter on sample_idx is pushed down to the ranges.
@@ -268,6 +268,35 @@ def plain_fits(f) -> tuple[dict, np.ndarray]:
     raise ValueError("neither SUBINT nor an axis of frequencies")
 
 
+#: How a FITS image holds its numbers, by BITPIX.
+IMAGE_KINDS = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
+
+
+def image_layout(f) -> dict:
+    """Where the samples of the first image with an axis of frequencies stand: its numbers, axes (fastest first) and which of them are time, polarisation and frequency.
+
+    Time is the axis named so, else the longest of those that are neither frequency nor polarisation; an image without
+    one has one sample. Other axes must have length 1.
+    """
+    for head, body in hdus(f):
+        axes = [head[f"NAXIS{k + 1}"] for k in range(head.get("NAXIS", 0))]
+        names = [str(head.get(f"CTYPE{k + 1}", "")).upper() for k in range(len(axes))]
+        freq = next((k for k, n in enumerate(names) if "FREQ" in n), None)
+        if freq is None or head.get("XTENSION", "IMAGE").strip() != "IMAGE":
+            continue
+        pol = next((k for k, n in enumerate(names) if "STOKES" in n or "POL" in n), None)
+        rest = [k for k in range(len(axes)) if k not in (freq, pol)]
+        time = next((k for k in rest if "TIME" in names[k]), max(rest, key=lambda k: axes[k], default=None))
+        if any(axes[k] != 1 for k in rest if k != time):
+            raise ValueError(f"an axis besides time, polarisation and frequency: {names}")
+        place = np.arange(axes[freq]) - (float(head.get(f"CRPIX{freq + 1}", 1)) - 1)
+        return {
+            "head": head, "body": body, "axes": axes, "time": time, "pol": pol, "freq": freq, "kind": np.dtype(IMAGE_KINDS[head["BITPIX"]]),
+            "freqs": float(head.get(f"CRVAL{freq + 1}", 0)) + place * float(head.get(f"CDELT{freq + 1}", 1)), "nsamples": axes[time] if time is not None else 1,
+        }
+    raise ValueError("neither SUBINT nor an image with an axis of frequencies")
+
+
 def unpack(raw: np.ndarray, bits: int) -> np.ndarray:
     """Samples of 1, 2 or 4 bits, the first in the highest bits of each byte."""
     if bits == 8:
@@ -333,6 +362,72 @@ class PsrfitsReader(Ranges):
         return x[:, :, np.argsort(column("DAT_FREQ", np.arange(nchan, dtype=float)), kind="stable")]
 
 
+class ImageReader(Ranges):
+    """Samples of plain FITS images of any order of axes, scaled by BSCALE and BZERO, in order of rising frequency; BLANK is NaN.
+
+    A range of samples is read in as many stretches as there are places on the axes slower than time, and nothing else is.
+    """
+
+    def layout(self, f) -> dict:
+        lay = image_layout(f)
+        if f.size() < lay["body"] + math.prod(lay["axes"]) * lay["kind"].itemsize:
+            raise ValueError("the file ends within its image")
+        return lay
+
+    def length(self, f, lay: dict) -> int:
+        return lay["nsamples"]
+
+    def block(self, f, lay: dict, first: int, last: int) -> np.ndarray:
+        axes, kind, head = lay["axes"], lay["kind"], lay["head"]
+        time = lay["time"] if lay["time"] is not None else len(axes)
+        inner, outer, n = math.prod(axes[:time]), math.prod(axes[time + 1 :]), lay["nsamples"]
+        size = inner * (last - first)
+        raw = b"".join(f.read_at(size * kind.itemsize, lay["body"] + (o * n + first) * inner * kind.itemsize) for o in range(outer))
+        data = np.frombuffer(raw, kind)
+        x = data.astype(np.float64) * float(head.get("BSCALE", 1)) + float(head.get("BZERO", 0))
+        if kind.kind != "f" and "BLANK" in head:
+            x[data == head["BLANK"]] = np.nan
+        shape = [*axes[:time], last - first, *axes[time + 1 :]]
+        x = x.reshape(shape[::-1])  # slowest first
+        place = {k: len(shape) - 1 - k for k in range(len(shape))}
+        want = [place[time], *([place[lay["pol"]]] if lay["pol"] is not None else []), place[lay["freq"]]]
+        x = np.transpose(x, [*want, *(k for k in range(len(shape)) if k not in want)]).reshape([x.shape[k] for k in want])
+        x = x if lay["pol"] is not None else x[:, None, :]
+        return x[:, :, np.argsort(lay["freqs"], kind="stable")]
+
+
+class FitsReader(Ranges):
+    """Of a file with a table SUBINT its samples, else those of its image."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.table, self.image = PsrfitsReader(options), ImageReader(options)
+
+    def layout(self, f) -> dict:
+        try:
+            return {"reader": self.table, "lay": psrfits_layout(f)}
+        except ValueError:
+            return {"reader": self.image, "lay": self.image.layout(f)}
+
+    def length(self, f, lay: dict) -> int:
+        return lay["reader"].length(f, lay["lay"])
+
+    def block(self, f, lay: dict, first: int, last: int) -> np.ndarray:
+        return lay["reader"].block(f, lay["lay"], first, last)
+
+
+class Fits(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fits"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return FitsReader(self.options)
+
+
 class Psrfits(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -346,7 +441,7 @@ class Psrfits(DataSource):
 
 
 def register(spark) -> None:
-    """Both formats for a session, with the pushing down of filters to Python sources switched on."""
+    """The formats for a session, with the pushing down of filters to Python sources switched on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (Filterbank, Psrfits):
+    for source in (Filterbank, Psrfits, Fits):
         spark.dataSource.register(source)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from burstlake.sources import recordings
 from burstlake.staging import cut
 
-READERS = {"filterbank": recordings.FilterbankReader, "fits": recordings.PsrfitsReader}
+READERS = {"filterbank": recordings.FilterbankReader, "fits": recordings.FitsReader}
 #: What a file that can't be read may raise.
 UNREADABLE = (OSError, ValueError, KeyError, IndexError, TypeError, ZeroDivisionError)
 RANGES = "file string, first bigint, last bigint, nsamples bigint, error string"
