@@ -45,22 +45,29 @@ def halves(tokens: list[bytes]) -> list[int]:
     return out
 
 
-#: Keys of a line and its variants are polynomials of word hashes modulo a prime, so that each variant takes constant time.
-MODULUS, BASE = (1 << 127) - 1, 0x5851F42D4C957F2D14057B7EF767814F
+#: Keys of sequences of LONG words and more are polynomials of word hashes modulo a prime, so that each variant takes constant
+#: time; those of shorter ones are digests of the words, which is quicker there. A sequence's length alone decides.
+LONG, MODULUS, BASE = 48, (1 << 127) - 1, 0x5851F42D4C957F2D14057B7EF767814F
 
 
 def variants(tokens: list[bytes]) -> tuple[bytes, list[bytes]]:
     """The key of a line, and its keys without its word at each place; time and memory grow with the line, not with its square."""
+    n = len(tokens)
+    if n < LONG:
+        return digest(tokens), [digest(tokens[:k] + tokens[k + 1 :]) for k in range(n)]
     h = [xxhash.xxh3_64_intdigest(w) + 1 for w in tokens]
     before = [0]
     for x in h:
         before.append((before[-1] * BASE + x) % MODULUS)
+    whole = before[-1].to_bytes(16, "big")
+    if n == LONG:
+        return whole, [digest(tokens[:k] + tokens[k + 1 :]) for k in range(n)]
     out, after, power = [], 0, 1
-    for k in range(len(h) - 1, -1, -1):
+    for k in range(n - 1, -1, -1):
         out.append(((before[k] * power + after) % MODULUS).to_bytes(16, "big"))
         after = (h[k] * power + after) % MODULUS
         power = power * BASE % MODULUS
-    return after.to_bytes(16, "big"), out[::-1]
+    return whole, out[::-1]
 
 
 def one_edit(a: list[bytes], b: list[bytes]) -> bool:

@@ -515,11 +515,13 @@ def test_variants_of_a_long_line_are_linear():
     began = time.process_time()
     whole, every = line_dedup.variants(tokens)
     assert time.process_time() - began < 20 and len(every) == 400_000 and len(whole) == 16
-    short = words("a b c b a b c")
-    whole, every = line_dedup.variants(short)
-    for k in range(len(short)):
-        assert every[k] == line_dedup.variants(short[:k] + short[k + 1 :])[0]
-    assert len({whole, *every}) == 8 and line_dedup.variants([b"a"])[1] == [line_dedup.variants([])[0]]
+    for n in (7, 46, 47, 48, 49, 50, 60):
+        some = tokens[:n]
+        whole, every = line_dedup.variants(some)
+        for k in range(n):
+            assert every[k] == line_dedup.variants(some[:k] + some[k + 1 :])[0]
+        assert len({whole, *every}) == n + 1
+    assert line_dedup.variants([b"a"])[1] == [line_dedup.variants([])[0]]
 
 
 def test_near_copy_of_a_long_text_without_line_feeds(spark):
