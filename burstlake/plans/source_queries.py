@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from burstlake.functions.astro import BOXCARS
 from burstlake.operators import signal
+from burstlake.operators.containment import containing
 from burstlake.operators.ranking import numbered
 from burstlake.plans.registry import DT, FREQ0, STEP, query, table
 from burstlake.sources import arrays, catalog, export, scan
@@ -150,6 +151,15 @@ def candidate_sinks(spark, sf_dir):
     return told.join(history, "file")
 
 
+@query("""WITH p AS (SELECT DISTINCT substr(text, 1 + item_id % 7, 12 + item_id % 20) AS pattern FROM benchmark UNION SELECT DISTINCT substr(text, 5, 4) FROM benchmark)
+SELECT doc_id, pattern FROM documents JOIN p ON contains(text, pattern) WHERE pattern <> '' GROUP BY ALL""")
+def passages_contained(spark, sf_dir):
+    """Pieces of benchmark texts, short ones within long ones, that stand in documents."""
+    b = table(spark, sf_dir, "benchmark")
+    long_ = b.select(F.substr("text", (1 + F.col("item_id") % 7).cast("int"), (12 + F.col("item_id") % 20).cast("int")).alias("pattern"))
+    return containing(table(spark, sf_dir, "documents"), long_.union(b.select(F.substring("text", 5, 4))), "doc_id", "text", "pattern")
+
+
 def _stream_sql() -> str:
     over = "OVER (PARTITION BY file ORDER BY t ROWS BETWEEN {} PRECEDING AND {} FOLLOWING)"
     sums = ", ".join(f"round(sum(s) {over.format(w // 2, w - 1 - w // 2)} / {w**0.5!r}::DOUBLE, 6) AS b{w}" for w in BOXCARS)

@@ -10,6 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burstlake.operators.containment import containing
 from burstlake.sources.recordings import cards, file_kind, filterbank_header, image_layout, open_path, plain_fits, psrfits_layout, start_mjd
 
 #: The columns of a candidate table, in order, with their kinds; and the digits of the text form.
@@ -63,8 +64,7 @@ def outputs_of(recordings: DataFrame, results: DataFrame, validation: str, legac
 
     Rank 0 stands right in the validation folder, 1 in directories under it, 2 in the legacy folder; a recording without
     results has one row with nulls. Recordings given twice count once; results elsewhere and null paths are left out.
-    A result is joined by the parts of its path that are as long as some recording's name, of which it has at most as
-    many as letters for each length, so that no result meets each recording.
+    Each distinct name of a result's path is searched once for all recordings' names, so that no result meets each recording.
     """
     base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "(?i)[.](fil|fits)$", "")
     known = recordings.where("path is not null").select(F.col("path").alias("file"), base.alias("stem")).where("stem != ''").distinct()
@@ -72,10 +72,9 @@ def outputs_of(recordings: DataFrame, results: DataFrame, validation: str, legac
     rest = F.when(inside(validation), F.substring("path", len(validation.rstrip("/")) + 2, 1 << 20)).when(inside(legacy), F.substring("path", len(legacy.rstrip("/")) + 2, 1 << 20))
     rank = F.when(~inside(validation), 2).when(rest.contains("/"), 1).otherwise(0)
     there = results.where("path is not null").select(F.col("path").alias("output"), rest.alias("rest"), rank.alias("rank")).where("rest is not null").distinct()
-    lengths = known.agg(F.collect_set(F.length("stem")).alias("lengths"))  # one row; a name has at most 255 letters
-    name = F.explode(F.split("rest", "/")).alias("name")
-    part = "array_distinct(flatten(transform(filter(lengths, n -> n <= length(name)), n -> transform(sequence(1, length(name) - n + 1), k -> substr(name, k, n)))))"
-    parts = there.select("output", "rank", name).join(F.broadcast(lengths)).select("output", "rank", F.explode(F.expr(part)).alias("stem")).distinct()
+    names = there.select("output", "rank", F.explode(F.split("rest", "/")).alias("name"))
+    held = containing(names.select("name").distinct().withColumn("text", F.col("name")), known, "name", "text", "stem")
+    parts = names.join(held, "name").select("output", "rank", "stem").distinct()
     return known.join(parts, "stem", "left").select("file", "output", "rank")
 
 
