@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from burstlake.functions import astro
@@ -114,6 +114,48 @@ def patch_snr(peaks: DataFrame, spectra: DataFrame, delay: DataFrame, keys: tupl
     return snr.groupBy(*own).agg(F.max("snr").alias("snr")).withColumnRenamed("peak", t)
 
 
+def pulse_windows(peaks: DataFrame, spectra: DataFrame, delay: DataFrame, keys: tuple[str, ...], length: int, rate: int = 1, pols: tuple[str, ...] = ("i", "q", "u", "v"), t: str = "t") -> DataFrame:
+    """(keys, t, pol, k, s): of each peak and polarisation the series over its window of `length` bins of `rate` samples, dedispersed at its own trial, less its mean.
+
+    peaks: (keys, t, dm_idx). A sample counts if every channel has a value for it, a bin if all its samples do; s is the
+    sum over channels. The window begins `length` / 2 bins before the peak. A peak asks for its own samples only.
+    """
+    asked = delay.groupBy("dm_idx", "delay").agg(F.collect_list("c").alias("chans"))
+    every = delay.agg(F.count_distinct("c").alias("chans_all"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(length * rate - 1))).alias("at")
+    want = peaks.select(*keys, F.col(t).alias("peak"), "dm_idx").join(F.broadcast(asked), "dm_idx").select(*keys, "peak", "delay", "chans", at)
+    want = want.withColumn(t, F.col("peak") - (length // 2) * rate + F.col("at") + F.col("delay")).where(F.col(t) - F.col("delay") >= 0)
+    values = lambda p: F.filter(F.transform("chans", lambda c: F.get(p, c)), lambda v: v.isNotNull())
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("pol"), values(p).alias("v")) for p in pols))).alias("x")
+    met = want.join(spectra.select(*keys, t, *pols), [*keys, t]).select(*keys, "peak", F.floor(F.col("at") / rate).cast("int").alias("k"), each)
+    total = F.aggregate("x.v", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    series = met.groupBy(*keys, "peak", "x.pol", "k").agg(F.sum(total).alias("s"), F.sum(F.size("x.v")).alias("n")).crossJoin(F.broadcast(every)).where(F.col("n") == F.col("chans_all") * rate)
+    own = Window.partitionBy(*keys, "peak", "pol")  # `length` rows at most
+    return series.withColumn("s", F.col("s") - F.avg("s").over(own)).select(*keys, F.col("peak").alias(t), "pol", "k", "s")
+
+
+def window_stats(windows: DataFrame, keys: tuple[str, ...], length: int, t: str = "t") -> DataFrame:
+    """(keys, t, pol, n, mean, median, std, burst, pos): of pulse_windows(), the noise of the first and last quarter, each less its own mean, and the highest value and its bin."""
+    own = [*keys, t, "pol"]
+    side = F.when(F.col("k") < length // 4, 0).when(F.col("k") >= 3 * length // 4, 1)
+    level = Window.partitionBy(*own, "side")
+    flat = windows.withColumn("side", side).withColumn("d", F.when(F.col("side").isNotNull(), F.col("s") - F.avg("s").over(level)))
+    middle = lambda k: F.median(F.when(F.col("side") == k, F.col("d")))  # noqa: E731  (a window is `length` rows at most)
+    return flat.groupBy(*own).agg(
+        F.count("*").alias("n"), F.avg("d").alias("mean"), ((middle(0) + middle(1)) / 2).alias("median"), F.stddev_pop("d").alias("std"),
+        F.max("s").alias("burst"), F.max_by("k", F.struct("s", -F.col("k"))).alias("pos"),
+    )
+
+
+def normalised_windows(windows: DataFrame, stats: DataFrame, keys: tuple[str, ...], t: str = "t") -> DataFrame:
+    """(keys, t, k, i, linear, v): windows less the noise's mean over its deviation (1 if that isn't positive), and the linear polarisation of such q and u."""
+    own = [*keys, t, "pol"]
+    z = windows.join(stats.select(*own, "mean", "std"), own).withColumn("z", (F.col("s") - F.coalesce("mean", F.lit(0.0))) / F.when(F.col("std") > 0, F.col("std")).otherwise(1.0))
+    of = lambda p: F.max(F.when(F.col("pol") == p, F.col("z")))
+    one = z.groupBy(*keys, t, "k").agg(of("i").alias("i"), of("q").alias("q"), of("u").alias("u"), of("v").alias("v"))
+    return one.select(*keys, t, "k", "i", F.sqrt(F.col("q") * F.col("q") + F.col("u") * F.col("u")).alias("linear"), "v")
+
+
 def whole_candidates(found: DataFrame, spectra: DataFrame, delay: DataFrame, dt: float, slice_len: int = 512, chunk: int = 1 << 16, patch: int = 512, grid: int = 512) -> DataFrame:
     """All columns of the candidate table of what search() found, in their order: chunk, band, box, patch values and names besides.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burstlake.functions import astro
-from burstlake.operators import dedisperse, metrics, search, timegrid
+from burstlake.operators import dedisperse, images, metrics, search, timegrid
 from burstlake.plans.analytics_queries import FLAGS, OUT, flags, outcomes
 from burstlake.plans.registry import CANDIDATES, DT, FREQ0, STEP, WATERFALL, candidates, query, spectra, table, waterfall
 from burstlake.plans.signal_queries import STOKES
@@ -97,6 +97,36 @@ def candidate_boxes_and_patches(spark, sf_dir):
     return c.select(*names, F.round("t_sec_waterfall", 6).alias("t_sec_waterfall"), *(F.round(x, 5).alias(x) for x in ("snr_patch_dedispersed", "snr_patch_dedispersed_linear")))
 
 
+STOKES_WINDOWS = """, pw AS (SELECT f.file, f.t, s4.pol, (st.t - delay - f.t + 32) // 2 AS k, st.t, s4.v FROM found f JOIN d ON d.dm_idx = f.dm_idx
+JOIN (SELECT t % {n} AS t, 'rec' || (t // {n}) AS file, c // 4 AS c, CASE c % 4 WHEN 0 THEN 'i' WHEN 1 THEN 'q' WHEN 2 THEN 'u' ELSE 'v' END AS pol, q::DOUBLE AS v FROM w) s4 ON s4.file = f.file AND s4.c = d.c
+JOIN (SELECT DISTINCT file, t FROM st) st ON st.file = f.file AND st.t = s4.t AND st.t - delay >= greatest(0, f.t - 32) AND st.t - delay < f.t + 32),
+ps AS (SELECT file, t, pol, k, sum(v) AS s FROM pw GROUP BY ALL HAVING count(*) = 2 * {chans}),
+pc AS (SELECT *, s - avg(s) OVER (PARTITION BY file, t, pol) AS x, CASE WHEN k < 8 THEN 0 WHEN k >= 24 THEN 1 END AS side FROM ps),
+pd AS (SELECT *, CASE WHEN side IS NOT NULL THEN x - avg(x) OVER (PARTITION BY file, t, pol, side) END AS dd FROM pc)"""
+
+
+@query(FOUND + STOKES_WINDOWS.format(n=LENGTH, chans=CHANS) + """ SELECT file, t, pol, count(*) AS n, round(avg(dd), 3) + 0.0 AS mean, round((median(dd) FILTER (side = 0) + median(dd) FILTER (side = 1)) / 2, 2) AS median,
+round(stddev_pop(dd), 3) AS std, round(max(x), 3) AS burst, arg_min(k, (-round(x, 6), k))::INT AS pos FROM pd GROUP BY ALL""")
+def pulse_window_stats(spark, sf_dir):
+    """Noise and height of each Stokes value in the dedispersed window of each candidate, in bins of two samples."""
+    c, r = found(spark, sf_dir), recordings(spark, sf_dir)
+    peaks = c.select("file", F.col("t_sample").alias("t"), (F.col("`dm_pc_cm-3`") / 10).cast("int").alias("dm_idx"))
+    s = search.window_stats(search.pulse_windows(peaks, r, trials(spark), ("file",), 32, 2), ("file",), 32)
+    return s.select("file", "t", "pol", "n", (F.round("mean", 3) + F.lit(0.0)).alias("mean"), F.round("median", 2).alias("median"), F.round("std", 3).alias("std"), F.round("burst", 3).alias("burst"), "pos")
+
+
+@query("""WITH c AS (SELECT vec_id, k - 1 AS cell, (k - 1) // 8 AS y, (k - 1) % 8 AS x, CAST(embedding[k] AS DOUBLE) AS v, CAST(embedding[65 - k] AS DOUBLE) AS o FROM embeddings, range(1, 65) r(k) WHERE len(embedding) = 64),
+p AS (SELECT a.vec_id, a.cell, a.x, a.y, a.v, a.o FROM c a JOIN c b ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL HAVING a.v >= max(b.v) AND a.v > 0.2)
+SELECT vec_id AS image, cell::INT AS box_id, 0 AS kind, round((x + o - (1 + abs(v)) / 2) / 8, 6) AS x1, round((y + v - 1.0) / 8, 6) AS y1, round((x + o + (1 + abs(v)) / 2) / 8, 6) AS x2, round((y + v + 1.0) / 8, 6) AS y2, round(v, 6) AS score FROM p""")
+def detector_decode(spark, sf_dir):
+    """Vectors read as a network's map of 8 x 8 cells, its sizes and offsets made of the same values, as boxes."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.size("embedding") == 64)
+    two = F.transform("embedding", lambda v: F.lit(2.0))
+    maps = e.select(F.col("vec_id").alias("image"), F.col("embedding").alias("heat"), F.concat(F.transform("embedding", lambda v: 1 + F.abs(v.cast("double"))), two).alias("sizes"), F.concat(F.reverse("embedding"), "embedding").alias("offsets"))
+    found_ = images.decode(maps, (8, 8), 0.2)
+    return found_.select("image", "box_id", "kind", *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2", "score")))
+
+
 @query(FOUND + """ SELECT file, count(*) AS phase_1, count(*) FILTER (snr_l >= 2.0) AS phase_2, count(*) FILTER (pi >= 0.6) AS phase_1_3a, count(*) FILTER (snr_l >= 2.0 AND pi >= 0.6) AS phase_2_3a,
 count(*) FILTER (pi >= 0.6 AND pl >= 0.6) AS phase_1_3a_3b, count(*) FILTER (snr_l >= 2.0 AND pi >= 0.6 AND pl >= 0.6) AS all_phases FROM found GROUP BY file""")
 def search_phases(spark, sf_dir):
