@@ -6,23 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A recording's name: date, whatever stands between (the time, in most), and the part of the recording; then the time itself.
+RECORDING = r"^(\d{4})[-_](\d\d)[-_](\d\d)[-_]*(.*?)(?:_?(\d{4}))?$"
+CLOCK = r"^(\d\d)(?:[-_](\d\d)[-_](\d\d)|(\d\d)(\d\d)).*$"
+
+
 def normal_name(name: Column) -> Column:
     """YYYY_MM_DD_HH_MM_SS_XXXX of a recording's name in any of its spellings; what has no date gets underscores only.
 
     `.fits` goes, and all from `_t<number>`; the last four digits are the part of the recording; the time may be
     separated or not. A time that can't be read stays as it is, without separators. Null gives an empty name.
     """
-    base = F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r"\.fits", ""), r"^(.+?)_t[\d.]+.*$", "$1"))
-    date = r"^(\d{4})[-_](\d{2})[-_](\d{2})"
-    ymd = F.concat_ws("_", *(F.regexp_extract(base, date, k) for k in (1, 2, 3)))
-    rest = F.regexp_replace(base, date, "")
-    part = F.regexp_extract(rest, r"_?(\d{4})$", 1)
-    time = F.regexp_replace(F.regexp_replace(rest, r"_?\d{4}$", ""), r"^[-_]+", "")
-    hms = r"^(\d{2})[-_]?(\d{2})[-_]?(\d{2})"
-    strict = r"^(?:\d{2}[-_]\d{2}[-_]\d{2}|\d{6})"
-    clock = F.when(time.rlike(strict), F.concat_ws("_", *(F.regexp_extract(time, hms, k) for k in (1, 2, 3)))).otherwise(F.translate(time, "-_", ""))
-    full = F.concat_ws("_", ymd, F.nullif(clock, F.lit("")), F.nullif(part, F.lit("")))
-    return F.when(base.rlike(date), full).otherwise(F.translate(base, "-", "_"))
+    stem = F.lower(F.regexp_replace(F.replace(F.trim(F.coalesce(name, F.lit(""))), F.lit(".fits"), F.lit("")), r"(?<=.)_t[\d.].*$", ""))
+    # One match gives all parts, apart from each other by a character that no name has.
+    parts = F.split(F.regexp_replace(stem, RECORDING, "$1_$2_$3\u0001$4\u0001$5"), "\u0001")
+    middle = F.get(parts, F.lit(1))
+    clock = F.when(middle.rlike(CLOCK), F.regexp_replace(middle, CLOCK, "$1_$2$4_$3$5")).otherwise(F.translate(middle, "-_", ""))
+    told = F.filter(F.array(F.get(parts, F.lit(0)), clock, F.get(parts, F.lit(2))), lambda x: x != "")
+    return F.when(middle.isNotNull(), F.array_join(told, "_")).otherwise(F.translate(stem, "-", "_"))
 
 
 def underscored(name: Column) -> Column:
@@ -50,8 +51,8 @@ def bare_number(text: Column) -> Column:
 
 
 def safe_number(text: Column, default: float) -> Column:
-    """The number in a header field, `*` and `UNSET` aside; else default."""
-    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(text, r"\*", ""), "UNSET", "")).try_cast("double"), F.lit(default))
+    """The number in a header field, whatever stars and the word UNSET stand in or around it; else default."""
+    return F.coalesce(F.trim(F.array_join(F.split(text, r"[*]|UNSET"), "")).try_cast("double"), F.lit(default))
 
 
 def is_special(name: Column) -> Column:

@@ -224,11 +224,13 @@ def raw_names(spark, sf_dir) -> DataFrame:
     return e.select("event_id", raw.alias("raw"))
 
 
-NORMAL = RAW_NAME + r""", b AS (SELECT event_id, raw, lower(regexp_replace(regexp_replace(trim(raw), '\.fits', '', 'g'), '^(.+?)_t[\d.]+.*$', '\1')) AS b FROM s),
-d AS (SELECT *, regexp_matches(b, '^\d{4}[-_]\d{2}[-_]\d{2}') AS dated, regexp_replace(b, '^\d{4}[-_]\d{2}[-_]\d{2}', '') AS rest FROM b),
-p AS (SELECT *, regexp_extract(rest, '_?(\d{4})$', 1) AS part, regexp_replace(regexp_replace(rest, '_?\d{4}$', ''), '^[-_]+', '') AS tm FROM d),
-c AS (SELECT *, CASE WHEN regexp_matches(tm, '^(?:\d{2}[-_]\d{2}[-_]\d{2}|\d{6})') THEN concat_ws('_', regexp_extract(tm, '^(\d{2})[-_]?(\d{2})[-_]?(\d{2})', 1), regexp_extract(tm, '^(\d{2})[-_]?(\d{2})[-_]?(\d{2})', 2), regexp_extract(tm, '^(\d{2})[-_]?(\d{2})[-_]?(\d{2})', 3)) ELSE replace(replace(tm, '-', ''), '_', '') END AS clock FROM p)
-SELECT event_id, CASE WHEN dated THEN concat_ws('_', substr(b, 1, 4), substr(b, 6, 2), substr(b, 9, 2), nullif(clock, ''), nullif(part, '')) ELSE replace(b, '-', '_') END AS name, lower(replace(raw, '-', '_')) AS underscored, lower(replace(replace(raw, '_', '-'), ' ', '')) AS hyphened FROM c"""
+NORMAL = RAW_NAME + r""", b AS (SELECT event_id, raw, regexp_replace(lower(replace(trim(raw), '.fits', '')), '^(.+?)_t[\d.].*$', '\1') AS b FROM s),
+w AS (SELECT *, string_split_regex(b, '[-_]') AS w FROM b),
+d AS (SELECT *, regexp_full_match(w[1], '\d{4}') AND regexp_full_match(w[2], '\d\d') AND regexp_full_match(w[3], '\d\d') AS dated, regexp_full_match(w[len(w)], '\d{4}') AS parted FROM w),
+m AS (SELECT *, w[4:len(w) - parted::INT] AS m FROM d),
+c AS (SELECT *, CASE WHEN len(list_filter(m[1:3], lambda x: regexp_full_match(x, '\d\d'))) = 3 THEN m[1:3] WHEN regexp_matches(m[1], '^\d{6}') THEN [m[1][1:2], m[1][3:4], m[1][5:6]] ELSE [array_to_string(m, '')] END AS clock FROM m)
+SELECT event_id, CASE WHEN dated THEN array_to_string(list_filter(w[1:3] || clock || CASE WHEN parted THEN w[len(w):] ELSE [] END, lambda x: x <> ''), '_') ELSE replace(b, '-', '_') END AS name,
+lower(replace(raw, '-', '_')) AS underscored, lower(replace(replace(raw, '_', '-'), ' ', '')) AS hyphened FROM c"""
 
 
 @query(NORMAL)
