@@ -92,6 +92,14 @@ def matched_filter(series: DataFrame, chunk: int = 4096, t: str = "t", value: st
     return out.where("owned").select(*keys, t, value, best.alias("snr"), width.alias("width"))
 
 
+def without_gaps(series: DataFrame, value: str = "snr", keys: tuple[str, ...] = ()) -> DataFrame:
+    """series with NaN as minus infinity and plus infinity as the highest finite value of its group (0 without one), so that neither is a peak."""
+    v = F.col(value)
+    top = series.groupBy(*keys).agg(F.max(F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)).alias("gap_top"))
+    clean = F.when(F.isnan(v), F.lit(float("-inf"))).when(v == F.lit(float("inf")), F.coalesce("gap_top", F.lit(0.0))).otherwise(v)
+    return beside(series, top, keys).withColumn(value, clean).drop("gap_top")
+
+
 def local_peaks(snr: DataFrame, threshold: float, slice_len: int, t: str = "t", keys: tuple[str, ...] = ()) -> DataFrame:
     """Inner samples of each slice with snr at the threshold or above that are not below either neighbour."""
     s = snr.withColumn("slice_id", F.floor(F.col(t) / slice_len).cast("long"))

@@ -151,6 +151,29 @@ def candidate_sinks(spark, sf_dir):
     return told.join(history, "file")
 
 
+@query("""SELECT user_id, count(*) AS n, max(value) AS top, count(*) AS n_json, count(*) AS n_latest FROM events GROUP BY user_id""")
+def catalogue_files(spark, sf_dir):
+    """A catalogue written as lists and as JSON, and a summary of two runs of which the second is the latest; all read back."""
+    where = folder(spark)
+    c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("top"), F.count("*").alias("n"))
+    catalog.write_catalogue(c, where, ["n", "user_id"])
+    catalog.write_summary(c.limit(0), f"{where}/summary", "run1")
+    catalog.write_summary(c, f"{where}/summary", "run2")
+    listed = spark.read.schema("n bigint, user_id bigint, top double").option("header", True).option("enforceSchema", False).csv(f"{where}/csv")
+    lines = spark.read.schema("user_id bigint, n bigint").json(f"{where}/json").select("user_id", F.col("n").alias("n_json"))
+    latest = spark.read.schema("user_id bigint, n bigint").json(f"{where}/summary/latest").select("user_id", F.col("n").alias("n_latest"))
+    return listed.join(lines, "user_id").join(latest, "user_id").select("user_id", "n", "top", "n_json", "n_latest")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v, event_id % 11 = 0 AND event_id % 7 <> 0 AS up FROM events),
+m AS (SELECT user_id, max(v) FILTER (NOT up) AS top FROM e GROUP BY user_id) SELECT event_id, CASE WHEN v IS NULL THEN NULL WHEN up THEN coalesce(top, 0.0) ELSE v END AS snr FROM e JOIN m USING (user_id)""")
+def snr_without_gaps(spark, sf_dir):
+    """Values that aren't numbers or are infinite, made such that they are no peaks; minus infinity is told as null."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("value")).alias("snr"))
+    clean = signal.without_gaps(e, keys=("user_id",))
+    return clean.select("event_id", F.when(F.col("snr") > F.lit(float("-inf")), F.col("snr")).alias("snr"))
+
+
 @query("""WITH p AS (SELECT DISTINCT substr(text, 1 + item_id % 7, 12 + item_id % 20) AS pattern FROM benchmark UNION SELECT DISTINCT substr(text, 5, 4) FROM benchmark)
 SELECT doc_id, pattern FROM documents JOIN p ON contains(text, pattern) WHERE pattern <> '' GROUP BY ALL""")
 def passages_contained(spark, sf_dir):

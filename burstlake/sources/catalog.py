@@ -10,6 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burstlake.functions.columns import priority_order
 from burstlake.operators.containment import containing
 from burstlake.sources.recordings import cards, file_kind, filterbank_header, image_layout, open_path, plain_fits, psrfits_layout, start_mjd
 
@@ -200,9 +201,18 @@ def write_candidates(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
 
 
-def write_summary(counts: DataFrame, path: str) -> None:
-    """Counters as JSON lines, one for each file and one for all."""
-    counts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+def write_summary(counts: DataFrame, path: str, run: str | None = None) -> None:
+    """Counters as JSON lines, one for each file and one for all; with the name of a run in a folder of that name, and in `latest` as well."""
+    lines = counts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    for where in [path] if run is None else [f"{path}/{run}", f"{path}/latest"]:
+        lines.write.mode("overwrite").text(where)
+
+
+def write_catalogue(files: DataFrame, path: str, first: list[str]) -> None:
+    """The catalogue of files as text lists with a header and as JSON lines, columns of `first` in front, sorted by them."""
+    ordered = priority_order(files, first).sort(*[c for c in first if c in files.columns])
+    ordered.write.mode("overwrite").option("header", True).option("nullValue", "").csv(f"{path}/csv")
+    ordered.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/json")
 
 
 def append_history(counts: DataFrame, path: str, run_id: str) -> None:
