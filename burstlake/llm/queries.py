@@ -34,6 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language by the dictionary that compresses it best; null and letterless texts are `und` with score 0, ties go to the first language by name, rows with one id are each a row."""
     docs = table(spark, sf_dir, "documents")
     out = held_out("doc_id", 4, 2)
     known = learn_dictionaries(docs.where(~out & F.col("doc_id").isNotNull()))
@@ -42,6 +43,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle sets and components of all documents; documents without words have empty sets and link with nothing, repeated rows are each a row and link like others."""
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
@@ -61,6 +63,7 @@ SELECT c.doc_id, c.n AS n_shingles, c.class_id, least(c.class_id, coalesce(m.v,
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of equal labels; vectors that are null, zero or hold null or non-finite components, and those without a label, link with nothing."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -76,6 +79,7 @@ FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM p GROUP BY u) c ON c.u
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; a null url has empty parts and no rule, and without a rule the verdict is allow."""
     judged = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"))
 
@@ -92,6 +96,7 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's highest window score; null and empty texts have a score too, null ids are in no held-out fold, rows with one id are each scored."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out("doc_id", 3, 1)
     net = toxicity.learn(docs.where(~out), one_label(table(spark, sf_dir, "labels"), "toxic"))
@@ -100,11 +105,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without lines that an earlier document or line has; null texts count 0 lines and stay null, rows with one id count as one document."""
     cleaned = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("kept_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality by rules over statistics of its whole text; null and empty texts have the statistics of no words, null ids are in no held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     measured = cut(quality.with_stats(docs).drop("text"))
     out = held_out("doc_id", 3, 1)
@@ -114,15 +121,18 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes; null sources are one source, the last, null texts have size 0 and are never taken."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every row by law `rows`; null ids and texts are rows like others, rows that are equal in all columns are interchangeable."""
     dealt = shuffle_into_shards(table(spark, sf_dir, "documents"), shards=24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "bucket")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document covers half of a benchmark item or more, and which; null texts and items cover nothing, ties go to the item with the smallest id."""
     judged = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", F.col("leaked").alias("contaminated"), F.col("leak_item").alias("item_id"), F.col("leak_coverage").alias("coverage"), F.col("leak_items").alias("n_items"))
 
