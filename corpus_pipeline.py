@@ -16,7 +16,10 @@ from burstlake.session import ship_package
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores under 0.7. It learns from labels of the fold that op5 learns from."""
+    """Documents that the classifier scores under 0.7. It learns from labels of the fold that op5 learns from.
+
+    Null and empty texts are scored like others; rows with one id are judged one by one, null ids as well; columns stay.
+    """
     ship_package(spark)
     labels = one_label(spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
     net = toxicity.learn(docs.where(~held_out("doc_id", 3, 1)), labels)
@@ -24,26 +27,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by shingles of five words with a Jaccard similarity of 0.8 or more."""
+    """One document of each group linked by shingles of five words with a Jaccard similarity of 0.8 or more.
+
+    The one with the smallest id stays. Documents without words link with nothing and stay; of rows that share an id one
+    stays; rows with a null id stay; columns stay.
+    """
     ship_package(spark)
     return keep_one(docs, width=5, num=80, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover less than half of every benchmark item."""
+    """Documents that cover less than half of every benchmark item.
+
+    Null and empty texts cover nothing and stay; rows with one id are judged one by one; columns stay.
+    """
     ship_package(spark)
     judged = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return judged.where(~F.col("leaked")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources by weight; a document stands in it as often as it is taken."""
+    """The mix of sources by weight; a document stands in it as often as it is taken, twice at most.
+
+    Null sources are one source, the last; documents without words are never taken; repeated rows are taken one by one; columns stay.
+    """
     ship_package(spark)
     return take(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in random order over 24 shards, with the columns of documents, shard and slot."""
+    """All rows in random order over 24 shards, with the columns of documents, shard and slot.
+
+    Null ids and texts are rows like others; rows that are equal in all columns are interchangeable, all others get one place in every run.
+    """
     ship_package(spark)
     return shuffle_into_shards(docs, shards=24)
 
