@@ -12,7 +12,7 @@ from burstlake.operators import signal
 from burstlake.operators.containment import containing
 from burstlake.operators.ranking import numbered
 from burstlake.plans.registry import DT, FREQ0, STEP, query, table
-from burstlake.sources import arrays, catalog, export, scan
+from burstlake.sources import arrays, catalog, export, scan, settings
 from burstlake.sources.recordings import register
 from burstlake.staging import cut, keep_until_exit, shared_dir
 from burstlake.streaming import carried, landing
@@ -174,6 +174,22 @@ def snr_without_gaps(spark, sf_dir):
     return clean.select("event_id", F.when(F.col("snr") > F.lit(float("-inf")), F.col("snr")).alias("snr"))
 
 
+@query("""SELECT 'No' || user_id || CASE WHEN event_id % 2 = 0 THEN '0' ELSE '1' END AS heading, 'run-' || event_id || '_' || lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') || '_t' || (event_id % 90) || '.5' AS name,
+lpad(CAST(event_id % 10000 AS VARCHAR), 4, '0') AS part, (event_id % 90) + 0.5::DOUBLE AS time FROM events WHERE event_id % 5 <> 0""")
+def listed_in_settings(spark, sf_dir):
+    """Each user's events as a settings file with two headings, other comments, keys and items without quotes; read as lists."""
+    where = folder(spark)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 2).alias("half"))
+    name = F.concat(F.lit("run-"), "event_id", F.lit("_"), F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0"), F.lit("_t"), F.col("event_id") % 90, F.lit(".5"))
+    item = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("  - "), name)).otherwise(F.concat(F.lit('    - "'), name, F.lit('"  # seen')))
+    halves = e.groupBy("user_id", "half").agg(F.array_join(F.sort_array(F.collect_list(item)), "\n").alias("items"))  # the events of one user
+    part = F.concat(F.lit("list:\n  # No"), "user_id", "half", F.lit("\n  # a note\n"), "items")
+    files = halves.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list(part)), "\n").alias("value"))
+    files.select("value").repartition(3).write.text(where, lineSep="\n---\n")
+    lists = settings.setting_lists(settings.read_texts(spark, where))
+    return lists.select("heading", "name", "part", F.explode("times").alias("time"))
+
+
 @query("""WITH p AS (SELECT DISTINCT substr(text, 1 + item_id % 7, 12 + item_id % 20) AS pattern FROM benchmark UNION SELECT DISTINCT substr(text, 5, 4) FROM benchmark)
 SELECT doc_id, pattern FROM documents JOIN p ON contains(text, pattern) WHERE pattern <> '' GROUP BY ALL""")
 def passages_contained(spark, sf_dir):
