@@ -212,6 +212,16 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0), rules).count() == 0
 
 
+def test_url_filter_query_has_the_rules_of_its_contract(spark, tmp_path):
+    from burstlake.llm import queries
+
+    urls = ["http://a.com/en/1", "http://example.com/en/71", "http://a.net/de/1", "http://www.example.net/de/81", "http://example.net/de/7", "http://a.org/es/", "http://a.org/en/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op4_url_filters(spark, str(tmp_path)).orderBy("page_id").select("rule", "verdict").collect()
+    want = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("net/de/", "allow"), ("org/es/", "block"), (None, "allow")]
+    assert [tuple(r) for r in got] == want
+
+
 # ---- 5 ----------------------------------------------------------------------------------------------------------------
 
 
