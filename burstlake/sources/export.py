@@ -106,7 +106,8 @@ def write_files(spectra: DataFrame, folder: str, kind: str, start: float = 58000
 
     count = spectra.groupBy(F.col(file).alias("export_file")).agg(F.count("*").alias("n"))
     rows = spectra.join(count, F.col(file) == F.col("export_file")).select("export_file", F.col(t).cast("long").alias("t"), "n", F.col(spec).cast("array<double>").alias("spec"))
-    ordered = rows.repartition("export_file").sortWithinPartitions("export_file", "t")
+    # By a hash: Spark drops a repartition by the join's own key, and what is left of it may be split or read locally, so that a file fell to several tasks.
+    ordered = rows.repartition(F.xxhash64("export_file")).sortWithinPartitions("export_file", "t")
     make = FORMATS[kind]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from burstlake.staging import cut
 
 READERS = {"filterbank": recordings.FilterbankReader, "fits": recordings.FitsReader}
 #: What a file that can't be read may raise.
-UNREADABLE = (OSError, ValueError, KeyError, IndexError, TypeError, ZeroDivisionError)
+UNREADABLE = (OSError, ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, struct.error)
 RANGES = "file string, first bigint, last bigint, nsamples bigint, error string"
 
 

@@ -322,3 +322,50 @@ def test_lists_by_their_own_headers(spark, tmp_path):
     many = catalog.read_lists(spark, [str(folder / f"n{k}.csv") for k in range(300)] + [str(folder / "absent.csv")])
     assert {r.file: r.slice_id for r in many.select("file", "slice_id").collect()} == {f"n{k}": k for k in range(300)}
     assert catalog.read_lists(spark, [str(folder / "absent.csv")]).count() == 0
+
+
+@pytest.fixture
+def read_locally(spark):
+    """Settings under which Spark turns joins into broadcasts as it runs and reads their shuffles locally, as it does by itself on larger tables."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "1k", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_each_file_is_written_by_one_task(spark, tmp_path, read_locally):
+    from burstlake.sources import arrays, export
+
+    rows = spark.range(0, 900, 1, 6).selectExpr("concat('f', id % 3) file", "id div 3 t", "transform(sequence(0, 63), x -> id + 1 / (1 + x)) spec")
+    files = export.write_files(rows, str(tmp_path / "a"), "array")
+    assert sorted((r.path[-6:], r.samples) for r in files.collect()) == [(f"f{k}.npy", 300) for k in range(3)]
+    got = arrays.read_arrays(files).selectExpr("int(substr(file, -5, 1)) f", "idx", "values[0] v", "error").collect()
+    assert len(got) == 900 and all(r.error is None and r.v == 3 * r.idx + r.f + 1 for r in got)
+
+
+@pytest.mark.parametrize("name", ["psrfits_gaps"])
+def test_file_queries_with_shuffles_read_locally(spark, sf, read_locally, name):
+    import duckdb
+
+    from burstlake.plans import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    other = con.execute(SQL[name])
+    columns = [d[0] for d in other.description]
+    text = lambda rows: sorted(tuple("~" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+    assert text(QUERIES[name](spark, sf).select(*columns).collect()) == text(other.fetchall())
+
+
+def test_a_table_that_ends_early_is_a_row_with_its_error(spark, tmp_path):
+    from burstlake.sources import export, scan
+
+    rows = spark.range(20).selectExpr("'f' file", "id t", "array(1.0D, 2.0D) spec")
+    path = export.write_files(rows, str(tmp_path / "p"), "psrfits").first().path
+    with open(path, "r+b") as f:
+        f.truncate(2 * 2880 + 100)
+    got = scan.scan(spark.createDataFrame([(path,)], "path string")).collect()
+    assert len(got) == 1 and got[0].error and got[0].pols is None
