@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from burstlake.functions.columns import priority_order
 from burstlake.operators.containment import containing
 from burstlake.sources.recordings import cards, file_kind, filterbank_header, image_layout, open_path, plain_fits, psrfits_layout, start_mjd
+from burstlake.staging import cut
 
 #: The columns of a candidate table, in order, with their kinds; and the digits of the text form.
 CANDIDATE_COLUMNS = (
@@ -196,9 +197,29 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.select(*(cell(n, k).alias(n) for n, k in df.dtypes))
 
 
+#: Folders of a candidate table, whatever the number of its files: a folder for each would be a file or more for each.
+BUCKETS = 64
+
+
 def write_candidates(df: DataFrame, path: str) -> None:
-    """A table with a folder for each file, of which a rerun replaces only those it has rows for."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file").parquet(path)
+    """A table of which a rerun replaces only the files it has rows for, in folders `file_bucket`, each with the rows of many files, sorted by file.
+
+    A rerun writes the folders of its files again, with what they hold of others; so one writer at a time.
+    """
+    spark = df.sparkSession
+    rows = df.withColumn("file_bucket", F.pmod(F.xxhash64("file"), F.lit(BUCKETS)).cast("int"))
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(there) and any(x.isDirectory() for x in store.listStatus(there)):
+        rows = cut(rows)
+        mine = [r[0] for r in rows.select("file_bucket").distinct().collect()]  # BUCKETS rows at most
+        old = spark.read.option("mergeSchema", True).parquet(path).where(F.col("file_bucket").isin(mine))
+        again = rows.select(F.col("file").alias("file_again")).distinct()
+        kept = old.join(again, F.col("file").eqNullSafe(F.col("file_again")), "left_anti")
+        rows = rows.unionByName(cut(kept), allowMissingColumns=True)
+    # Rebalanced: a large folder is written by several tasks, each with rows of few folders.
+    ordered = rows.hint("rebalance", "file_bucket").sortWithinPartitions("file_bucket", "file")
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_bucket").parquet(path)
 
 
 def write_summary(counts: DataFrame, path: str, run: str | None = None) -> None:

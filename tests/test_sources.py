@@ -369,3 +369,14 @@ def test_a_table_that_ends_early_is_a_row_with_its_error(spark, tmp_path):
         f.truncate(2 * 2880 + 100)
     got = scan.scan(spark.createDataFrame([(path,)], "path string")).collect()
     assert len(got) == 1 and got[0].error and got[0].pols is None
+
+
+def test_candidate_table_of_many_files_has_few_folders(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.range(0, 3000, 1, 4).selectExpr("if(id % 500 = 0, null, concat('f', id % 500)) file", "id", "'a' run")
+    catalog.write_candidates(rows, path)
+    catalog.write_candidates(rows.where("file < 'f2' or file is null").selectExpr("file", "id + 10000 id", "'b' run", "1 more"), path)
+    assert len(list((tmp_path / "c").rglob("*.parquet"))) <= 4 * catalog.BUCKETS
+    got = spark.read.parquet(path).drop("file_bucket")
+    want = rows.selectExpr("file", "if(file < 'f2' or file is null, id + 10000, id) id", "if(file < 'f2' or file is null, 'b', 'a') run")
+    assert got.count() == 3000 and got.select("file", "id", "run").exceptAll(want).count() == 0
