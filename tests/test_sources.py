@@ -346,7 +346,7 @@ def test_each_file_is_written_by_one_task(spark, tmp_path, read_locally):
     assert len(got) == 900 and all(r.error is None and r.v == 3 * r.idx + r.f + 1 for r in got)
 
 
-@pytest.mark.parametrize("name", ["psrfits_gaps", "array_files", "filterbank_files", "image_bins", "recording_parameters"])
+@pytest.mark.parametrize("name", ["psrfits_gaps", "array_files", "filterbank_files", "image_bins", "recording_parameters", "recordings_found"])
 def test_file_queries_with_shuffles_read_locally(spark, sf, read_locally, name):
     import duckdb
 
