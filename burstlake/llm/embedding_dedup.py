@@ -1,37 +1,51 @@
-"""Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells, one vector kept of each group."""
+"""Embedding near-duplicates: spherical k-means cells, blocked cosine products within and between cells, one vector kept of each group."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from burstlake.llm.shared import components, cut, forest
+from burstlake.llm.shared import components, cut
 
-#: Centroids of a label or cell are fitted on about so many of its vectors; it is divided into so many cells at most at once;
-#: rows of a cell, a block, and a group that is placed; larger cells are divided again, in so many levels.
-SAMPLE_ROWS, MAX_CELLS, CELL_ROWS, BLOCK_ROWS, PLACE_ROWS, LEVELS = 4096, 256, 1024, 2048, 4096, 4
-#: A label is divided from so many times CELL_ROWS on, a cell from so many: near-boundary rows go along into several
-#: parts, which costs more than a few blocks of a cell that is only a little too large.
-DIVIDE, DIVIDE_AGAIN = 2, 16
+#: Centroids of a label or cell are fitted on about so many of its vectors, and so many a cell at most; it is divided into so
+#: many cells at most at once; rows of a cell, a block, and a group that is placed; larger cells are divided again, in so many levels.
+SAMPLE_ROWS, SAMPLE_OF_CELL, MAX_CELLS, CELL_ROWS, BLOCK_ROWS, PLACE_ROWS, LEVELS = 4096, 128, 256, 2048, 4096, 8192, 4
+#: A label is divided from so many times CELL_ROWS on, a cell from so many: each level moves its vectors twice.
+DIVIDE, DIVIDE_AGAIN = 2, 32
+#: Rows of one product of vectors; links that a task holds before it sums them up.
+TILE_ROWS, HELD_LINKS = 512, 1 << 20
+
+#: Rows that are divided or packed, and packed blocks of them.
+ROWS = "root long, dim int, path long, slot int, key binary, id long, weight long, x binary, trail binary, cents binary"
+BLOCKS = "root long, dim int, path long, slot int, no int, n int, alone boolean, trail binary, cents binary, mid array<double>, wide double, keys binary, ids binary, weights binary, x binary"
+
+
+def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a direction (finite and not zero), and these rows in length 1 and double precision."""
+    x = np.asarray(x, np.float64)
+    most = np.abs(x).max(1)
+    at = np.flatnonzero(np.isfinite(most) & (most > 0))
+    if len(at) < len(x):
+        x, most = x[at], most[at]
+    u = x / most[:, None]
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    return at, u
 
 
 def unit(v) -> np.ndarray | None:
     """The vector of length 1 in double precision; None if it is null, empty, zero or holds nulls or non-finite numbers."""
     if v is None or not len(v):
         return None
-    x = np.asarray(v, np.float64) if not isinstance(v, np.ndarray) or v.dtype != object else np.array([np.nan if e is None else e for e in v], np.float64)
-    if not np.isfinite(x).all():
-        return None
-    n = np.abs(x).max()
-    if n == 0:
-        return None
-    x = x / n
-    return x / np.sqrt((x * x).sum())
+    _, u = units(np.array([[np.nan if e is None else e for e in v]], np.float64))
+    return u[0] if len(u) else None
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -47,40 +61,127 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
     return c
 
 
-def cells_of(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, home cell) for each cell in which a row is compared.
+class Block(NamedTuple):
+    """Vectors of one cell. trail: the cell's number at each level; cents: its centroid at each level."""
 
-    A row's home is the nearest centroid. Two rows are compared in the smaller of their homes, so a row also goes to
-    each smaller cell that can be the home of a row with cosine `least` or more: those whose bisecting plane with
-    the home lies no farther than sin(acos(least)). No link between cells is lost.
+    ids: np.ndarray
+    weight: np.ndarray
+    u: np.ndarray
+    f: np.ndarray
+    trail: np.ndarray
+    cents: np.ndarray
+
+
+def border(a: Block, b: Block, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of two blocks that can link with one of the other block.
+
+    Where their trails part, the rows' cells are the nearest of the same centroids, so two rows with cosine `least` or
+    more lie on either side of the plane between these two centroids, and neither is farther from it than sin(acos(least)).
     """
-    sim = x @ c.T
-    home = sim.argmax(1)
-    reach = np.sqrt(max(0.0, 1 - least * least)) + 1e-9
-    apart = np.sqrt(np.maximum(0, 2 - 2 * np.clip(c @ c.T, -1, 1)))
-    gap = sim[np.arange(len(x)), home][:, None] - sim
-    near = (gap <= apart[home] * reach + 1e-9) & (np.arange(len(c))[None, :] < home[:, None])
-    near[np.arange(len(x)), home] = True
-    row, cell = np.nonzero(near)
-    return row, cell, home[row]
-
-
-def block_links(x: np.ndarray, ids: np.ndarray, guest: np.ndarray, side: np.ndarray, cross: bool, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the rows of one pair of blocks: for each row the weight of rows it links with, and the root of its group.
-
-    guest has a bit for each level at which the row is in a cell that isn't its home: two rows that are both guests of
-    one cell are compared elsewhere.
+    for p, q, c, d in zip(a.trail, b.trail, a.cents, b.cents, strict=False):
+        if p != q:
+            side = c - d
+            reach = np.sqrt(max(0.0, 1 - least * least)) * np.sqrt(side @ side) + 1e-9
+            return np.flatnonzero(a.u @ side <= reach), np.flatnonzero(b.u @ -side <= reach)
+    return np.arange(len(a.ids)), np.arange(len(b.ids))
+
+
+def joined(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that the links u, v lead to."""
+    top = np.arange(n)
+    while True:
+        least = np.minimum(top[u], top[v])
+        if (least == top[u]).all() and (least == top[v]).all():
+            return top
+        np.minimum.at(top, u, least)
+        np.minimum.at(top, v, least)
+        while (top[top] != top).any():
+            top = top[top]
+
+
+def groups(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a matrix of links the first row of its group, -1 without a link; each is visited once."""
+    row, col = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
+    for k in np.flatnonzero(linked.any(1)).tolist():
+        if row[k] >= 0:
+            continue
+        row[k], front = k, np.array([k])
+        while len(front):
+            new = np.flatnonzero(linked[front].any(0) & (col < 0))
+            col[new] = k
+            front = np.flatnonzero(linked[:, new].any(1) & (row < 0))
+            row[front] = k
+    return row, col
+
+
+Links = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def summed(parts: list[Links]) -> Links:
+    """(id, n, root) with one row for each id: its links, and an id of its group."""
+    ids, n, root = map(np.concatenate, zip(*parts, strict=True))
+    node, at = np.unique(np.concatenate([ids, root]), return_inverse=True)
+    u, v = at[: len(ids)], at[len(ids) :]
+    total = np.zeros(len(node), np.int64)
+    np.add.at(total, u, n)
+    return node, total, node[joined(u, v, len(node))]
+
+
+def links(a: Block, b: Block | None, least: float) -> list[Links]:
+    """Links of the rows of two blocks, or among those of one: the linked rows' ids, the weight of what they link with, an id of their group.
+
+    Products in single precision tell which pairs surely link or don't; the few that they leave open are decided in double precision.
     """
-    n = len(x)
-    linked = np.zeros((n, n), bool)
-    for a in range(0, n, 512):
-        linked[a : a + 512] = x[a : a + 512] @ x.T >= least
-    linked &= (guest[:, None] & guest[None, :]) == 0
-    if cross:
-        linked &= side[:, None] != side[None, :]
-    linked &= linked.T
-    linked[np.arange(n), np.arange(n)] = False
-    return (linked @ weight.astype(np.float64)).astype(np.int64), ids[forest(linked)]
+    other = a if b is None else b
+    rows, cols = border(a, other, least)
+    slack = (a.u.shape[1] + 8) * 2.0**-23
+    f, out = other.f[cols], []
+    for t in range(0, len(rows) if len(cols) else 0, TILE_ROWS):
+        own = rows[t : t + TILE_ROWS]
+        cos = a.f[own] @ f.T
+        if cos.max() < least - slack:
+            continue
+        linked = cos >= least - slack
+        if b is None:
+            linked &= own[:, None] < cols[None, :]
+        i, j = np.nonzero(linked & (cos < least + slack))
+        for k in range(0, len(i), 1 << 15):
+            p, q = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            linked[p, q] = np.einsum("ij,ij->i", a.u[own[p]], other.u[cols[q]]) >= least
+        n = np.count_nonzero(linked)
+        if n > linked.size // 64:
+            row, col = groups(linked)
+            n = linked @ other.weight[cols], a.weight[own] @ linked
+        elif n:
+            i, j = np.nonzero(linked)
+            top = joined(i, len(own) + j, len(own) + len(cols))
+            row, col = np.full(len(own), -1), np.full(len(cols), -1)
+            row[i], col[j] = top[i], top[len(own) + j]
+            n = np.bincount(i, other.weight[cols[j]], len(own)), np.bincount(j, a.weight[own[i]], len(cols))
+        else:
+            continue
+        for ids, top, k in ((a.ids[own], row, n[0]), (other.ids[cols], col, n[1])):
+            hit = top >= 0
+            out.append((ids[hit], k[hit].astype(np.int64), a.ids[own[top[hit]]]))
+    return out
+
+
+def vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for each length that vectors of a column of lists have; nulls in them are NaN."""
+    at = column.offsets.to_numpy()
+    size = np.where(column.is_valid().to_numpy(zero_copy_only=False), np.diff(at), 0)
+    values = column.values.to_numpy(zero_copy_only=False)
+    for n in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == n)
+        yield rows, values[at[rows][:, None] + np.arange(n)]
+
+
+def one_of_each(part: pd.DataFrame) -> pd.DataFrame:
+    """One row for each key, with the smallest id and the sum of weights; ids in order."""
+    part = part.sort_values("id", kind="stable")
+    if part["key"].duplicated().any():
+        part = part.assign(weight=part.groupby("key")["weight"].transform("sum")).drop_duplicates("key")
+    return part
 
 
 def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -91,94 +192,177 @@ def near_duplicates(df: DataFrame, least: float = 0.98, vec_id: str = "vec_id",
     with a null id, link with nothing. n_links counts the other rows linked directly, component_id is the smallest id
     reachable by links, kept marks the row that bears it (rows with a null id are kept and have a null component).
     Rows with the same id are one vertex with several vectors. Extra columns are left out; an empty table gives none.
+    df is read three times and must give the same rows each time.
 
-    Equal vectors are first collapsed to one with a weight. Each label is divided into a cell for CELL_ROWS vectors,
-    MAX_CELLS at most, by k-means on a seeded sample of SAMPLE_ROWS; every vector is placed, and near-boundary ones in
-    neighbouring cells as well, so that cells lose no link. Cells that are still large are divided in the same way, up to
-    LEVELS times, so that cells grow in number and not in size. A cell's rows fall into blocks of BLOCK_ROWS, and each
-    pair of blocks is one group: a cell that can't be divided makes more groups, not larger ones. A group gives one row
-    for each linked vector, its count and its group's root, never the pairs.
+    Equal vectors are collapsed to one with a weight. Each label is divided into a cell for CELL_ROWS vectors,
+    MAX_CELLS at most, by k-means on a seeded sample of SAMPLE_ROWS or less; every vector is placed in its nearest cell. Cells that
+    are still large are divided in the same way, up to LEVELS times. A cell's rows are packed into blocks of BLOCK_ROWS.
+    A block is compared with itself and, by a nested loop over the table of blocks, with those of the label that aren't too far
+    away; of two cells only rows near the plane between them are multiplied. So vectors are written once and no copies of them
+    are shuffled, however many cells they are compared with: tables and shuffles grow as df does. A task gives one row for each
+    linked vector, its count and its group's root, never the pairs.
     """
-    base = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).alias("embedding"))
+    kind = df.schema[embedding].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    real = np.dtype("<f4" if single else "<f8")
+    base = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("embedding"))
+    base = base.withColumn("dim", F.coalesce(F.size("embedding"), F.lit(0))).withColumn("path", F.xxhash64("label", "dim"))
+
+    def keyed(b: pa.RecordBatch) -> tuple[np.ndarray, list]:
+        """Keys of the vectors that can link, None for the others, and the vectors' bytes: the same values (also as a multiple) are one class; length and label belong to its key."""
+        key, x = np.full(b.num_rows, None, object), [None] * b.num_rows
+        names = b.column("label").to_pylist()
+        for rows, m in vectors(b.column("embedding")):
+            at, u = units(m)
+            for r, v, raw in zip(rows[at].tolist(), u, m[at].astype(real, copy=False), strict=True):
+                if names[r] is not None:
+                    key[r], x[r] = xxhash.xxh3_128_digest(v.tobytes() + b"|" + names[r].encode()), raw.tobytes()
+        return key, x
 
-    def normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [unit(v) for v in b["embedding"]]
-            raw = [None if v is None else v.tobytes() for v in x]
-            # The same values (also as a multiple) are one class; length and label belong to its key.
-            key = [None if v is None or pd.isna(la) else xxhash.xxh3_128_hexdigest(v + b"|" + str(la).encode()) for v, la in zip(raw, b["label"], strict=True)]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "label": b["label"], "dim": [0 if v is None else len(v) for v in x], "key": key, "x": raw}).astype({"vec_id": "Int64", "dim": "int32"})
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("path"), b.column("dim"), pa.array(keyed(b)[0], pa.binary())], ["vec_id", "path", "dim", "key"])
 
-    rows = cut(base.mapInPandas(normal, "vec_id long, label string, dim int, key string, x binary"))
-    usable = rows.where("key is not null and vec_id is not null")
-    classes = usable.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    firsts = usable.withColumnRenamed("vec_id", "id").join(classes, ["key", "id"])
-    reps = cut(firsts.select("key", "label", "dim", "id", "weight", "x").dropDuplicates(["key"]))
+    def usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, x = keyed(b)
+            path, dim = (b.column(c).to_numpy(zero_copy_only=False) for c in ("path", "dim"))
+            p = pd.DataFrame({"root": path, "dim": dim, "path": path, "slot": 0, "key": key, "id": b.column("vec_id").to_pandas(integer_object_nulls=True), "weight": 1, "x": x, "trail": None, "cents": None})
+            p = p[p["key"].notna() & p["id"].notna()]
+            if len(p):
+                yield pa.RecordBatch.from_pandas(one_of_each(p.astype({"id": "int64"})), rows_schema, preserve_index=False)
 
-    shape = "path long, guest int, dim int, id long, weight long, x binary"
-    group = ["path", "dim"]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    rows_schema = pa.schema([(name, kinds[k]) for name, k in (c.split() for c in ROWS.split(", "))])
+    rows = cut(base.mapInArrow(normal, "vec_id long, path long, dim int, key binary"))
+    linkable = F.col("key").isNotNull() & F.col("vec_id").isNotNull()
+    classes = cut(rows.where(linkable).groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("path").alias("path")))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        c = kmeans(np.stack([np.frombuffer(v, np.float64) for v in part["x"]]), int(part["k"].iloc[0]))
-        return pd.DataFrame({"path": part["path"].iloc[:1].to_numpy(), "dim": part["dim"].iloc[:1].to_numpy(), "c": [c.tobytes()]})
+        x = np.stack([np.frombuffer(v, real) for v in one_of_each(part)["x"]])
+        c = kmeans(units(x)[1], int(part["k"].iloc[0]))
+        path = int(part["path"].iloc[0])
+        cells = np.array([xxhash.xxh3_64_intdigest(b"%d/%d" % (path, k)) for k in range(len(c))], np.uint64).view(np.int64)
+        return pd.DataFrame({"path": path, "cell": cells, "trail": [np.int32(k).tobytes() for k in range(len(c))], "cents": [v.tobytes() for v in c]})
 
-    def divide(rows: DataFrame, need: DataFrame, level: int) -> DataFrame:
-        """rows of the paths that need lists, each in its cells at this level."""
+    def place(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        part = one_of_each(part).drop(columns="part")
+        if not len(part) or not len(known):
+            return part
+        x = units(np.stack([np.frombuffer(v, real) for v in part["x"]]))[1]
+        c = np.stack([np.frombuffer(v, np.float64)[-x.shape[1] :] for v in known["cents"]])
+        home = (x @ c.T).argmax(1)
+        # A cell's slots hold about a block each, as this group's share of the cell tells.
+        parts, size = int(known["parts"].iloc[0]), np.bincount(home, minlength=len(c))
+        slot = int(known["part"].iloc[0]) * np.maximum(1, -(-size * parts // BLOCK_ROWS)) // parts
+        first = np.zeros(len(home), bool)
+        first[np.unique(home, return_index=True)[1]] = True
+        told = {name: np.where(first, known[name].to_numpy()[home], None) for name in ("trail", "cents")}
+        return part.assign(path=known["cell"].to_numpy()[home], slot=slot[home].astype(np.int32), **told)
 
+    def divide(rows: DataFrame, need: DataFrame, above: DataFrame | None, level: int) -> tuple[DataFrame, DataFrame]:
+        """The rows of the paths that need lists, each in its cell at this level, and these cells. above: the cells of the level before."""
+        # need has a row for each label or cell of 2 * CELL_ROWS rows and more, so it is a small share of the rows, and is broadcast.
+        met = rows.join(F.broadcast(need), "path")
+        drawn = met.where(F.pmod(F.xxhash64(F.lit(9 + level), "key"), F.lit(1 << 30)) <= F.col("share"))
+        cells = drawn.groupBy("path").applyInPandas(fit, "path long, cell long, trail binary, cents binary")
+        if above is not None:
+            before = above.select(F.col("cell").alias("path"), F.col("trail").alias("trail_before"), F.col("cents").alias("cents_before"))
+            cells = cells.join(before, "path").select("path", "cell", F.concat("trail_before", "trail").alias("trail"), F.concat("cents_before", "cents").alias("cents"))
+        cells = cut(cells)
         # Vectors meet their cell's centroids in groups of about PLACE_ROWS, so that centroids stand once in each group.
-        def place(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            if not len(part):
-                return pd.DataFrame({k: [] for k in ("path", "guest", "dim", "id", "weight", "x")})
-            c = np.frombuffer(known["c"].iloc[0], np.float64).reshape(-1, int(part["dim"].iloc[0]))
-            row, cell, home = cells_of(np.stack([np.frombuffer(v, np.float64) for v in part["x"]]), c, least)
-            p = part.iloc[row]
-            name = int(part["path"].iloc[0])
-            paths = np.array([xxhash.xxh3_64_intdigest(b"%d/%d" % (name, k)) for k in range(len(c))], np.uint64).view(np.int64)
-            guest = p["guest"].to_numpy() | np.where(cell == home, 0, 1 << level).astype(np.int32)
-            return pd.DataFrame({"path": paths[cell], "guest": guest, "dim": p["dim"].to_numpy(), "id": p["id"].to_numpy(), "weight": p["weight"].to_numpy(), "x": p["x"].to_numpy()})
-
-        met = rows.join(need, group)
-        drawn = met.where(F.pmod(F.xxhash64(F.lit(9 + level), "id"), F.lit(1 << 30)) <= F.col("share"))
-        cents = cut(drawn.groupBy(*group).applyInPandas(fit, "path long, dim int, c binary"))
-        by = [*group, "part"]
-        left = met.select(*group, F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "guest", "id", "weight", "x")
-        right = cents.join(need, group).select(*group, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "c")
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(place, shape)
-
-    left, done = reps.select(F.xxhash64("label", "dim").alias("path"), F.lit(0).alias("guest"), "dim", "id", "weight", "x"), []
-    rows_of = None
-    for level in range(LEVELS):
-        size = left.groupBy(*group).agg(F.count("*").alias("n"))
-        large = size.where(F.col("n") > (DIVIDE_AGAIN if level else DIVIDE) * CELL_ROWS)
-        if rows_of is not None:  # a cell whose rows are all near one another isn't divided in vain: one that hasn't shrunk stays
-            large = large.where(F.col("n") <= 0.75 * rows_of)
-        need = cut(large.select(*group, F.least(F.lit(MAX_CELLS), F.ceil(F.col("n") / CELL_ROWS)).cast("int").alias("k"), F.ceil(F.col("n") / PLACE_ROWS).cast("int").alias("parts"), (F.lit(SAMPLE_ROWS) / F.col("n") * (1 << 30)).cast("long").alias("share"), "n"))
-        rows_of = need.agg(F.max("n")).first()[0]
-        need = need.drop("n")
-        if rows_of is None:
+        left = met.select(*rows.columns, F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"))
+        right = cells.join(F.broadcast(need), "path").select("path", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", "cell", "trail", "cents")
+        return left.groupBy("path", "part").cogroup(right.groupBy("path", "part")).applyInPandas(place, ROWS), cells
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        told = part["cents"].first_valid_index()
+        trail, cents = (b"", b"") if told is None else (part.at[told, "trail"], part.at[told, "cents"])
+        part = one_of_each(part)
+        blocks = -(-len(part) // BLOCK_ROWS)
+        out = []
+        for no in range(blocks):
+            p = part.iloc[len(part) * no // blocks : len(part) * (no + 1) // blocks]
+            x = b"".join(p["x"])
+            u = units(np.frombuffer(x, real).reshape(len(p), -1))[1]
+            mid = u.sum(0)
+            mid = mid / np.sqrt(mid @ mid) if mid @ mid > 1e-12 else u[0]
+            own = {"no": no, "n": len(p), "alone": told is None and blocks == 1, "trail": trail, "cents": cents, "mid": mid, "wide": float(np.arccos(np.clip(u @ mid, -1, 1)).max())}
+            out.append({k: int(p[k].iloc[0]) for k in ("root", "dim", "path", "slot")} | own | {"keys": b"".join(p["key"]), "ids": p["id"].to_numpy(np.int64).tobytes(), "weights": p["weight"].to_numpy(np.int64).tobytes(), "x": x})
+        return pd.DataFrame(out)
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return cut(rows.groupBy("path", "slot").applyInPandas(pack, BLOCKS))
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                cuts = lambda v, n=r.n: [v[k * len(v) // n : (k + 1) * len(v) // n] for k in range(n)]
+                told = {"trail": [r.trail] + [None] * (r.n - 1), "cents": [r.cents] + [None] * (r.n - 1)}
+                yield pd.DataFrame({"root": r.root, "dim": r.dim, "path": r.path, "slot": r.slot, "key": cuts(r.keys), "id": np.frombuffer(r.ids, np.int64), "weight": np.frombuffer(r.weights, np.int64), "x": cuts(r.x)} | told)
+
+    def needed(size: DataFrame) -> tuple[DataFrame, int | None]:
+        """What the paths of a table (path, n) are divided by, and the rows of the largest."""
+        k = F.least(F.lit(MAX_CELLS), F.ceil(F.col("n") / CELL_ROWS)).cast("int")
+        share = F.least(F.lit(SAMPLE_ROWS), k * SAMPLE_OF_CELL) / F.col("n") * (1 << 30)
+        need = cut(size.select("path", k.alias("k"), F.ceil(F.col("n") / PLACE_ROWS).cast("int").alias("parts"), share.cast("long").alias("share"), "n"))
+        return need.drop("n"), need.agg(F.max("n")).first()[0]
+
+    source = base.mapInArrow(usable, ROWS)
+    need, most = needed(classes.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > DIVIDE * CELL_ROWS))
+    if most is None:
+        blocks = packed(source)
+    else:
+        placed, cells = divide(source, need, None, 0)
+        blocks = packed(source.join(F.broadcast(need), "path", "left_anti").unionByName(placed))
+    for level in range(1, LEVELS if most else 0):
+        size = blocks.where(F.length("trail") > 0).groupBy("path").agg(F.sum("n").alias("n")).where(F.col("n") > DIVIDE_AGAIN * CELL_ROWS)
+        # A cell whose rows are all near one another isn't divided in vain: one that hasn't shrunk stays.
+        need, most = needed(size.where(F.col("n") <= 0.75 * most))
+        if most is None:
             break
-        done.append(left.join(need.select(*group), group, "left_anti"))
-        left = cut(divide(left, need, level))
-    placed = left
-    for d in done:
-        placed = placed.unionByName(d)
-    placed = cut(placed.select("path", "guest", "dim", "id", "weight", "x"))
-    blocks = placed.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    at = placed.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    at = at.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id", kind="stable")
-        x = np.stack([np.frombuffer(v, np.float64) for v in part["x"]])
-        cross = int(part["i"].iloc[0]) != int(part["j"].iloc[0])
-        ids = part["id"].to_numpy()
-        n, root = block_links(x, ids, part["guest"].to_numpy(), part["own"].to_numpy(), cross, part["weight"].to_numpy(), least)
-        hit = n > 0
-        return pd.DataFrame({"id": ids[hit], "n": n[hit], "root": root[hit]})
-
-    found = cut(at.groupBy(*group, "i", "j").applyInPandas(compare, "id long, n long, root long"))
+        large = blocks.join(F.broadcast(need), "path", "left_semi").select(*blocks.columns)
+        placed, cells = divide(large.mapInPandas(unpack, ROWS), need, cells, level)
+        blocks = blocks.join(F.broadcast(need), "path", "left_anti").select(*blocks.columns).unionByName(packed(placed))
+
+    def block(b: pa.RecordBatch, k: int, side: str) -> Block:
+        take = lambda name, of: np.frombuffer(b.column(side + name)[k].as_buffer(), of)
+        dim = b.column(side + "dim")[k].as_py()
+        u = units(take("x", real).reshape(-1, dim))[1]
+        return Block(take("ids", np.int64), take("weights", np.int64).astype(np.float64), u, u.astype(np.float32), take("trail", np.int32), take("cents", np.float64).reshape(-1, dim))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, name, a = [], 0, None, None
+        tell = lambda found: pa.RecordBatch.from_arrays([pa.array(v) for v in found], ["id", "n", "root"])
+        for batch in batches:
+            pairs = "r_x" in batch.schema.names
+            for k in range(batch.num_rows):
+                at = tuple(batch.column("l_" + c)[k].as_py() for c in ("path", "slot", "no"))
+                if at != name:  # pairs come with one block on the left after another
+                    name, a = at, block(batch, k, "l_")
+                found = links(a, block(batch, k, "r_") if pairs else None, least)
+                held += found
+                size += sum(len(f[0]) for f in found)
+                if size > HELD_LINKS:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > HELD_LINKS // 2:
+                        yield tell(held[0])
+                        held, size = [], 0
+        if held:
+            yield tell(summed(held))
+
+    seen = ("root", "path", "slot", "no", "alone", "mid", "wide", "dim", "trail", "cents", "ids", "weights", "x")
+    left, right = (blocks.select(*(F.col(c).alias(side + c) for c in seen)) for side in ("l_", "r_"))
+    order = [F.struct(*(F.col(side + c) for c in ("path", "slot", "no"))) for side in ("l_", "r_")]
+    cos = F.aggregate(F.zip_with("l_mid", "r_mid", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))) - F.col("l_wide") - F.col("r_wide")
+    near = apart <= F.lit(float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6)
+    pairs = left.where("not l_alone").hint("shuffle_replicate_nl").join(right.where("not r_alone"), (F.col("l_root") == F.col("r_root")) & (order[0] < order[1]) & near)
+    shape = "id long, n long, root long"
+    # Pairs go to Python as the join makes them: a projection would copy both blocks once more.
+    within, between = left.mapInArrow(compare, shape), pairs.mapInArrow(compare, shape)
+    found = cut(within.unionByName(between))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
 

@@ -71,6 +71,56 @@ def test_vectors_in_cells_of_several_levels(spark, monkeypatch):
     assert {tuple(r) for r in embedding_dedup.near_duplicates(df).collect()} == brute_vectors(data, 0.98)
 
 
+def test_vectors_are_written_once_however_many_cells_they_meet(spark, monkeypatch):
+    """Vectors that lie near many cells' borders: with a copy of each for every such cell the tables held 8 times the vectors."""
+    from pathlib import Path
+
+    import numpy as np
+
+    for name, n in (("CELL_ROWS", 40), ("BLOCK_ROWS", 80)):
+        monkeypatch.setattr(embedding_dedup, name, n)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 64))
+    x[2000:] = x[:1000] + rng.standard_normal((1000, 64)) * 0.2  # cosines around 0.98, often across a border
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    size = lambda: sum(p.stat().st_size for p in Path(shared.shared_dir(spark).removeprefix("file://")).rglob("*.parquet"))
+    before = size()
+    got = {tuple(r) for r in embedding_dedup.near_duplicates(df).collect()}
+    assert size() - before < 2 * x.nbytes
+    u = x.astype(np.float64)
+    u /= np.sqrt((u * u).sum(1))[:, None]
+    linked = u @ u.T >= 0.98
+    np.fill_diagonal(linked, False)
+    root = shared.forest(linked)
+    assert got == {(k, int(linked[k].sum()), int(root[k]), bool(root[k] == k)) for k in range(len(x))} and 100 < linked[:1000].sum() < 900
+
+
+def test_close_calls_are_decided_in_double_precision():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    cos = 0.98 + np.array([1e-12, -1e-12, 1e-9, -1e-9, 1e-7, -1e-7, 1e-3, -1e-3])
+    u = np.concatenate([a[:8], cos[:, None] * a[:8] + np.sqrt(1 - cos * cos)[:, None] * a[8:16]])
+    block = lambda k: embedding_dedup.Block(k, np.full(len(k), 3.0), u[k], u[k].astype(np.float32), np.empty(0, np.int32), np.empty((0, 64)))
+    want = [(k, 3, k % 8) for k in range(16) if k % 2 == 0]
+    for found in (embedding_dedup.links(block(np.arange(16)), None, 0.98), embedding_dedup.links(block(np.arange(8)), block(np.arange(8, 16)), 0.98)):
+        assert [tuple(map(int, r)) for r in zip(*embedding_dedup.summed(found), strict=True)] == want
+
+
+def test_dense_and_sparse_links_agree():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for share in (0.0005, 0.004, 0.3):
+        linked = rng.random((90, 140)) < share
+        i, j = np.nonzero(linked)
+        top = embedding_dedup.joined(i, 90 + j, 230)
+        row, col = embedding_dedup.groups(linked)
+        assert (row[i] == top[i]).all() and (col[j] == top[90 + j]).all() and (row >= 0).sum() == len(set(i)) and (col >= 0).sum() == len(set(j))
+
+
 def test_ngram_sql_on_awkward_texts(spark, tmp_path):
     rows = [(1, "a b c d e"), (2, "A b  c\td E"), (3, "a b"), (4, "a B"), (5, ""), (6, None), (7, " \n"), (8, "é É x y z"), (9, "a b c d e f g h i j k l m n o p q r s t u v w x y z"), (10, "a b c d e f g h i j k l m n o p q r s t u v w x y z1")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
